@@ -1,16 +1,21 @@
 """SimHash near-dedup with BK-trees over shards of fingerprints.
 
-A document's fingerprint has a bit set where over half of its word-shingle hashes have it.
-Distinct fingerprints are dealt to shards so that any two within the radius share one: the 64
-bits are cut into radius + 1 spans, and two fingerprints that differ in at most `radius` bits
-agree on a whole span. In each shard a BK-tree (children keyed by the integer Hamming distance
-to the parent) is searched along the edges within the radius only. A shard of over SHARD
-fingerprints is cut into pieces; each piece's tree meets every other piece in a task of its own,
-so no task holds more than two pieces. The trees travel by shuffle with their shard key and not
-by broadcast, as their size grows with the data and has no bound.
-
-A shard gives a spanning forest of its links, never all pairs. Connected components over these
-links are found by alternating large-star and small-star steps on written tables.
+A document's fingerprint has a bit set where over half of its word-shingle hashes have it: 64
+bits, or several words of 64 bits, each from its own mix of the hash. Distinct fingerprints are
+dealt to shards by keys of some of their bits:
+
+* `spans`: the bits are cut into radius + 1 spans, one key a span. Two fingerprints that differ
+  in at most `radius` bits agree on a whole span, so no link is lost.
+* `samples`: for wide fingerprints and radii, each key is a sample of bits; their number follows
+  from the target recall at the given similarity, their width from the number of fingerprints.
+
+In each shard a BK-tree (children keyed by the integer Hamming distance to the parent) is
+searched along the edges within the radius only. A task holds many small shards and builds their
+trees together, level by level. A shard of over SHARD fingerprints is cut into pieces; each
+piece's tree meets every other piece in a task of its own, so no task holds more than two. The
+trees travel by shuffle with their shard key and not by broadcast, as their size grows with the
+data and has no bound. A shard gives a spanning forest of its links, never all pairs. Connected
+components over these links come from large-star and small-star steps on written tables.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links
 like any other; fewer words than a shingle give one shingle; a null doc_id counts as larger than
@@ -20,7 +25,9 @@ result; other columns are ignored unless carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,10 +36,45 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, map_batches, materialise, prepare, text_bytes, words_of
+from .common import binaries, map_batches, materialise, mix64, prepare, text_bytes, words_of
 
-#: Most fingerprints in one tree.
-SHARD = 20_000
+#: Most fingerprints in one tree; dealt rows that one task takes; pairs looked at in one step.
+SHARD, TASK_ROWS, ROOM = 20_000, 100_000, 2_000_000
+#: Most hot shard keys that are broadcast; beyond, they are joined by shuffle.
+HOT_KEYS = 500_000
+SEED = 97
+
+
+@dataclass(frozen=True)
+class Settings:
+    """shingle: words; size: 64-bit words of a fingerprint; radius: bits; distinct: count each
+    different shingle once; recall: of pairs at `similarity`, for sampled keys (0: spans)."""
+
+    shingle: int = 4
+    size: int = 1
+    radius: int = 4
+    distinct: bool = False
+    similarity: float = 0.0
+    recall: float = 0.0
+
+    @classmethod
+    def for_similarity(cls, similarity: float, shingle: int = 5, size: int = 8, recall: float = 0.98) -> Settings:
+        """Fingerprints and a radius that link texts whose shingle sets have this Jaccard similarity.
+
+        Sets of similarity J have cosine 2J / (1 + J), and each bit differs with probability
+        acos(cosine) / pi. The radius lies two standard deviations above the mean distance.
+        """
+        p = differing(similarity)
+        bits = 64 * size
+        return cls(shingle, size, round(bits * p + 2 * math.sqrt(bits * p * (1 - p))), True, similarity, recall)
+
+
+def differing(similarity: float) -> float:
+    """Probability that a bit differs between texts of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+# -- fingerprints ----------------------------------------------------------------------------
 
 
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
@@ -50,34 +92,63 @@ def shingle_hashes(data: bytes, size: int) -> np.ndarray:
     return np.fromiter((h(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())), np.uint64, n)
 
 
-def fingerprint(data: bytes, size: int) -> int:
-    h = shingle_hashes(data, size)
-    if not len(h):
-        return 0
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 15):
-        bits = np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * total > len(h), bitorder="little").tobytes(), "little")
+def fingerprint(data: bytes, settings: Settings) -> bytes:
+    """The fingerprint as a number in bytes, highest first; its lowest word is of the plain hashes."""
+    h = shingle_hashes(data, settings.shingle)
+    if settings.distinct:
+        h = np.unique(h)
+    out = []
+    for k in range(settings.size):
+        own = mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if k else h
+        total = np.zeros(64, np.int64)
+        for i in range(0, len(h), 1 << 15):
+            bits = np.unpackbits(own[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total += bits.sum(axis=0, dtype=np.int32)
+        out.append(np.packbits(2 * total > len(h), bitorder="little").tobytes())
+    return b"".join(out)[::-1]
+
+
+def fingerprints(docs: DataFrame, settings: Settings, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp of every row, written to the shared folder."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            fp = [fingerprint(t, settings) for t in binaries(b.column(1))]
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), *b.columns[2:]], names=["doc_id", "fp", *(["row"] if carry else [])])
 
-class BKTree:
-    """A BK-tree in arrays: node i's children are the nodes `first[i]:last[i]`, sorted by edge."""
+        return run
 
-    def __init__(self, values: np.ndarray):
+    rows = docs.select("doc_id", text_bytes().alias("data"), *([F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []))
+    schema = f"doc_id {kind}, fp binary" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
+    return materialise(map_batches(rows, make, schema), "fingerprints")
+
+
+# -- trees -----------------------------------------------------------------------------------
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+class BKForest:
+    """One BK-tree a shard, in arrays: node i's children are `first[i]:last[i]`, sorted by edge."""
+
+    def __init__(self, values: np.ndarray, shard: np.ndarray):
         n = len(values)
         self.order = np.empty(n, np.int64)
-        self.edge = np.zeros(n, np.int16)
-        self.first = np.zeros(n, np.int64)
-        self.last = np.zeros(n, np.int64)
-        self.order[:1] = 0
-        made, parents, members, of = min(1, n), np.zeros(min(1, n), np.int64), np.arange(1, n), np.zeros(max(0, n - 1), np.int64)
+        self.edge, self.first, self.last = (np.zeros(n, np.int64) for _ in range(3))
+        self.shards, roots, index = np.unique(shard, return_index=True, return_inverse=True)
+        made = len(roots)
+        self.order[:made] = roots
+        members = np.setdiff1d(np.arange(n), roots)
+        of = index[members]
         while len(members):
-            d = np.bitwise_count(values[members] ^ values[self.order[of]]).astype(np.int64)
+            d = distance(values[members], values[self.order[of]])
             by = np.lexsort((members, d, of))
             members, d, of = members[by], d[by], of[by]
             new = np.concatenate([[True], (of[1:] != of[:-1]) | (d[1:] != d[:-1])])
-            group = np.cumsum(new) - 1
             heads = np.flatnonzero(new)
             ids = made + np.arange(len(heads))
             self.order[ids], self.edge[ids] = members[heads], d[heads]
@@ -85,26 +156,30 @@ class BKTree:
             self.first[parents[::-1]] = ids[::-1]
             self.last[parents] = ids + 1
             made += len(heads)
-            members, of = members[~new], ids[group[~new]]
-        self.values = values[self.order] if n else values
-
-    def search(self, queries: np.ndarray, radius: int, room: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query indexes, value indexes) of all pairs within the radius, in blocks of queries."""
-        block = max(16, room // max(1, len(self.values)))
-        for at in range(0, len(queries) if len(self.values) else 0, block):
-            q = np.arange(at, min(at + block, len(queries)))
-            node = np.zeros(len(q), np.int64)
+            members, of = members[~new], ids[(np.cumsum(new) - 1)[~new]]
+        self.values = values[self.order]
+        self.size = np.bincount(index, minlength=len(roots)) if n else np.zeros(0, np.int64)
+
+    def search(self, queries: np.ndarray, shard: np.ndarray, radius: int, room: int = ROOM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query rows, value rows) of all pairs of one shard within the radius, in blocks."""
+        if not len(self.shards) or not len(queries):
+            return
+        root = np.minimum(np.searchsorted(self.shards, shard), len(self.shards) - 1)
+        asked = np.flatnonzero(self.shards[root] == shard)
+        asked = asked[np.argsort(root[asked], kind="stable")]
+        block = np.cumsum(self.size[root[asked]]) // max(1, room // queries.shape[1])
+        for q in np.split(asked, np.flatnonzero(np.diff(block)) + 1) if len(asked) else ():
+            node = root[q]
             while len(q):
-                d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int16)
+                d = distance(queries[q], self.values[node])
                 near = d <= radius
                 yield q[near], self.order[node[near]]
                 width = self.last[node] - self.first[node]
                 has = width > 0
                 q, node, d, width = q[has], node[has], d[has], width[has]
-                total = int(width.sum())
-                at_child = np.arange(total) - np.repeat(np.cumsum(width) - width, width) + np.repeat(self.first[node], width)
-                follow = np.abs(self.edge[at_child] - np.repeat(d, width)) <= radius
-                q, node = np.repeat(q, width)[follow], at_child[follow]
+                child = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(self.first[node], width)
+                follow = np.abs(self.edge[child] - np.repeat(d, width)) <= radius
+                q, node = np.repeat(q, width)[follow], child[follow]
 
 
 def _find(root: np.ndarray) -> np.ndarray:
@@ -131,32 +206,82 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 
 def shard_links(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Spanning links (rep, to) inside one shard, or between its pieces `p` and `o`."""
-    frame = frame.drop_duplicates(["fp"])
-    fp, rep, piece = frame["fp"].to_numpy().view(np.uint64), frame["rep"].to_numpy(), frame["piece"].to_numpy()
-    if len(fp) < 2:
-        return pd.DataFrame({"a": rep[:0], "b": rep[:0]})
-    tree_rows = np.flatnonzero(piece == piece.min())
-    ask_rows = np.arange(len(fp)) if piece.min() == piece.max() else np.flatnonzero(piece == piece.max())
-    tree = BKTree(fp[tree_rows])
-    root = forest(len(fp), ((ask_rows[q], tree_rows[v]) for q, v in tree.search(fp[ask_rows], radius)))
-    linked = root != np.arange(len(fp))
-    return pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]})
-
-
-def links_of(nodes: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) between representatives of distinct fingerprints: nodes(fp long, rep long)."""
-    spans = radius + 1
-    cuts = [i * 64 // spans for i in range(spans + 1)]
-    keys = F.array(*[F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo) for lo, hi in zip(cuts, cuts[1:])])
-    dealt = nodes.select("fp", "rep", F.posexplode(keys).alias("span", "key"))
-    sizes = dealt.groupBy("span", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = dealt.join(sizes, ["span", "key"])
-    pieces = F.ceil(F.col("size") / shard).cast("int")
-    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("fp"), pieces).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), pieces - 1), lambda o: F.struct(F.least(o, F.col("piece")).alias("p"), F.greatest(o, F.col("piece")).alias("o")))
-    dealt = dealt.select("span", "key", "fp", "rep", "piece", F.explode(pairs).alias("pair"))
-    return dealt.groupBy("span", "key", "pair").applyInPandas(lambda f: shard_links(f, radius), "a long, b long")
+    """Spanning links (a, b) inside the shards of one task, or between the pieces p and o of a shard."""
+    n = len(frame)
+    fp = np.frombuffer(b"".join(frame["fp"]), np.uint64).reshape(n, -1)
+    rep, piece = frame["rep"].to_numpy(), frame["piece"].to_numpy()
+    shard = frame.groupby(["key", "p", "o"], sort=False).ngroup().to_numpy()
+    tree_rows = np.flatnonzero(piece == frame["p"].to_numpy())
+    ask_rows = np.flatnonzero(piece == frame["o"].to_numpy())
+    trees = BKForest(fp[tree_rows], shard[tree_rows])
+    root = forest(n, ((ask_rows[q], tree_rows[v]) for q, v in trees.search(fp[ask_rows], shard[ask_rows], radius)))
+    linked = root != np.arange(n)
+    return pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]}).drop_duplicates()
+
+
+# -- shards ----------------------------------------------------------------------------------
+
+
+def key_bits(settings: Settings, count: int) -> list[np.ndarray]:
+    """The bit numbers of each shard key, for `count` fingerprints."""
+    bits = 64 * settings.size
+    if not settings.recall:
+        cuts = [i * bits // (settings.radius + 1) for i in range(settings.radius + 2)]
+        return [np.arange(a, b) for a, b in zip(cuts, cuts[1:])]
+    width = min(40, max(12, math.ceil(math.log2(max(2, count) / 16))))
+    keys = math.ceil(math.log(1 - settings.recall) / math.log(1 - (1 - differing(settings.similarity)) ** width))
+    rng = np.random.default_rng(SEED)
+    pool = np.concatenate([rng.permutation(bits) for _ in range(math.ceil((keys + 1) * width / (bits - width)) + 1)])
+    return [pool[k * width : (k + 1) * width] for k in range(keys)]
+
+
+def shard_keys(fp: np.ndarray, chosen: list[np.ndarray]) -> np.ndarray:
+    """(rows, keys): a 64-bit number of the key's place and bits."""
+    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    out = np.empty((len(fp), len(chosen)), np.uint64)
+    for k, at in enumerate(chosen):
+        value = np.zeros(len(fp), np.uint64)
+        for b in at:
+            value = value << np.uint64(1) | bits[:, b].astype(np.uint64)
+        out[:, k] = mix64(value ^ mix64(np.array([k + 1], np.uint64)))
+    return out
+
+
+def links_of(nodes: DataFrame, settings: Settings, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) between representatives of distinct fingerprints: nodes(fp binary, rep long)."""
+    spark = nodes.sparkSession
+    count = nodes.count()
+    chosen = key_bits(settings, count)
+    width = 8 * settings.size
+
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            keys = shard_keys(raw, chosen)
+            take = np.repeat(np.arange(b.num_rows), len(chosen))
+            fp = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(take), [None, pa.py_buffer(np.ascontiguousarray(raw[take]).tobytes())]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), fp, b.column(1).take(pa.array(take))], names=["key", "fp", "rep"])
+
+        return run
+
+    dealt = map_batches(nodes.select("fp", "rep"), make, "key long, fp binary, rep long")
+    hot = materialise(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > shard), "hot")
+    n_hot = hot.count()
+    tasks = max(1, math.ceil(count * len(chosen) / TASK_ROWS))
+    if n_hot:
+        rows = dealt.join(F.broadcast(hot) if n_hot <= HOT_KEYS else hot, "key", "left")
+        pieces = F.coalesce(F.ceil(F.col("size") / shard), F.lit(1)).cast("int")
+        rows = rows.withColumn("piece", F.pmod(F.xxhash64("fp"), pieces).cast("int"))
+        pairs = F.transform(F.sequence(F.lit(0), pieces - 1), lambda o: F.struct(F.least(o, F.col("piece")).alias("p"), F.greatest(o, F.col("piece")).alias("o")))
+        rows = rows.select("key", "fp", "rep", "piece", F.explode(pairs).alias("pair")).select("key", "fp", "rep", "piece", "pair.p", "pair.o")
+    else:
+        zero = F.lit(0)
+        rows = dealt.select("key", "fp", "rep", zero.alias("piece"), zero.alias("p"), zero.alias("o"))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("key", "p", "o"), F.lit(tasks)))
+    return rows.repartition(min(tasks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "task").groupBy("task").applyInPandas(lambda f: shard_links(f, settings.radius), "a long, b long")
+
+
+# -- components ------------------------------------------------------------------------------
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -181,52 +306,35 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {limit} steps")
 
 
-def fingerprints(docs: DataFrame, shingle: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row, written to the shared folder."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def make():
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            fp = np.array([fingerprint(t, shingle) for t in binaries(b.column(1))], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *(["row"] if carry else [])])
-
-        return run
-
-    rows = docs.select("doc_id", text_bytes().alias("data"), *([F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []))
-    schema = f"doc_id {kind}, fp long" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
-    return materialise(map_batches(rows, make, schema), "fingerprints")
-
-
 #: Stands for a null doc_id among node ids.
 NO_ID = (1 << 63) - 1
 
 
-def component_ids(table: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of a table with doc_id and fp."""
+def component_ids(table: DataFrame, settings: Settings) -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint of a table with doc_id and fp.
+
+    A node is named by the smallest doc_id of its fingerprint; fingerprints of one repeated
+    doc_id share a node.
+    """
     nodes = table.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).alias("rep"))
     nodes = materialise(nodes, "nodes")
-    # Different fingerprints may hold the same repeated doc_id: such fingerprints share a node.
-    found = components(links_of(nodes, radius, shard))
+    found = components(links_of(nodes, settings))
     return nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every document."""
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, fingerprint (hex digits, highest first), component_id of every document."""
     prepare(docs.sparkSession)
-    table = fingerprints(docs, shingle)
-    ids = component_ids(table, radius)
-    out = table.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
-    return out
+    table = fingerprints(docs, settings)
+    ids = component_ids(table, settings)
+    return table.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The row with the smallest doc_id of every component, with all columns."""
     prepare(docs.sparkSession)
-    table = fingerprints(docs.withColumn("__rid", F.monotonically_increasing_id()), shingle, (*docs.columns, "__rid"))
-    ids = component_ids(table.select("doc_id", "fp"), radius)
+    table = fingerprints(docs.withColumn("__rid", F.monotonically_increasing_id()), settings, (*docs.columns, "__rid"))
+    ids = component_ids(table.select("doc_id", "fp"), settings)
     slim = table.select("doc_id", "fp", F.col("row.__rid").alias("rid")).join(ids, "fp")
     best = slim.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "rid")).alias("w")).select(F.col("w.rid").alias("rid"))
     return table.join(best, table["row.__rid"] == best["rid"], "left_semi").select("row.*").drop("__rid")
-
-
-__all__ = ["BKTree", "components", "drop_near_copies", "fingerprint", "near_duplicates"]

@@ -178,17 +178,43 @@ def test_simhash_matches_brute_force(spark, documents):
     assert {r.doc_id for r in kept.collect()} == {find(d) for d in fp} and kept.columns == documents.columns
 
 
-def test_bk_tree_and_cut_shards_lose_no_link(spark):
+@pytest.mark.parametrize("size", [1, 3])
+def test_bk_trees_and_cut_shards_lose_no_link(spark, size):
     r = np.random.default_rng(4)
-    base = r.integers(0, 1 << 63, 25, dtype=np.uint64)
-    values = np.unique(np.concatenate([base ^ (np.uint64(1) << r.integers(0, 64, 25).astype(np.uint64)) for _ in range(20)] + [base]))
-    near = np.bitwise_count(values[:, None] ^ values[None]) <= 2
-    pairs = {(int(a), int(b)) for q, v in simhash.BKTree(values).search(values, 2) for a, b in zip(q, v)}
-    assert pairs == {(int(a), int(b)) for a, b in zip(*np.nonzero(near))}
-    nodes = spark.createDataFrame([(int(v.view(np.int64)), i) for i, v in enumerate(values)], "fp long, rep long")
-    found = {x.node: x.root for x in simhash.components(simhash.links_of(nodes, 2, shard=3)).collect()}
+    base = r.integers(0, 1 << 63, (25, size), dtype=np.uint64)
+    flips = [base.copy() for _ in range(20)]
+    for f in flips:
+        f[np.arange(25), r.integers(0, size, 25)] ^= np.uint64(1) << r.integers(0, 64, 25).astype(np.uint64)
+    values = np.unique(np.concatenate([*flips, base]), axis=0)
+    near = np.bitwise_count(values[:, None] ^ values[None]).sum(2) <= 2
+    shard = np.arange(len(values)) % 3
+    pairs = {(int(a), int(b)) for q, v in simhash.BKForest(values, shard).search(values, shard, 2, room=50) for a, b in zip(q, v)}
+    assert pairs == {(int(a), int(b)) for a, b in zip(*np.nonzero(near & (shard[:, None] == shard[None])))}
+    nodes = spark.createDataFrame([(bytearray(v.tobytes()), i) for i, v in enumerate(values)], "fp binary, rep long")
     root = simhash.forest(len(values), [np.nonzero(near)])
-    assert {i: found.get(i, i) for i in range(len(values))} == dict(enumerate(root.tolist()))
+    for cut in (3, 1000):
+        found = {x.node: x.root for x in simhash.components(simhash.links_of(nodes, simhash.Settings(size=size, radius=2), shard=cut)).collect()}
+        assert {i: found.get(i, i) for i in range(len(values))} == dict(enumerate(root.tolist()))
+
+
+def test_wide_fingerprints_find_similar_texts(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    rows, group = [], []
+    for g in range(60):
+        own = [word() for _ in range(300)]
+        for _ in range(3):
+            copy = own[:]
+            for k in r.sample(range(300), 3 if g < 40 else 60):
+                copy[k] = word()
+            rows.append(" ".join(copy))
+            group.append(g)
+    settings = simhash.Settings.for_similarity(0.8)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs_of(spark, rows), settings).collect()}
+    same = [got[3 * g] == got[3 * g + 1] == got[3 * g + 2] for g in range(60)]
+    assert sum(same[:40]) >= 39 and not any(same[40:])
+    assert all(group[d] == group[c] for d, c in got.items())
+    assert simhash.drop_near_copies(docs_of(spark, rows), settings).count() == len(set(got.values()))
 
 
 def test_components_of_a_chain_and_a_star(spark):
