@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import IntEnum
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kinds import FLOATING, TWO64, Kind, as_bits, from_bits, literal, wrap
@@ -150,6 +150,19 @@ def split_mix(z: Column) -> Column:
     return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
 
 
+def staged_split_mix(df: DataFrame, name: str) -> DataFrame:
+    """Replaces a bigint column by its SplitMix64, one projection a step.
+
+    Each step names its input twice; kept apart, the plan stays small and is still one stage of
+    generated code. Build it inside `wrapping`.
+    """
+    z = F.col(name)
+    df = df.withColumn(name, z + F.lit(GOLDEN))
+    df = df.withColumn(name, z.bitwiseXOR(F.shiftrightunsigned(z, 30)) * F.lit(MIX1))
+    df = df.withColumn(name, z.bitwiseXOR(F.shiftrightunsigned(z, 27)) * F.lit(MIX2))
+    return df.withColumn(name, z.bitwiseXOR(F.shiftrightunsigned(z, 31)))
+
+
 def split_mix_number(z: int) -> int:
     mask = TWO64 - 1
     z = (z + GOLDEN) & mask
@@ -178,9 +191,20 @@ class Noise:
         h = split_mix(inner.bitwiseXOR(F.lit(signed64(self.seed))))
         return (F.shiftrightunsigned(h, 40).cast("float") / F.lit(16777216.0).cast("float")).cast("float")
 
-    def of(self, row: Column) -> Column:
+    def _scaled(self, unit: Column) -> Column:
         low, high = (F.lit(float(v)).cast("float") for v in (self.low, self.high))
-        return (low + (high - low) * self.unit(row)).cast("float")
+        return (low + (high - low) * unit).cast("float")
+
+    def of(self, row: Column) -> Column:
+        return self._scaled(self.unit(row))
+
+    def stage(self, df: DataFrame, row: str, name: str) -> DataFrame:
+        """The same noise as a new column, in small projections."""
+        df = df.withColumn(name, F.col(row).cast("bigint").bitwiseXOR(F.lit(signed64(split_mix_number(self.tick)))))
+        df = staged_split_mix(df, name)
+        df = staged_split_mix(df.withColumn(name, F.col(name).bitwiseXOR(F.lit(signed64(self.seed)))), name)
+        unit = (F.shiftrightunsigned(F.col(name), 40).cast("float") / F.lit(16777216.0).cast("float")).cast("float")
+        return df.withColumn(name, self._scaled(unit))
 
 
 def argmax(columns: list[tuple[Column, Kind]], floor: float, no_choice: int = -1) -> Column:

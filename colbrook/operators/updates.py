@@ -121,7 +121,7 @@ def right_side(store: Store, u: Update, strict_compat: bool, precision: str) ->
     if u.noise:
         if u.op in BITWISE:
             return F.col(u.target)
-        n = u.noise.of(F.col("_row"))
+        n = F.col("__noise")
         return from_number((F.col(u.operand).cast("float") * n).cast("float") if u.operand else n, kind)
     if u.operand is None:
         return literal(u.value, kind)
@@ -150,6 +150,8 @@ def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, p
             if not valid_for(store, u):
                 continue
             name = f"__hit{len(hits)}"
+            if u.noise:
+                frame = u.noise.stage(frame, "_row", "__noise")
             kind = store.spec(u.target).kind
             if u.choices is not None:
                 if kind != Kind.INT32:
@@ -162,6 +164,7 @@ def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, p
                 flag = applies(store, u)
             frame = frame.withColumn(name, flag)
             frame = frame.withColumn(u.target, F.when(F.col(name), new).otherwise(F.col(u.target)))
+            frame = frame.drop("__noise")
             hits.append(name)
     return frame, hits
 
