@@ -19,12 +19,19 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 WHITE = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of text that go to a Python worker at once, whatever the length of the texts.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable for the Python workers and give checkpoints a folder."""
+    """Make this package importable for the workers, bound Arrow batches, find the shared folder."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *[p for p in paths if p]])
+    limit = spark.conf.get(BATCH_SETTING, None)
+    if limit is None or not limit.isdigit() or int(limit) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     shared_folder(spark)
 
 
