@@ -108,19 +108,18 @@ def fingerprint(data: bytes, settings: Settings) -> bytes:
     return b"".join(out)[::-1]
 
 
-def fingerprints(docs: DataFrame, settings: Settings, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and fp of every row, written to the shared folder."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, settings: Settings, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The key columns and fp of every row, written to the shared folder."""
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            fp = [fingerprint(t, settings) for t in binaries(b.column(1))]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), *b.columns[2:]], names=["doc_id", "fp", *(["row"] if carry else [])])
+            fp = [fingerprint(t, settings) for t in binaries(b.column(0))]
+            return pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp, pa.binary())], names=[*keys, "fp"])
 
         return run
 
-    rows = docs.select("doc_id", text_bytes().alias("data"), *([F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []))
-    schema = f"doc_id {kind}, fp binary" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
+    rows = docs.select(text_bytes().alias("data"), *keys)
+    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys) + ", fp binary"
     return materialise(map_batches(rows, make, schema), "fingerprints")
 
 
@@ -333,8 +332,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The row with the smallest doc_id of every component, with all columns."""
     prepare(docs.sparkSession)
-    table = fingerprints(docs.withColumn("__rid", F.monotonically_increasing_id()), settings, (*docs.columns, "__rid"))
-    ids = component_ids(table.select("doc_id", "fp"), settings)
-    slim = table.select("doc_id", "fp", F.col("row.__rid").alias("rid")).join(ids, "fp")
-    best = slim.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "rid")).alias("w")).select(F.col("w.rid").alias("rid"))
-    return table.join(best, table["row.__rid"] == best["rid"], "left_semi").select("row.*").drop("__rid")
+    # Row numbers tell repeated rows apart; written, they stay the same however often they are read.
+    numbered = materialise(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    table = fingerprints(numbered, settings, ("doc_id", "__rid"))
+    ids = component_ids(table, settings)
+    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("__rid").alias("r"))
+    best = table.join(ids, "fp").groupBy("component_id").agg(F.min(order).alias("w")).select(F.col("w.r").alias("__best"))
+    return numbered.join(best, numbered["__rid"] == best["__best"], "left_semi").drop("__rid")
