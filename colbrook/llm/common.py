@@ -77,6 +77,32 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+class Memo(dict):
+    """key -> compute(key), of bounded size: two generations of at most `limit` entries.
+
+    When the young one is full it becomes the old one; what is asked for again moves over, so
+    frequent keys stay. Keys of 64 characters or more are computed each time.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) < 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def words_of(data: bytes) -> list[bytes]:
     """Lower-cases A-Z and splits at the six white-space characters (bytes.split has just these)."""
     return data.lower().split()
@@ -95,4 +121,4 @@ def binaries(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.to_pylist()]
 
 
-__all__ = ["F", "StorageLevel", "WHITE", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "shared_folder", "text_bytes", "words_of"]
+__all__ = ["F", "Memo", "StorageLevel", "WHITE", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "shared_folder", "text_bytes", "words_of"]

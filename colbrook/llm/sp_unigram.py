@@ -21,17 +21,18 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare
+from .common import Memo, map_batches, prepare
 
 MARK = "▁"
-#: Largest model that is broadcast; most units that a worker remembers.
-MAX_PIECES, MEMO = 1_000_000, 600_000
+#: Largest model that is broadcast; units that a worker remembers in each of two generations.
+MAX_PIECES, MEMO = 1_000_000, 500_000
 #: Cost of an uncovered character below the lowest score, as SentencePiece sets it.
 UNKNOWN_PENALTY = 10.0
 #: Scores under this mark pieces that the model never chooses; they don't set the lowest score.
@@ -195,19 +196,15 @@ class PieceModel:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-class Encoder(dict):
+class Encoder(Memo):
     """unit -> its piece ids as little-endian int32 bytes, in a memo of bounded size."""
 
     def __init__(self, model: PieceModel):
+        super().__init__(MEMO)
         self.model, self.find = model, model.units.findall
 
-    def __missing__(self, unit: str) -> bytes:
-        out = np.array(self.model.segment(unit), "<i4").tobytes()
-        if len(unit) < 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[unit] = out
-        return out
+    def compute(self, unit: str) -> bytes:
+        return array("i", self.model.segment(unit)).tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.model.strip:

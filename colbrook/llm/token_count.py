@@ -19,13 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare
+from .common import Memo, map_batches, prepare
 
 #: The pre-token pattern that byte-level BPE vocabularies of this kind are made for.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Largest vocabulary that is broadcast, and most pre-tokens that a worker remembers.
-MAX_VOCABULARY, MEMO = 1_000_000, 600_000
+#: Largest vocabulary that is broadcast; pre-tokens a worker remembers in each of two generations.
+MAX_VOCABULARY, MEMO = 1_000_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -102,24 +102,17 @@ def _text(b: bytes) -> str | None:
         return None
 
 
-class Counter(dict):
-    """pre-token -> tokens: proven strings at 1, others merged when first met."""
+class Counter(Memo):
+    """pre-token -> tokens: 1 for proven strings, others merged when first met."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__(dict.fromkeys(vocabulary.whole, 1))
+        super().__init__(MEMO)
         self.vocabulary = vocabulary
-        self.room = len(self) + MEMO
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True)))) if vocabulary.specials else None
 
-    def __missing__(self, token: str) -> int:
-        n = self.vocabulary.merged(token.encode())
-        if len(token) < 64:
-            if len(self) >= self.room:
-                self.clear()
-                self.update(dict.fromkeys(self.vocabulary.whole, 1))
-            self[token] = n
-        return n
+    def compute(self, token: str) -> int:
+        return 1 if token in self.vocabulary.whole else self.vocabulary.merged(token.encode())
 
     def count(self, text: str) -> int:
         if self.split and any(s in text for s in self.vocabulary.specials):
