@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, id_mod, map_batches, prepare, text_bytes, words_of
+from .common import Memo, binaries, id_mod, map_batches, prepare, text_bytes, words_of
 
 TRAIN_ROWS, FEATURES, FACTORS = 8_000, 512, 8
 #: Hash buckets of terms.
 BUCKETS = 1 << 22
-#: Words that a worker remembers.
-MEMO = 500_000
+#: Words that a worker remembers in each of two generations.
+MEMO = 300_000
 EDGE = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
@@ -44,8 +44,8 @@ def terms_of(word: bytes) -> list[int]:
 class FactorizationMachine:
     """w0, w and V over selected hash buckets."""
 
-    def __init__(self, factors: int = FACTORS, features: int = FEATURES, steps: int = 250, rate: float = 0.05, decay: float = 2e-4, seed: int = 7):
-        self.factors, self.features, self.steps, self.rate, self.decay, self.seed = factors, features, steps, rate, decay, seed
+    def __init__(self, factors: int = FACTORS, features: int = FEATURES, steps: int = 400, rate: float = 0.05, decay: float = 5e-6, hold: float = 1.0, lift: float = 4.0, seed: int = 7):
+        self.factors, self.features, self.steps, self.rate, self.decay, self.hold, self.lift, self.seed = factors, features, steps, rate, decay, hold, lift, seed
         self.slots: dict[int, int] = {}
         self.w0, self.w, self.v = 0.0, np.zeros(0), np.zeros((0, factors))
 
@@ -77,17 +77,21 @@ class FactorizationMachine:
         rng = np.random.default_rng(self.seed)
         d = x.shape[1]
         params = [np.array([self.w0], np.float32), np.zeros(d, np.float32), rng.normal(0, 0.02, (d, self.factors)).astype(np.float32)]
+        weight = np.where(y > 0, self.lift, 1.0).astype(np.float32)
+        weight /= weight.sum()
         m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        decays = (0.0, self.decay, self.decay)
+        # The bias is held near the share of toxic labels: else it takes the whole weight of
+        # documents without any term, and one insult alone no longer outweighs it.
+        start, decays = (params[0].copy(), 0.0, 0.0), (self.hold, self.decay, self.decay)
         for t in range(1, self.steps + 1):
             w0, w, v = params
             xv = x @ v
             out = w0 + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
-            err = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) / len(y)
+            err = weight * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y)
             gx = x.T @ err
             grads = [np.array([err.sum()], np.float32), gx, x.T @ (xv * err[:, None]) - v * gx[:, None]]
             for i, g in enumerate(grads):
-                g = g + decays[i] * params[i]
+                g = g + decays[i] * (params[i] - start[i])
                 m[i] = 0.9 * m[i] + 0.1 * g
                 s[i] = 0.999 * s[i] + 0.001 * g * g
                 params[i] = params[i] - self.rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)
@@ -101,20 +105,16 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
 
-class Scorer(dict):
+class Scorer(Memo):
     """word -> its model slots, as met."""
 
     def __init__(self, model: FactorizationMachine):
+        super().__init__(MEMO)
         self.model = model
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def compute(self, word: bytes) -> tuple[int, ...]:
         slots = self.model.slots
-        out = tuple(slots[t] for t in terms_of(word) if t in slots)
-        if len(word) < 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = out
-        return out
+        return tuple(slots[t] for t in terms_of(word) if t in slots)
 
     def score(self, data: bytes) -> float:
         found: set[int] = set()
