@@ -15,6 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import Cmp, compare
 from ..functions.kinds import FLOATING, SPARK, Kind, as_bits, literal, zero
@@ -165,9 +166,9 @@ class View:
         for s in self.scope:
             live = live.where(view_compare(s.cmp, F.col(s.column), s.value, kinds(0, s.column)))
         need = lambda k: {p.column for p in self.picks if p.source == k} | {x.column for x in self.program if isinstance(x, Leaf) and x.source == k}
-        rows = live.select(F.col("_row").alias("_base_row"), *[F.col(c).alias(f"s0_{c}") for c in need(0) | {j.column for j in self.joins if j.column}])
+        rows = live.select(F.col("_row").alias("_base_row"), *[F.col(c).alias(f"s0_{c}") for c in sorted(need(0) | {j.column for j in self.joins if j.column})])
         for k, j in enumerate(self.joins, 1):
-            target = stores[j.store].live().select(F.col("_row").alias(f"_join{k}_row"), *[F.col(c).alias(f"s{k}_{c}") for c in need(k)])
+            target = stores[j.store].live().select(F.col("_row").alias(f"_join{k}_row"), *[F.col(c).alias(f"s{k}_{c}") for c in sorted(need(k))])
             if j.column is None:
                 on = F.col("_base_row") == F.col(f"_join{k}_row")
             else:
@@ -297,3 +298,41 @@ class View:
             if self.base in room:
                 total += sum(min(room[self.base], room[j.store]) for j in self.joins if j.column and j.store in room)
         return total
+
+
+# -- commands --------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Command:
+    """One cell write; `record` names the row, or a new record by any hashable that is not a row
+    number: commands with the same new record fill one freshly allocated row."""
+
+    store: str
+    column: str
+    record: object
+    value: object
+
+
+def run_commands(stores: Mapping[str, Store], commands: list[Command]) -> tuple[dict[str, Store], dict[tuple[str, object], int]]:
+    """The stores after a (driver-sized) list of commands, and the rows that new records got.
+
+    Of several writes to one cell the last counts. New records that find their store full, and
+    writes to unknown stores or columns, are skipped.
+    """
+    out, rows = dict(stores), {}
+    for name in dict.fromkeys(c.store for c in commands if c.store in out):
+        own = [c for c in commands if c.store == name]
+        fresh = list(dict.fromkeys(c.record for c in own if not isinstance(c.record, int)))
+        if fresh:
+            slots, out[name] = out[name].allocate(len(fresh))
+            rows |= {(name, r): s for r, s in zip(fresh, slots)}
+        spark = out[name].frame.sparkSession
+        for column in dict.fromkeys(c.column for c in own):
+            spec = out[name].spec(column)
+            last = {(c.record if isinstance(c.record, int) else rows.get((name, c.record))): c.value for c in own if c.column == column}
+            last.pop(None, None)
+            if spec and last:
+                schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("value", SPARK[spec.kind])])
+                out[name] = out[name].write_cells(column, spark.createDataFrame(list(last.items()), schema))
+    return out, rows

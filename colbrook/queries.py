@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expressions import Cmp, Curve, Noise, Op, Shape
-from .functions.kinds import Kind, smallest_signed, smallest_unsigned
+from .functions.kinds import Kind, convert_number, smallest_signed, smallest_unsigned
 from .operators.updates import Update, affected, apply, choose, column, curved, noisy, perturbed, scalar, scaled
 from .operators.views import AND, NOT, OR, RANGE, Join, Leaf, Pick, Scope, View, Write, snapshot
 from .plans.program import Program
@@ -253,6 +253,14 @@ def convert_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(store.convert([ColumnSpec("h", Kind.UINT8), ColumnSpec("w", Kind.INT64), ColumnSpec("fresh", Kind.INT32, 7)]), "h", "w", "fresh")
 
 
+@query("SELECT p_partkey AS row_id, trunc(p_retailprice - 1500)::BIGINT AS cut, p_size::DOUBLE AS wide, CASE WHEN p_size - 25 < 0 THEN p_size - 25 + 65536 ELSE p_size - 25 END::BIGINT AS word FROM part")
+def convert_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    return read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_id"), convert_number(price - 1500, Kind.DOUBLE, Kind.INT32).cast("bigint").alias("cut"), convert_number(size, Kind.INT32, Kind.DOUBLE).alias("wide"), convert_number(size - 25, Kind.INT32, Kind.UINT16).cast("bigint").alias("word")
+    )
+
+
 @query("SELECT count(*) FILTER (o_orderkey % 10 <> 3 AND o_totalprice > 1000) AS affected, count(*) FILTER (o_orderkey % 10 <> 3) AS live FROM orders")
 def affected_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = store_of(spark, sf_dir, "orders", "o_orderkey", PRICE)

@@ -160,6 +160,16 @@ class Store:
             return self
         return self._next(self.frame.withColumn(name, F.when(F.col("_row") == row, literal(value, c.kind)).otherwise(F.col(name))))
 
+    def write_cells(self, name: str, edits: DataFrame) -> Store:
+        """Writes one column from (row, value) edits with unique rows; others keep their cell."""
+        c = self.spec(name)
+        if c is None:
+            return self
+        new = edits.select(edits[edits.columns[0]].cast("bigint").alias("__row"), edits[edits.columns[1]].cast(SPARK[c.kind]).alias("__value"))
+        joined = self.frame.join(new, self.frame["_row"] == new["__row"], "left")
+        cells = [F.coalesce("__value", name).alias(name) if o.name == name else F.col(o.name) for o in self.columns]
+        return self._next(joined.select(*META, *cells))
+
     def try_set(self, row: int, name: str, value) -> tuple[bool, Store]:
         ok = self.spec(name) is not None and self.frame.where(F.col("_row") == row).head() is not None
         return ok, self.set(row, name, value) if ok else self

@@ -7,11 +7,11 @@ from colbrook.functions.expressions import Cmp, Op
 from colbrook.functions.kinds import Kind
 from colbrook.functions.ranks import ranked
 from colbrook.operators.updates import scalar
-from colbrook.operators.views import AND, NEW, NOT, OR, RANGE, Join, Leaf, Pick, Scope, View, Write, snapshot
+from colbrook.operators.views import AND, NEW, NOT, OR, RANGE, Command, Join, Leaf, Pick, Scope, View, Write, run_commands, snapshot
 from colbrook.plans.program import Program
 from colbrook.plans.query import Query, Registry
 from colbrook.sources.store import ColumnSpec, Store
-from colbrook.streaming.scheduler import Scheduler
+from colbrook.streaming.scheduler import Scheduler, drive
 
 
 def make(spark, columns, rows, extra=0, tag="store"):
@@ -160,3 +160,31 @@ def test_registry(spark, actors):
     r.mark_dirty("slow")
     assert r.refresh(tables, 0.1) == [] and r.refresh(tables, 0.6) == ["slow"]
     assert r.views["always"].result.columns == ["health"]
+
+
+def test_commands(spark):
+    s = make(spark, [("a", Kind.INT32), ("b", Kind.INT32, 7)], [(1, 1), (2, 2)], extra=2).set_valid(F.col("_row") >= 2, False)
+    orders = [Command("s", "a", 0, 10), Command("s", "a", 0, 11), Command("s", "b", "x", 5), Command("s", "a", "x", 6), Command("s", "a", "y", 8), Command("s", "a", "z", 9), Command("t", "a", 0, 1), Command("s", "none", 0, 1)]
+    out, rows = run_commands({"s": s}, orders)
+    assert rows == {("s", "x"): 2, ("s", "y"): 3}
+    assert [tuple(r) for r in out["s"].dump().collect()] == [(11, 1), (2, 2), (6, 5), (8, 7)] and out["s"].live_count() == 4
+
+
+def test_ticks_driven_by_a_stream(spark):
+    import time
+
+    s = Scheduler({0: counters(spark, 3)}, cut_every=0)
+    s.add_program(bump("c0"))
+    stream = drive(spark, s, rows_per_second=5, ticks=3)
+    until = time.time() + 60
+    while s.tick_count < 3 and time.time() < until:
+        time.sleep(0.2)
+    stream.stop()
+    assert [r[0] for r in s.stores[0].dump().collect()] == [3, 3, 3]
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_views_do_not_depend_on_the_layout(spark, actors, parts):
+    spread = Store(actors.frame.repartition(parts).orderBy(F.rand(3)), actors.columns, actors.capacity)
+    v = View("a", (Pick(0, "health"),), scope=(Scope("health", Cmp.GT, 20),), update=(Write("health", "a", "faction"),)).refresh({"a": spread}).change(F.col("health") > 50)
+    assert [tuple(r) for r in v.commit({"a": spread})[0]["a"].dump().collect()] == [(100, 100), (30, 2), (80, 80), (10, 1)]
