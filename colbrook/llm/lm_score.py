@@ -69,30 +69,56 @@ def ngram_hashes(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.
 
 
 class BackoffAutomaton:
-    """The part of the automaton that a block of documents reaches, from its n-gram counts.
+    """The part of the automaton that a block of documents reaches, as arrays.
 
-    counts[k]: of the (k+1)-gram that ends at each position. A START position carries the number
-    of training documents at k = 0.
+    `ranks[k]` numbers the distinct (k+1)-grams of the block by position (-1 where one would cross
+    a document's start), `counts[k]` holds their training counts by number. A k-gram seen in
+    training is a state, with a failure arc to its suffix of k - 1 words; the empty history is
+    the last state. A (k+1)-gram seen in training is an arc out of the state of its first k
+    words; out of the empty history there is an arc for every word.
     """
 
-    def __init__(self, order: int, total: int, distinct: int, delta: float = DELTA, mu: float = MU):
-        self.order, self.delta, self.mu = order, delta, mu
-        self.norm = total + delta * (distinct + 1)
-
-    def arcs(self, counts: list[np.ndarray], seen: list[np.ndarray]) -> np.ndarray:
-        """log10 probability at each position (not to be read at START).
-
-        Follows failure arcs downwards from the longest history: where the n-gram is seen its arc
-        is taken, else the failure weight is paid and the next shorter history asked.
+    def __init__(self, ranks: list[np.ndarray], counts: list[np.ndarray], total: int, distinct: int, delta: float = DELTA, mu: float = MU):
+        self.ranks, self.counts = ranks, counts
+        self.arcs = [np.log10((counts[0] + delta) / (total + delta * (distinct + 1)))]
+        self.failures: list[np.ndarray] = [np.zeros(0)]
+        for k in range(1, len(ranks)):
+            at = np.zeros(len(counts[k]), np.int64)
+            whole = np.flatnonzero(ranks[k] >= 0)
+            at[ranks[k][whole]] = whole
+            history = counts[k - 1][ranks[k - 1][at - 1]]
+            shorter = 10.0 ** self.arcs[k - 1][ranks[k - 1][at]]
+            self.arcs.append(np.log10((counts[k] + mu * shorter) / (history + mu)))
+            self.failures.append(np.log10(mu / (counts[k - 1] + mu)))
+
+    def traverse(self, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of each token; 0 at the START tokens.
+
+        The state before a token is the longest seen history that ends there. It depends on the
+        last words only, so that all tokens of the block take their step at once: those that
+        find an arc in their state take it, the others pay the failure arc and ask the next
+        shorter history.
         """
-        p = (counts[0] + self.delta) / self.norm
-        for k in range(1, self.order):
-            history = np.zeros(len(p))
-            history[1:] = counts[k - 1][:-1]
-            arc = np.log10((counts[k] + self.mu * p) / (history + self.mu))
-            failure = np.log10(self.mu / (history + self.mu)) + np.log10(p)
-            p = np.where(seen[k], 10.0 ** np.where(counts[k] > 0, arc, failure), p)
-        return np.log10(p)
+        out = np.zeros(len(self.ranks[0]))
+        level = np.zeros(len(out), np.int64)
+        real = np.ones(len(out), bool)
+        real[starts] = False
+        for k in range(1, len(self.ranks)):
+            before = self.ranks[k - 1][:-1]
+            level[1:][(before >= 0) & (self.counts[k - 1][before] > 0)] = k
+        level[starts] = 0
+        for k in range(len(self.ranks) - 1, 0, -1):
+            at = np.flatnonzero(level == k)
+            gram = self.ranks[k][at]
+            arc = (gram >= 0) & (self.counts[k][gram] > 0)
+            out[at[arc]] += self.arcs[k][gram[arc]]
+            fail = at[~arc]
+            out[fail] += self.failures[k][self.ranks[k - 1][fail - 1]]
+            level[at[arc]] = -1
+            level[fail] = k - 1
+        at = np.flatnonzero((level == 0) & real)
+        out[at] += self.arcs[0][self.ranks[0][at]]
+        return out
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -216,24 +242,21 @@ def _traverse(order: int, delta: float, mu: float, id_column: str) -> Callable:
         words, index, sizes, train = _unpack(own[1], "<u8"), _unpack(own[2], "<u4"), _unpack(own[3], "<i8"), _unpack(own[4], "u1")
         flat = words[index]
         starts = np.cumsum(sizes) - sizes
-        counts, seen = [], []
+        counts, ranks = [], []
         for k, h in enumerate(ngram_hashes(flat, starts, order)):
             told = frame[frame["kind"] == k].sort_values("shard")
-            table = np.concatenate([_unpack(a, "<u8") if len(a) else np.empty(0, np.uint64) for a in told["a"]])
-            use = np.flatnonzero(h)
-            by = use[np.argsort(h[use], kind="stable")]
-            rank = np.cumsum(np.concatenate([[0], h[by][1:] != h[by][:-1]])) if len(by) else np.empty(0, np.int64)
-            c = np.zeros(len(h))
-            c[by] = table[rank]
-            counts.append(c)
-            seen.append(h != 0)
+            counts.append(np.concatenate([_unpack(a, "<u8") if len(a) else np.empty(0, np.uint64) for a in told["a"]]).astype(np.float64))
+            whole = np.flatnonzero(h)
+            by = whole[np.argsort(h[whole], kind="stable")]
+            rank = np.full(len(h), -1)
+            if len(by):
+                rank[by] = np.cumsum(np.concatenate([[0], h[by][1:] != h[by][:-1]]))
+            ranks.append(rank)
         total, distinct = int(frame["total"].sum()), int(frame["distinct"].sum())
-        automaton = BackoffAutomaton(order, total, distinct, delta, mu)
-        real = np.ones(len(flat), bool)
-        real[starts] = False
-        base = np.where(real, np.log10((counts[0] + delta) / automaton.norm), 0.0)
-        arcs = np.where(real, automaton.arcs(counts, seen), 0.0)
-        known = real & (counts[0] > 0)
+        automaton = BackoffAutomaton(ranks, counts, total, distinct, delta, mu)
+        arcs = automaton.traverse(starts)
+        base, known = automaton.arcs[0][ranks[0]], counts[0][ranks[0]] > 0
+        base[starts], known[starts] = 0.0, False
         return pd.DataFrame(
             {
                 id_column: ids.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get),
