@@ -19,8 +19,8 @@ components over these links come from large-star and small-star steps on written
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links
 like any other; fewer words than a shingle give one shingle; a null doc_id counts as larger than
-any other; repeated rows link through their equal fingerprint; an empty table gives an empty
-result; other columns are ignored unless carried.
+any other; repeated rows link through their equal fingerprint; different texts under one doc_id
+are different documents; an empty table gives an empty result; other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -310,15 +310,16 @@ NO_ID = (1 << 63) - 1
 
 
 def component_ids(table: DataFrame, settings: Settings) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of a table with doc_id and fp.
+    """(fp, component, component_id) of every distinct fingerprint of a table with doc_id and fp.
 
-    A node is named by the smallest doc_id of its fingerprint; fingerprints of one repeated
-    doc_id share a node.
+    A component is numbered by one of its fingerprints; component_id is its smallest doc_id.
     """
-    nodes = table.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).alias("rep"))
-    nodes = materialise(nodes, "nodes")
+    nodes = table.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).alias("low"))
+    nodes = materialise(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
     found = components(links_of(nodes, settings))
-    return nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    grouped = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", "low", F.coalesce("root", "rep").alias("component"))
+    lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    return grouped.join(lowest, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -333,9 +334,11 @@ def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     """The row with the smallest doc_id of every component, with all columns."""
     prepare(docs.sparkSession)
     # Row numbers tell repeated rows apart; written, they stay the same however often they are read.
-    numbered = materialise(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    table = fingerprints(numbered, settings, ("doc_id", "__rid"))
-    ids = component_ids(table, settings)
-    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("__rid").alias("r"))
-    best = table.join(ids, "fp").groupBy("component_id").agg(F.min(order).alias("w")).select(F.col("w.r").alias("__best"))
-    return numbered.join(best, numbered["__rid"] == best["__best"], "left_semi").drop("__rid")
+    rid = "rid"
+    while rid in docs.columns:
+        rid = f"_{rid}"
+    numbered = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    table = fingerprints(numbered, settings, ("doc_id", rid))
+    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col(rid).alias("r"))
+    best = table.join(component_ids(table, settings), "fp").groupBy("component").agg(F.min(order).alias("w")).select(F.col("w.r").alias("best"))
+    return numbered.join(best.select(F.col("best").alias(rid)), rid, "left_semi").select(*docs.columns)

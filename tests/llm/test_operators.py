@@ -401,3 +401,34 @@ def test_pipeline_keeps_the_clean(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "pieces"] and 0 < out.count() < spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_hostile_tables(spark):
+    """Null ids and texts, repeated rows, and columns named like the operators' own."""
+    names = "key fp rep piece p o task node root a b data train id shard block kind total distinct digest rid n row keep_id group_size kept score predicted pieces y terms __rid h_digest w".split()
+    texts_ = [None, "", "x y z", "x y z", "the idiot " * 3000, "ü" * 5000, "a b c d e f g"]
+    rows = [(None if i % 4 == 3 else i % 5, texts_[i % 7], *[f"c{i}"] * len(names)) for i in range(28)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "b c d e f", 2.0), (None, "zzz", 1.0), (2, None, 1.0)], "item_id long, text string, distance double")
+    labels = spark.createDataFrame([(0, 1, "t"), (1, 0, "t"), (None, 1, "t"), (2, None, "t"), (3, 0, None)], "doc_id long, toxic int, text string")
+    model = toxicity_fm.train(docs, labels)
+    bpe, piece = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
+    whole = [lm_score.held_out_scores(docs), exact_dedup.exact_dedup(docs), token_count.count_tokens(docs, bpe), simhash.near_duplicates(docs), sp_unigram.encode(docs, piece), sp_unigram.encode_digest(docs, piece), toxicity_fm.score_toxicity(docs, model)]
+    assert [f.count() for f in whole] == [28] * len(whole)
+    assert exact_dedup.drop_exact_copies(docs).count() == 5
+    near = simhash.drop_near_copies(docs)
+    assert near.count() == 5 and near.columns == docs.columns
+    leaks = decontam.find_leaks(docs, bench).collect()
+    assert {r.item_id for r in leaks} == {1} and len(leaks) == 4
+    assert decontam.drop_leaking(docs, bench).count() == 24 and toxicity_fm.drop_toxic(docs, model).columns == docs.columns
+
+
+def test_whole_rows_survive_when_all_columns_are_null(spark):
+    docs = spark.createDataFrame([(None, None, None)] * 3, "doc_id long, text string, extra string")
+    assert exact_dedup.drop_exact_copies(docs).count() == 1 and simhash.drop_near_copies(docs).count() == 1
+    assert [r.component_id for r in simhash.near_duplicates(docs).collect()] == [None] * 3
+    assert lm_score.held_out_scores(docs).count() == 3
+    chats = spark.createDataFrame([(None, None, None, None)] * 2, "conv_id long, turn long, role string, text string")
+    assert [r.n_turns for r in chat_tree.read_back(chat_tree.build_packs(chats)).collect()] == [2]
+    pages = spark.createDataFrame([(None, None, None)] * 2, "page_id long, url string, html string")
+    assert html_crf.extract(pages).count() == 2 and url_trie.filter_urls(pages, queries.URL_RULES).count() == 2
