@@ -32,7 +32,7 @@ from .common import Memo, map_batches, prepare
 
 MARK = "▁"
 #: Largest model that is broadcast; units that a worker remembers in each of two generations.
-MAX_PIECES, MEMO = 1_000_000, 500_000
+MAX_PIECES, MEMO = 1_000_000, 200_000
 #: Cost of an uncovered character below the lowest score, as SentencePiece sets it.
 UNKNOWN_PENALTY = 10.0
 #: Scores under this mark pieces that the model never chooses; they don't set the lowest score.

@@ -25,7 +25,7 @@ from .common import Memo, map_batches, prepare
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Largest vocabulary that is broadcast; pre-tokens a worker remembers in each of two generations.
-MAX_VOCABULARY, MEMO = 1_000_000, 500_000
+MAX_VOCABULARY, MEMO = 1_000_000, 200_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -28,7 +28,7 @@ TRAIN_ROWS, FEATURES, FACTORS = 8_000, 512, 8
 #: Hash buckets of terms.
 BUCKETS = 1 << 22
 #: Words that a worker remembers in each of two generations.
-MEMO = 300_000
+MEMO = 150_000
 EDGE = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
