@@ -55,6 +55,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most keys that a filter broadcasts; beyond, the filter is a shuffled join.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """The rows whose key is not among the dropped ones.
+
+    Texts stay where they are while the dropped keys are few enough to be broadcast.
+    """
+    dropped = materialise(dropped.select(key), "dropped")
+    small = dropped.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(dropped) if small else dropped, key, "left_anti")
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -73,6 +87,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         for b in batches:
             if b.num_rows:
                 yield f(b)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -121,4 +136,4 @@ def binaries(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.to_pylist()]
 
 
-__all__ = ["F", "Memo", "StorageLevel", "WHITE", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "shared_folder", "text_bytes", "words_of"]
+__all__ = ["F", "Memo", "StorageLevel", "WHITE", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "shared_folder", "text_bytes", "without", "words_of"]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialise, prepare
+from .common import WHITE, materialise, prepare, without
 
 #: Counters of a Misra-Gries summary: digests with over rows / K rows are sure to be found.
 K = 1000
@@ -85,7 +85,7 @@ def digest_table(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def _decide(table: DataFrame, k: int) -> DataFrame:
     """Adds keep_id, group_size and kept to every row of a digest table."""
     order = F.struct(F.col("n"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("low"), (-F.col("rid")).alias("r"))
-    own = [c for c in table.columns if c not in ("rid", "n")]
+    own = [c for c in table.columns if c != "n"]
     candidates = F.broadcast(heavy_hitters(table, k).select(F.col("digest").alias("h_digest")))
     total = table.count()
     found = (
@@ -115,7 +115,11 @@ def exact_dedup(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, k: int = K) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns.
+
+    Decisions are made on digests alone; the texts are filtered by the dropped row numbers.
+    """
     prepare(docs.sparkSession)
     table = digest_table(docs, tuple(docs.columns))
-    return _decide(table, k).where("kept").select("row.*")
+    dropped = _decide(table.drop("row"), k).where(~F.col("kept")).select("rid")
+    return without(table, "rid", dropped).select("row.*")

@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, map_batches, materialise, mix64, prepare, text_bytes, words_of
+from .common import binaries, map_batches, materialise, mix64, prepare, text_bytes, without, words_of
 
 #: Most fingerprints in one tree; dealt rows that one task takes; pairs looked at in one step.
 SHARD, TASK_ROWS, ROOM = 20_000, 100_000, 2_000_000
 #: Most hot shard keys that are broadcast; beyond, they are joined by shuffle.
 HOT_KEYS = 500_000
+#: Ways that a large component's fingerprints are dealt to when they learn its number.
+SALTS = 16
 SEED = 97
 
 
@@ -227,7 +229,7 @@ def key_bits(settings: Settings, count: int) -> list[np.ndarray]:
     if not settings.recall:
         cuts = [i * bits // (settings.radius + 1) for i in range(settings.radius + 2)]
         return [np.arange(a, b) for a, b in zip(cuts, cuts[1:])]
-    width = min(40, max(12, math.ceil(math.log2(max(2, count) / 16))))
+    width = min(40, max(12, math.ceil(math.log2(max(2, count) / 64))))
     keys = math.ceil(math.log(1 - settings.recall) / math.log(1 - (1 - differing(settings.similarity)) ** width))
     rng = np.random.default_rng(SEED)
     pool = np.concatenate([rng.permutation(bits) for _ in range(math.ceil((keys + 1) * width / (bits - width)) + 1)])
@@ -317,9 +319,16 @@ def component_ids(table: DataFrame, settings: Settings) -> DataFrame:
     nodes = table.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).alias("low"))
     nodes = materialise(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
     found = components(links_of(nodes, settings))
-    grouped = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", "low", F.coalesce("root", "rep").alias("component"))
-    lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    return grouped.join(lowest, "component").select("fp", "component", "component_id")
+    joined = nodes.join(found, nodes["rep"] == found["node"], "left").withColumn("salt", F.pmod(F.col("rep"), F.lit(SALTS)))
+    alone = joined.where(F.col("root").isNull()).select("fp", F.col("rep").alias("component"), F.col("low").alias("component_id"))
+    # A root is its component's smallest node and has no row in `found`.
+    linked = joined.where(F.col("root").isNotNull()).select("fp", "low", "root", "salt")
+    roots = nodes.select(F.col("rep").alias("root"), F.col("low").alias("root_low"))
+    lowest = linked.groupBy("root").agg(F.min("low").alias("low")).join(roots, "root").select("root", F.least("low", "root_low").alias("component_id"))
+    spread = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    linked = linked.join(spread, ["root", "salt"]).select("fp", F.col("root").alias("component"), "component_id")
+    alone = alone.join(lowest.withColumnRenamed("component_id", "low"), alone["component"] == F.col("root"), "left").select("fp", "component", F.coalesce("low", "component_id").alias("component_id"))
+    return alone.unionByName(linked)
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -340,5 +349,6 @@ def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     numbered = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     table = fingerprints(numbered, settings, ("doc_id", rid))
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col(rid).alias("r"))
-    best = table.join(component_ids(table, settings), "fp").groupBy("component").agg(F.min(order).alias("w")).select(F.col("w.r").alias("best"))
-    return numbered.join(best.select(F.col("best").alias(rid)), rid, "left_semi").select(*docs.columns)
+    found = table.join(component_ids(table, settings), "fp").select(F.col(rid), "component", order.alias("order"))
+    best = found.groupBy("component").agg(F.min("order").alias("best")).select(F.col("best.r").alias(rid))
+    return without(numbered, rid, table.select(rid).join(best, rid, "left_anti")).select(*docs.columns)
