@@ -32,6 +32,8 @@ HIDDEN = frozenset("script style noscript template title textarea select option
 #: Elements that are part of a line of text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements around everything, which tell nothing of a block.
+ROOTS = frozenset(("html", "body"))
 #: Open tags that end an open element of the given kinds.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -100,7 +102,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             if ends and stack and stack[-1][0] in ends:
                 path = stack.pop()[1]
             stack.append((name, path))
-            own = [f"in={name}"]
+            own = [f"in={name}"] if name not in ROOTS else []
             for names in _NAMES.findall(m[3] or m[6] or ""):
                 own += [f"named={w.lower()}" for n in names if n for w in _SPLIT.findall(n)]
             path = (*path, *own)
@@ -113,7 +115,13 @@ def features(blocks: list[tuple[str, tuple[str, ...], int]]) -> list[list[str]]:
     for i, (text, path, linked) in enumerate(blocks):
         words = text.count(" ") + 1
         f = ["bias", f"words={min(5, words.bit_length())}", f"links={min(3, 4 * linked // max(1, len(text)))}", *dict.fromkeys(path)]
+        f += dict.fromkeys(f"like={p[6:10]}" for p in path if p.startswith("named="))
         f.append("tag=" + next((p[3:] for p in reversed(path) if p.startswith("in=")), ""))
+        f.append("top=" + next((p[3:] for p in path if p.startswith("in=") and p != "in=div"), ""))
+        near = next((k for k in range(len(path) - 1, -1, -1) if path[k].startswith("named=")), -1)
+        if near >= 0:
+            f.append(f"near={path[near][6:10]}")
+            f.append(f"own={path[near][6:10]}" if not any(p.startswith("in=") for p in path[near:]) else "far")
         if text[-1] in ".!?:;\"'”»…":
             f.append("stop")
         if "©" in text[:40] or "·" in text or "|" in text:
@@ -193,7 +201,7 @@ class Chain:
         return out[::-1]
 
 
-def labelled_pages(count: int = 500, seed: int = 5) -> list[tuple[str, list[str]]]:
+def labelled_pages(count: int = 800, seed: int = 5) -> list[tuple[str, list[str]]]:
     """(page, its article blocks): pages of many templates, written from a seed."""
     r = random.Random(seed)
 
@@ -214,7 +222,7 @@ def labelled_pages(count: int = 500, seed: int = 5) -> list[tuple[str, list[str]
         if kind == "nav":
             return r.choice((f"<nav><ul>{links(r.randint(2, 8))}</ul></nav>", f"<div{name('nav', 'menu', 'navbar', 'breadcrumb', 'site-nav')}><ul>{links(r.randint(2, 8))}</ul></div>", f"<ul{name('menu', 'nav-list', 'pagination', 'tags')}>{links(4)}</ul>"))
         if kind == "header":
-            return r.choice((f"<header><div{name('logo', 'brand', 'site-title')}>{line(1, 3, '')}</div><p>{line(2, 6)}</p></header>", f"<header>{line(2, 6, r.choice(('', '.')))}</header>", f"<div{name('header', 'masthead', 'topbar', 'banner', 'site-header')}><h2>{line(1, 3, '')}</h2><p>{line(3, 20)}</p></div>"))
+            return r.choice((f"<header><div{name('logo', 'brand', 'site-title')}>{line(1, 3, '')}</div><p>{line(2, 6)}</p></header>", f"<header>{line(2, 6, r.choice(('', '.')))}</header>", f"<header><{(t := r.choice(('h1', 'h2', 'p')))}>{line(1, 4, '')}</{t}></header>", f"<div{name('header', 'masthead', 'topbar', 'banner', 'site-header')}><h2>{line(1, 3, '')}</h2><p>{line(3, 20)}</p></div>"))
         if kind == "aside":
             inner = r.choice((f"<h3>{line(1, 3, '')}</h3><ul>{links(4)}</ul>", f"<p>{line(3, 40)}</p>" * r.randint(1, 3), line(3, 30)))
             return r.choice((f"<aside>{inner}</aside>", f"<div{name('sidebar', 'aside', 'widget', 'related', 'related-posts', 'recommended', 'popular')}>{inner}</div>", f"<section{name('related', 'sidebar', 'more-stories')}>{inner}</section>"))
@@ -245,8 +253,14 @@ def labelled_pages(count: int = 500, seed: int = 5) -> list[tuple[str, list[str]
                 cut[i] = r.choice((f"<b>{cut[i]}</b>", f'<a href="/x">{cut[i]}</a>', f"<em>{cut[i]}</em>"))
             body.append(f"<{tag}>{' '.join(cut)}</{tag}>" if r.random() > 0.05 or tag != "p" else f"<p>{' '.join(cut)}")
 
-        if r.random() < 0.9:
+        bare = r.random() < 0.08
+        x = r.random()
+        if x < 0.75:
             block("h1", 1, 10, r.choice(("", "", ".")))
+        elif x < 0.9 and not bare:
+            body.append("<header>")
+            block(r.choice(("h1", "h2")), 1, 10, "")
+            body.append("</header>")
         for _ in range(r.randint(1, 14)):
             x = r.random()
             if x < 0.72:
@@ -263,16 +277,18 @@ def labelled_pages(count: int = 500, seed: int = 5) -> list[tuple[str, list[str]
             elif x < 0.89:
                 block(r.choice(("pre", "figcaption", "td", "div")), 3, 20)
             elif x < 0.97:
-                body.append(junk(r.choice(("ad", "aside", "ad", "share", "form", "notice"))))
+                body.append(junk(r.choice(("ad", "aside", "ad", "share", "form", "notice", "nav"))))
         inner = "".join(body)
         if r.random() < 0.12:
             inner += junk("comments")
-        main = r.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div" + name("content", "article", "post", "entry-content", "story", "article-body", "main-content", "post-body") + ">{}</div>", "<section" + name("content", "post", "article-text") + ">{}</section>", "<article" + name("post", "entry", "article") + "><div" + name("entry-content", "body", "text") + ">{}</div></article>")).format(inner)
+        main = inner if bare else r.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div" + name("content", "article", "post", "entry-content", "story", "article-body", "main-content", "post-body") + ">{}</div>", "<section" + name("content", "post", "article-text") + ">{}</section>", "<article" + name("post", "entry", "article") + "><div" + name("entry-content", "body", "text") + ">{}</div></article>")).format(inner)
         top = [junk(k) for k in ("nav", "header", "ad", "notice", "form") if r.random() < 0.5]
         r.shuffle(top)
         low = [junk(k) for k in ("comments", "aside", "share", "ad", "form", "nav", "notice") if r.random() < 0.35]
         r.shuffle(low)
         foot = junk("footer") if r.random() < 0.85 else ""
+        if bare and r.random() < 0.5:
+            top, low, foot = [], [], ""
         pieces = "".join(top) + main + "".join(low) + foot
         if r.random() < 0.2:
             pieces = f"<div{name('page', 'wrapper', 'container', 'layout')}>{pieces}</div>"
@@ -290,7 +306,7 @@ def labels_of(blocks: list[tuple[str, tuple[str, ...], int]], article: list[str]
     return out
 
 
-def train(count: int = 500, seed: int = 5) -> Chain:
+def train(count: int = 800, seed: int = 5) -> Chain:
     pages = []
     for page, article in labelled_pages(count, seed):
         blocks = leaf_blocks(page)
