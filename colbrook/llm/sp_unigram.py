@@ -68,49 +68,54 @@ def _fields(data: bytes):
 
 
 class DoubleArray:
-    """BASE and CHECK arrays over bytes; the value of a key hangs under the code 0."""
+    """BASE and CHECK arrays over bytes, and the value of each state (-1: none).
+
+    The child of `state` by byte c is base[state] + c, if check says that it is. The arrays end
+    in a margin, so that no bound needs to be checked.
+    """
 
     def __init__(self, keys: list[tuple[bytes, int]]):
         tree: dict = {}
         for key, value in keys:
             node = tree
             for b in key:
-                node = node.setdefault(b + 1, {})
-            node[0] = value
+                node = node.setdefault(b, {})
+            node[-1] = value
         size = 1 << 16
-        self.base, self.check = [0] * size, [-1] * size
-        self.check[0] = 0
+        self.base, self.check, self.value = [1] * size, [-1] * size, [-1] * size
         taken = bytearray(size)
         taken[0] = 1
-        low = 1
+        low, wide = 257, 257
         queue = [(0, tree)]
         while queue:
             state, node = queue.pop()
+            self.value[state] = node.pop(-1, -1)
             codes = sorted(node)
-            while low < len(taken) and taken[low]:
+            if not codes:
+                continue
+            while taken[low]:
                 low += 1
-            at = low if len(codes) < 3 else max(low, getattr(self, "_from", low))
-            while True:
-                base = at - codes[0]
-                if base > 0:
-                    if base + codes[-1] >= len(taken):
-                        more = len(taken)
-                        self.base += [0] * more
-                        self.check += [-1] * more
-                        taken += bytearray(more)
-                    if not any(taken[base + c] for c in codes):
-                        break
+            at = low
+            if len(codes) > 2:
+                at = max(at, wide)
+            while any(taken[at - codes[0] + c] for c in codes):
                 at += 1
-            if len(codes) >= 3:
-                self._from = max(low, at - 512)
+                if at + 512 > len(taken):
+                    taken += bytearray(len(taken))
+            if len(codes) > 2:
+                wide = max(257, at - 512)
+            base = at - codes[0]
+            while base + 512 > len(self.base):
+                more = len(self.base)
+                self.base += [1] * more
+                self.check += [-1] * more
+                self.value += [-1] * more
+                taken += bytearray(max(0, len(self.base) + 512 - len(taken)))
             self.base[state] = base
             for c in codes:
                 taken[base + c] = 1
                 self.check[base + c] = state
-                if c:
-                    queue.append((base + c, node[c]))
-                else:
-                    self.base[base] = -node[0] - 1
+                queue.append((base + c, node[c]))
 
 
 class PieceModel:
@@ -158,28 +163,29 @@ class PieceModel:
         data = unit.encode()
         n = len(data)
         best, come, via = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
-        base, check, scores, size = self.trie.base, self.trie.check, self.scores, len(self.trie.base)
+        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         at = 0
         while at < n:
             here = best[at]
             lead = data[at]
             width = 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
-            state, one = 0, False
-            for to in range(at, n):
-                nxt = base[state] + data[to] + 1
-                if nxt >= size or check[nxt] != state:
+            one = at + width
+            state, to, covered = 0, at, False
+            for code in data[at:]:
+                last, state = state, base[state] + code
+                if check[state] != last:
                     break
-                state = nxt
-                leaf = base[state]
-                if check[leaf] == state and base[leaf] < 0:
-                    piece = -base[leaf] - 1
+                to += 1
+                piece = value[state]
+                if piece >= 0:
                     score = here + scores[piece]
-                    if score > best[to + 1]:
-                        best[to + 1], come[to + 1], via[to + 1] = score, at, piece
-                    one = one or to + 1 - at == width
-            if not one and here + self.unknown > best[at + width]:
-                best[at + width], come[at + width], via[at + width] = here + self.unknown, at, -1
-            at += width
+                    if score > best[to]:
+                        best[to], come[to], via[to] = score, at, piece
+                    if to == one:
+                        covered = True
+            if not covered and here + self.unknown > best[one]:
+                best[one], come[one], via[one] = here + self.unknown, at, -1
+            at = one
         out: list[int] = []
         while at:
             if via[at] >= 0:
