@@ -20,7 +20,7 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 #: Bytes of text that go to a Python worker at once, whatever the length of the texts.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -47,14 +47,28 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
+#: Tables that `materialise` has written and `release` has not deleted.
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
 #: Most keys that a filter broadcasts; beyond, the filter is a shuffled join.
 BROADCAST_KEYS = 1_000_000
 
@@ -136,4 +150,4 @@ def binaries(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.to_pylist()]
 
 
-__all__ = ["F", "Memo", "StorageLevel", "WHITE", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "shared_folder", "text_bytes", "without", "words_of"]
+__all__ = ["F", "Memo", "StorageLevel", "WHITE", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "release", "shared_folder", "text_bytes", "without", "words_of"]

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import binaries, map_batches, materialise, mix64, prepare, text_bytes, without, words_of
 
 #: Most fingerprints in one tree; dealt rows that one task takes; pairs looked at in one step.
-SHARD, TASK_ROWS, ROOM = 20_000, 100_000, 2_000_000
+SHARD, TASK_ROWS, ROOM = 20_000, 20_000, 2_000_000
 #: Most hot shard keys that are broadcast; beyond, they are joined by shuffle.
 HOT_KEYS = 500_000
 #: Ways that a large component's fingerprints are dealt to when they learn its number.
