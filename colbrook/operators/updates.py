@@ -137,8 +137,10 @@ def right_side(store: Store, u: Update, strict_compat: bool, precision: str) ->
     return x
 
 
-def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, precision: str = "float") -> tuple[DataFrame, list[str]]:
-    """The store's frame after all updates in order, and the names of their hit flags in it.
+def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, precision: str = "float", count: bool = False) -> tuple[DataFrame, list[str]]:
+    """The store's frame after all updates in order, one projection each.
+
+    With count, every update also leaves a column that flags its rows; their names come second.
 
     With strict_compat an update with curve or scale in a level band runs as a plain column
     update; otherwise it raises.
@@ -162,22 +164,22 @@ def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, p
                 right = right_side(store, u, strict_compat, precision)
                 new = right if u.noise and u.op in BITWISE else operate(u.op, F.col(u.target), right, kind)
                 flag = applies(store, u)
-            frame = frame.withColumn(name, flag)
-            frame = frame.withColumn(u.target, F.when(F.col(name), new).otherwise(F.col(u.target)))
-            frame = frame.drop("__noise")
-            hits.append(name)
+            if count:
+                frame = frame.withColumn(name, flag)
+                flag = F.col(name)
+                hits.append(name)
+            frame = frame.withColumn(u.target, F.when(flag, new).otherwise(F.col(u.target))).drop("__noise")
     return frame, hits
 
 
 def apply(store: Store, *updates: Update, strict_compat: bool = False, precision: str = "float") -> Store:
     """The next version, lazily."""
-    frame, hits = fold(store, updates, strict_compat, precision)
-    return store._next(frame.drop(*hits))
+    return store._next(fold(store, updates, strict_compat, precision)[0])
 
 
 def affected(store: Store, *updates: Update, strict_compat: bool = False) -> int:
     """Rows written, added up over the updates, in one job."""
-    frame, hits = fold(store, updates, strict_compat)
+    frame, hits = fold(store, updates, strict_compat, count=True)
     if not hits:
         return 0
     total = frame.agg(sum((F.coalesce(F.sum(F.col(h).cast("long")), F.lit(0)) for h in hits), F.lit(0)).alias("n"))
