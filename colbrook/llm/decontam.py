@@ -128,9 +128,9 @@ class Items:
             out = out * size + ids[k : len(ids) - q + 1 + k]
         return out
 
-    def _starts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, start) of all windows that the q-gram count allows, over joined documents."""
-        items, starts = [], []
+    def _starts(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, document, start) of all windows that the q-gram count allows, over joined documents."""
+        items, spots, offsets = [], [], []
         for q, (keys, first, size, of, offset) in self.grams.items():
             if len(ids) < q:
                 continue
@@ -147,20 +147,24 @@ class Items:
             width = size[slot]
             row = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[slot], width)
             items.append(of[row])
-            starts.append(np.repeat(at, width) - offset[row])
-        if not items or not sum(map(len, items)):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        item, start = np.concatenate(items), np.concatenate(starts)
-        e, need = np.array(self.edits)[item], np.array(self.need)[item]
-        line = item * (1 << 40) + start + (1 << 20)
-        by = np.argsort(line, kind="stable")
-        line, item, start, e, need = line[by], item[by], start[by], e[by], need[by]
-        enough = np.searchsorted(line, line + 2 * e, side="right") - np.arange(len(line)) >= need
-        item, start, e = item[enough], start[enough], e[enough]
+            spots.append(np.repeat(at, width))
+            offsets.append(offset[row])
+        if not sum(map(len, items)):
+            return (np.empty(0, np.int64),) * 3
+        item, spot = np.concatenate(items), np.concatenate(spots)
+        doc = np.searchsorted(begins, spot, side="right") - 1
+        start = spot - np.concatenate(offsets) - begins[doc]
+        by = np.lexsort((start, doc, item))
+        item, doc, start = item[by], doc[by], start[by]
+        group = np.cumsum(np.concatenate([[0], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])]))
+        line = group * (1 << 33) + start + (1 << 31)
+        e = np.array(self.edits)[item]
+        enough = np.searchsorted(line, line + 2 * e, side="right") - np.arange(len(line)) >= np.array(self.need)[item]
+        item, doc, start, e = item[enough], doc[enough], start[enough], e[enough]
         width = 2 * e + 1
         shift = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) - np.repeat(e, width)
-        both = np.unique(np.stack([np.repeat(item, width), np.repeat(start, width) + shift]), axis=1)
-        return both[0], both[1]
+        every = np.unique(np.stack([np.repeat(item, width), np.repeat(doc, width), np.repeat(start, width) + shift]), axis=1)
+        return every[0], every[1], every[2] + begins[every[1]]
 
     def find(self, texts: list[bytes]) -> list[tuple[int, object, int, int]]:
         """(text index, item id, first word, distance): the best run of each leaked item."""
@@ -171,18 +175,9 @@ class Items:
         begins = np.cumsum(sizes) - sizes
         for w, a in zip(lists, begins.tolist()):
             ids[a : a + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
-        item, start = self._starts(ids)
+        item, doc, start = self._starts(ids, begins)
         if not len(item):
             return []
-        # A hit lies inside its document: the document of a start is that of the hit's first word.
-        doc = np.clip(np.searchsorted(begins, np.maximum(start, 0), side="right") - 1, 0, len(texts) - 1)
-        n = np.array([len(w) for w in self.words])[item]
-        e = np.array(self.edits)[item]
-        wide = [(item, start, doc)]
-        nxt = np.minimum(doc + 1, len(texts) - 1)
-        over = (begins[nxt] < start + n) & (nxt > doc)
-        wide.append((item[over], begins[nxt[over]], nxt[over]))
-        item, start, doc = (np.concatenate(x) for x in zip(*wide))
         n, e = np.array([len(w) for w in self.words])[item], np.array(self.edits)[item]
         low, high = begins[doc], begins[doc] + sizes[doc] - 1
         start = np.clip(start, low, np.maximum(low, high - n))

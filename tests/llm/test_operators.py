@@ -317,6 +317,9 @@ def test_decontamination_against_exact_search(spark):
     word = lambda: r.choice("abcdefgh") + r.choice("xyz") + r.choice(["", "ly", "ing"])
     items = [" ".join(word() for _ in range(n)) for n in (1, 2, 4, 5, 6, 10, 15, 23, 30, 30, 44, 55)] + ["", None]
     docs = [None, "", "ax"]
+    for cut in (0, 3, 6):
+        # Short documents before and after one that holds only a part of an item.
+        docs += ["ax", " ".join(items[8].split()[cut:]), "by", "ax", " ".join(items[10].split()[: 44 - cut]), "az"]
     for _ in range(160):
         left, right = ([word() for _ in range(r.choice([0, 3, 50]))] for _ in range(2))
         own = r.choice(items[3:12]).split()
