@@ -55,21 +55,22 @@ class FactorizationMachine:
         if not n1 or not n0:
             return self
         flat = np.concatenate(rows)
-        of = np.repeat(labels, [len(r) for r in rows])
-        buckets, index = np.unique(flat, return_inverse=True)
-        c1, c = np.bincount(index, weights=of, minlength=len(buckets)), np.bincount(index, minlength=len(buckets))
+        at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        c = np.bincount(flat, minlength=BUCKETS)
+        c1 = np.bincount(flat[labels[at] > 0], minlength=BUCKETS)
+        seen = np.flatnonzero(c >= 4)
+        c, c1 = c[seen], c1[seen]
         p = c / (n1 + n0)
         z = np.abs(c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        z[c < 4] = 0
         best = np.sort(np.argsort(-z, kind="stable")[: self.features])
-        best = best[z[best] > 0]
-        self.slots = {int(buckets[b]): i for i, b in enumerate(best)}
-        slot = np.full(len(buckets), -1)
-        slot[best] = np.arange(len(best))
-        x = np.zeros((len(rows), len(best)), np.float32)
-        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        use = slot[index] >= 0
-        x[at[use], slot[index][use]] = 1
+        chosen = seen[best[z[best] > 0]]
+        self.slots = {int(b): i for i, b in enumerate(chosen)}
+        slot = np.full(BUCKETS, -1, np.int32)
+        slot[chosen] = np.arange(len(chosen))
+        x = np.zeros((len(rows), len(chosen)), np.float32)
+        slot = slot[flat]
+        x[at[slot >= 0], slot[slot >= 0]] = 1
+        del flat, at, slot, c, c1, z
         self._descend(x, labels.astype(np.float32))
         return self
 
@@ -153,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     got = map_batches(rows, make, "y int, terms binary").toArrow()
     terms = [np.frombuffer(t, np.int32) for t in got.column("terms").to_pylist()]
     y = np.array(got.column("y").to_pylist(), np.int64)
-    by = sorted(range(len(y)), key=lambda i: (int(y[i]), len(terms[i]), terms[i].tobytes()))
+    del got
+    by = sorted(range(len(y)), key=lambda i: (int(y[i]), len(terms[i]), xxhash.xxh64_intdigest(terms[i]), terms[i].tobytes()[:64]))
     return FactorizationMachine().fit([terms[i] for i in by], y[by] if len(y) else y)
 
 
