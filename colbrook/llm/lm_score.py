@@ -38,6 +38,8 @@ from .common import binaries, id_mod, mix64, prepare, text_bytes, words_of
 DELTA, MU, ORDER = 0.1, 100.0, 2
 #: Tokens in a block, after which a task begins the next one.
 BLOCK_TOKENS = 2_000_000
+#: Bytes of input, as planned, whose n-grams one shard adds up.
+SHARD_BYTES = 64 << 20
 END, START = np.uint64(0x9D5C3F1B7A8E6042), np.uint64(0x3C6EF372FE94F82B)
 
 
@@ -272,13 +274,24 @@ def _traverse(order: int, delta: float, mu: float, id_column: str) -> Callable:
     return run
 
 
-def score_documents(docs: DataFrame, train: Column, order: int = ORDER, delta: float = DELTA, mu: float = MU, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Scores every row; rows where `train` holds are what the model learns from."""
+def planned_bytes(df: DataFrame) -> int:
+    """Bytes that the optimiser expects of a frame."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def score_documents(docs: DataFrame, train: Column, order: int = ORDER, delta: float = DELTA, mu: float = MU, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Scores every row; rows where `train` holds are what the model learns from.
+
+    A task holds one block of `block_tokens` (about 150 bytes each) or one shard of the n-grams of
+    `shard_bytes` of input; raise both with the executors' memory, as the number of messages is
+    the number of blocks times that of shards.
+    """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(text_bytes(text_column).alias("data"), F.coalesce(train, F.lit(False)).alias("train"), F.col(id_column))
     kind = docs.schema[id_column].dataType.simpleString()
-    shards = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, planned_bytes(docs) // shard_bytes))
     messages = rows.mapInArrow(_blocks(order, shards, block_tokens), "shard long, block long, kind int, a binary, b binary")
     answers = messages.groupBy("shard").applyInPandas(_answer(order), "block long, shard long, kind int, a binary, total long, distinct long")
     return answers.groupBy("block").applyInPandas(_traverse(order, delta, mu, id_column), f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
