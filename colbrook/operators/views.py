@@ -26,6 +26,8 @@ from ..sources.store import Store
 ABSENT = 0x7FFFFFFF
 UNCHANGED, MODIFIED, NEW, REMOVED = 0, 1, 2, 3
 STACK = 64
+#: Most new rows for which only as many free slots are looked up.
+TOP_SLOTS = 100_000
 
 
 # -- snapshots -------------------------------------------------------------------------------
@@ -259,9 +261,12 @@ class View:
 
     def _insert(self, stores: dict[str, Store]) -> tuple[dict[str, Store], View]:
         targets = list(dict.fromkeys(w.store for w in self.insert))
-        new = ranked(self.rows.where(F.col("_state") == NEW), "_new", "__k")
+        new = self.rows.where(F.col("_state") == NEW)
+        # Few new rows take the lowest free slots from a bounded top-k; many rank all free slots.
+        few = new.limit(TOP_SLOTS + 1).count()
+        new = ranked(new, "_new", "__k")
         for s in targets:
-            slots = stores[s].free_slots().select(F.col("_slot").alias(f"__slot_{s}"), F.col("_k").alias(f"__k_{s}"))
+            slots = stores[s].free_slots(few if few <= TOP_SLOTS else None).select(F.col("_slot").alias(f"__slot_{s}"), F.col("_k").alias(f"__k_{s}"))
             new = new.join(slots, F.col("__k") == F.col(f"__k_{s}"), "left").drop(f"__k_{s}")
         links = {j.column: j.store for j in self.joins if j.column and j.store in targets} if self.base in targets else {}
         for s in targets:
