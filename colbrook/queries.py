@@ -35,10 +35,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def store_of(spark: SparkSession, sf_dir: str, table: str, key: str, columns: Columns, tag: str | None = None) -> Store:
-    """A store whose columns are expressions that Spark and DuckDB read alike."""
+    """A store whose columns are expressions that Spark and DuckDB read alike; no driver table has nulls."""
     df = read(spark, sf_dir, table).selectExpr(f"CAST({key} AS BIGINT) AS __key", *[f"CAST({e} AS {SQL_TYPE[k]}) AS {n}" for n, (k, e) in columns.items()])
     k = F.col("__key")
-    return Store.from_frame(df, "__key", [ColumnSpec(n, kind) for n, (kind, _) in columns.items()], valid=k % 10 != 3, level=k % 3, tag=tag or table)
+    return Store.from_frame(df, "__key", [ColumnSpec(n, kind) for n, (kind, _) in columns.items()], valid=k % 10 != 3, level=k % 3, tag=tag or table, nulls=False)
 
 
 #: Digits that floating results are rounded to, on both sides.

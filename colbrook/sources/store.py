@@ -65,8 +65,11 @@ class Store:
         return cls(frame, columns, rows, tag)
 
     @classmethod
-    def from_frame(cls, df: DataFrame, row: Expr | str, columns: Iterable[ColumnSpec] | None = None, capacity: int | None = None, valid: Expr | bool = True, locked: Expr | bool = False, level: Expr | int = 0, tag: str = "store") -> Store:
-        """A store over a table whose key is dense and 0-based; nulls become zeros."""
+    def from_frame(cls, df: DataFrame, row: Expr | str, columns: Iterable[ColumnSpec] | None = None, capacity: int | None = None, valid: Expr | bool = True, locked: Expr | bool = False, level: Expr | int = 0, tag: str = "store", nulls: bool = True) -> Store:
+        """A store over a table whose key is dense and 0-based; nulls become zeros.
+
+        Say nulls=False of a table that has none: conditions on its columns then reach the scan.
+        """
         row = F.col(row) if isinstance(row, str) else row
         if columns is None:
             columns = [ColumnSpec(f.name, kind_of(f.dataType)) for f in df.schema if not isinstance(f.dataType, (T.StringType, T.TimestampNTZType, T.ArrayType))]
@@ -75,7 +78,7 @@ class Store:
         lod = level if isinstance(level, Expr) else F.lit(level)
         frame = df.select(
             row.cast("bigint").alias("_row"), flag(valid).alias("_valid"), flag(locked).alias("_locked"), F.coalesce(lod, F.lit(0)).cast("smallint").alias("_level"),
-            *[F.coalesce(F.col(c.name).cast(SPARK[c.kind]), literal(zero(c.kind), c.kind)).alias(c.name) for c in columns],
+            *[(F.coalesce(F.col(c.name).cast(SPARK[c.kind]), literal(zero(c.kind), c.kind)) if nulls else F.col(c.name).cast(SPARK[c.kind])).alias(c.name) for c in columns],
         )
         return cls(frame, columns, capacity if capacity is not None else -1, tag)
 
