@@ -293,10 +293,10 @@ def score_documents(docs: DataFrame, train: Column, order: int = ORDER, delta: f
     kind = docs.schema[id_column].dataType.simpleString()
     shards = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, planned_bytes(docs) // shard_bytes))
     messages = rows.mapInArrow(_blocks(order, shards, block_tokens), "shard long, block long, kind int, a binary, b binary")
-    answers = messages.groupBy("shard").applyInPandas(_answer(order), "block long, shard long, kind int, a binary, total long, distinct long")
-    # Blocks are few and large: many partitions keep several from meeting in one task.
-    answers = answers.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
-    return answers.groupBy("block").applyInPandas(_traverse(order, delta, mu, id_column), f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # Shards and blocks are few and large: many partitions keep several from meeting in one task.
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    answers = messages.repartition(parts, "shard").groupBy("shard").applyInPandas(_answer(order), "block long, shard long, kind int, a binary, total long, distinct long")
+    return answers.repartition(parts, "block").groupBy("block").applyInPandas(_traverse(order, delta, mu, id_column), f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out_scores(docs: DataFrame, folds: int = 10, **options) -> DataFrame:
