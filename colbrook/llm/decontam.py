@@ -179,22 +179,22 @@ class Items:
         if not len(item):
             return []
         n, e = np.array([len(w) for w in self.words])[item], np.array(self.edits)[item]
-        low, high = begins[doc], begins[doc] + sizes[doc] - 1
-        start = np.clip(start, low, np.maximum(low, high - n))
-        ok = high - low >= n - e
-        item, start, doc, low, high, n, e = (x[ok] for x in (item, start, doc, low, high, n, e))
+        start, length = start - begins[doc], sizes[doc] - 1
+        # Windows reach past both ends of their document and are padded there, so that a passage at
+        # an end has as many windows as any other.
+        ok = (start >= -e) & (start < length) & (length >= n - e)
+        start, doc, n = start[ok], doc[ok], n[ok]
         wanted = defaultdict(list)
         for size in np.unique(n).tolist():
             rows = np.flatnonzero(n == size)
-            spots, place = np.unique(start[rows], return_inverse=True)
-            of = np.empty(len(spots), np.int64)
-            of[place] = doc[rows]
+            of, spots = np.unique(np.stack([doc[rows], start[rows]]), axis=1)
             for a in range(0, len(spots), 20_000):
                 part, at = of[a : a + 20_000], spots[a : a + 20_000]
                 windows = np.full((len(part), size), PAD)
                 for r, (d, s) in enumerate(zip(part.tolist(), at.tolist())):
-                    words = lists[d][s - begins[d] : s - begins[d] + size]
-                    windows[r, : len(words)] = [xxhash.xxh64_intdigest(x) for x in words]
+                    words = lists[d][max(0, s) : s + size]
+                    skip = max(0, -s)
+                    windows[r, skip : skip + len(words)] = [xxhash.xxh64_intdigest(x) for x in words]
                 keys = sample_keys([cgk(windows, SEED + s) for s in range(WALKS)], size)
                 for t, table in enumerate(self.tables[size]):
                     for r, key in enumerate(keys[:, t].tolist()):
@@ -210,8 +210,9 @@ class Items:
                 b = a
                 while b + 1 < len(spots) and spots[b + 1] <= spots[b] + size:
                     b += 1
-                first = max(0, spots[a] - int(begins[d]) - edits)
-                region = lists[d][first : spots[b] - int(begins[d]) + size + edits]
+                # A run begins at most 2 e from its windows and is at most e longer than the item.
+                first = max(0, spots[a] - 2 * edits)
+                region = lists[d][first : spots[b] + size + 3 * edits]
                 distance, end = best_run(self.words[k], np.array([xxhash.xxh64_intdigest(x) for x in region], np.uint64))
                 if distance <= edits and (best is None or distance < best[0]):
                     best = (distance, max(0, first + end - size))

@@ -337,6 +337,36 @@ def test_decontamination_against_exact_search(spark):
     assert {x.doc_id for x in clean.collect()} == set(range(len(docs))) - {d for d, _ in got} and clean.columns == df.columns
 
 
+def edited_leaks(n, edits, kind, before, after, trials=100):
+    """Items of n random words, and for each a document that holds it after this many edits."""
+    r = random.Random(n * 1000 + edits)
+    word = lambda: "w%d" % r.randrange(10**6)
+    items, docs = [], []
+    for _ in range(trials):
+        item = [word() for _ in range(n)]
+        own = item[:]
+        for _ in range(edits):
+            k = r.randrange(len(own))
+            own[k : k + 1] = {"delete": [], "insert": [own[k], word()], "substitute": [word()]}[kind]
+        items.append(" ".join(item))
+        docs.append(" ".join([word() for _ in range(before)] + own + [word() for _ in range(after)]))
+    return items, docs
+
+
+def recall_of(items, docs):
+    found = {(d, i) for d, i, _, _ in decontam.Items([(i, t.encode()) for i, t in enumerate(items)]).find([t.encode() for t in docs])}
+    want = {(d, d) for d in range(len(docs)) if brute_leaks(docs[d], items[d])}
+    assert found <= want and len(want) == len(docs)
+    return len(found) / len(want)
+
+
+@pytest.mark.parametrize("before", [0, 60])
+@pytest.mark.parametrize("n, edits", [(25, 5), (40, 8), (59, 5)])
+def test_passages_with_deleted_words_at_the_documents_end(n, edits, before):
+    """The passage ends the document, or is all of it; the windows run past the end."""
+    assert recall_of(*edited_leaks(n, edits, "delete", before, 0)) >= 0.9
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op10_toxicity(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
