@@ -5,9 +5,14 @@ words is within floor(RATE * n) word edits of the item's n words.
 
 The CGK random walk turns a word sequence into a string of three times its length: at step j it
 writes the current word and moves on by the bit that (j, word) hashes to, so that few edits
-become few differing places. Places are sampled (SAMPLES a table, TABLES tables over WALKS
-walks); a window whose sampled places all agree with an item's in any table is a candidate, and
-a semi-global edit distance over the window and its margin decides exactly.
+become few differing places. Places are sampled (SAMPLES a table); a window whose sampled places
+all agree with an item's in any table is a candidate, and a semi-global edit distance over the
+window and its margin decides exactly.
+
+Tables and walks follow the item's length (PLANS), so that at least RECALL of the passages with
+all allowed edits are candidates, be the edits deletions, insertions or substitutions. Distortion
+grows with the number of edits; where the tables would cost more than the exact check (longer
+items, or a larger rate than the plans hold for), every window goes to that check and none is lost.
 
 Which windows are embedded: by the q-gram lemma a run within e edits shares at least
 n - q + 1 - q e q-grams with the item, all on diagonals at most e from its beginning. Windows at
@@ -36,8 +41,10 @@ from .common import binaries, map_batches, mix64, prepare, text_bytes, words_of
 
 #: Word edits allowed, as a share of the item's words.
 RATE = 0.2
-#: Places a table samples, tables, and walks that the tables are dealt over.
-SAMPLES, TABLES, WALKS = 3, 48, 4
+#: Places a table samples; share of passages at the full allowance that the tables are to find.
+SAMPLES, RECALL = 3, 0.99
+#: (most words of an item, tables, walks that they are dealt over), measured at RATE for RECALL.
+PLANS = ((32, 96, 8), (64, 192, 16), (128, 512, 32))
 #: Bytes of item text in one broadcast.
 BLOCK_BYTES = 8 << 20
 PAD = np.uint64(0x5851F42D4C957F2D)
@@ -58,15 +65,25 @@ def cgk(windows: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def sample_keys(embedded: list[np.ndarray], n: int) -> np.ndarray:
-    """(rows, TABLES) keys of the sampled places; places depend on n and the table only."""
-    rng = np.random.default_rng(SEED + n)
-    keys = np.empty((len(embedded[0]), TABLES), np.uint64)
-    for t in range(TABLES):
-        key = np.full(len(keys), np.uint64(t + 1))
-        for place in rng.integers(0, 2 * n, SAMPLES):
-            key = mix64(key ^ embedded[t % WALKS][:, place])
-        keys[:, t] = key
+def plan(n: int, edits: int) -> tuple[int, int] | None:
+    """Tables and walks for items of n words; None where every window is checked exactly."""
+    if edits > RATE * n + 1e-9:
+        return None
+    return next((p[1:] for p in PLANS if n <= p[0]), None)
+
+
+def sample_keys(windows: np.ndarray, tables: int, walks: int) -> np.ndarray:
+    """(tables, rows) keys of the sampled places; places depend on the words of a row and the table only."""
+    m, n = windows.shape
+    places = np.random.default_rng(SEED + n).integers(0, 2 * n, (tables, SAMPLES))
+    keys = np.empty((tables, m), np.uint64)
+    for w in range(walks):
+        embedded = cgk(windows, SEED + w)
+        for t in range(w, tables, walks):
+            key = np.full(m, np.uint64(t + 1))
+            for place in places[t]:
+                key = mix64(key ^ embedded[:, place])
+            keys[t] = key
     return keys
 
 
@@ -110,15 +127,13 @@ class Items:
             table = np.array(sorted(rows), np.int64)
             keys, first, size = np.unique(table[:, 0], return_index=True, return_counts=True)
             self.grams[q] = (keys, first, size, table[:, 1], table[:, 2])
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        self.tables: dict[int, np.ndarray] = {}
+        self.slot = np.zeros(len(self.words), np.int64)
         for n in {len(w) for w in self.words}:
-            own = [k for k, w in enumerate(self.words) if len(w) == n]
-            keys = sample_keys([cgk(np.stack([self.words[k] for k in own]), SEED + s) for s in range(WALKS)], n)
-            tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(TABLES)]
-            for r, k in enumerate(own):
-                for t in range(TABLES):
-                    tables[t][int(keys[r, t])].append(k)
-            self.tables[n] = [dict(t) for t in tables]
+            own = np.array([k for k, w in enumerate(self.words) if len(w) == n])
+            if size := plan(n, self.edits[own[0]]):
+                self.tables[n] = sample_keys(np.stack([self.words[k] for k in own]), *size)
+                self.slot[own] = np.arange(len(own))
 
     def codes(self, ids: np.ndarray, q: int) -> np.ndarray:
         """A number for each run of q vocabulary ids."""
@@ -183,28 +198,41 @@ class Items:
         # Windows reach past both ends of their document and are padded there, so that a passage at
         # an end has as many windows as any other.
         ok = (start >= -e) & (start < length) & (length >= n - e)
-        start, doc, n = start[ok], doc[ok], n[ok]
-        wanted = defaultdict(list)
+        item, start, doc, n = item[ok], start[ok], doc[ok], n[ok]
+        wanted = defaultdict(set)
         for size in np.unique(n).tolist():
             rows = np.flatnonzero(n == size)
-            of, spots = np.unique(np.stack([doc[rows], start[rows]]), axis=1)
-            for a in range(0, len(spots), 20_000):
-                part, at = of[a : a + 20_000], spots[a : a + 20_000]
+            if size not in self.tables:
+                for k, d, s in zip(item[rows].tolist(), doc[rows].tolist(), start[rows].tolist()):
+                    wanted[d, k].add(s)
+                continue
+            held = self.tables[size]
+            (of, spots), window = np.unique(np.stack([doc[rows], start[rows]]), axis=1, return_inverse=True)
+            by = np.argsort(window, kind="stable")
+            rows, window = rows[by], window[by]
+            for a in range(0, len(spots), 10_000):
+                part, at = of[a : a + 10_000], spots[a : a + 10_000]
                 windows = np.full((len(part), size), PAD)
                 for r, (d, s) in enumerate(zip(part.tolist(), at.tolist())):
                     words = lists[d][max(0, s) : s + size]
                     skip = max(0, -s)
                     windows[r, skip : skip + len(words)] = [xxhash.xxh64_intdigest(x) for x in words]
-                keys = sample_keys([cgk(windows, SEED + s) for s in range(WALKS)], size)
-                for t, table in enumerate(self.tables[size]):
-                    for r, key in enumerate(keys[:, t].tolist()):
-                        for k in table.get(key, ()):
-                            wanted[int(part[r]), k].append(int(at[r]))
+                keys = sample_keys(windows, *plan(size, self.edits[item[rows[0]]]))
+                # A window meets in the tables just the items whose q-gram count it has.
+                first, last = np.searchsorted(window, [a, a + len(part)])
+                for c in range(first, last, 10_000):
+                    pair = rows[c : min(c + 10_000, last)]
+                    seen = window[c : c + len(pair)] - a
+                    met = np.zeros(len(pair), bool)
+                    for t in range(len(keys)):
+                        met |= held[t, self.slot[item[pair]]] == keys[t, seen]
+                    for k, d, s in zip(item[pair[met]].tolist(), doc[pair[met]].tolist(), start[pair[met]].tolist()):
+                        wanted[d, k].add(s)
         out = []
         for (d, k), spots in sorted(wanted.items()):
             size, edits = len(self.words[k]), self.edits[k]
             best = None
-            spots = sorted(set(spots))
+            spots = sorted(spots)
             a = 0
             while a < len(spots):
                 b = a

@@ -367,6 +367,14 @@ def test_passages_with_deleted_words_at_the_documents_end(n, edits, before):
     assert recall_of(*edited_leaks(n, edits, "delete", before, 0)) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "substitute"])
+@pytest.mark.parametrize("n", [16, 32, 50, 64, 100, 128, 200])
+def test_recall_holds_at_every_item_length(n, kind):
+    """All allowed edits, in mid-document and as the whole document; small samples, so one or two may miss."""
+    for before, after in ((60, 60), (0, 0)):
+        assert recall_of(*edited_leaks(n, n // 5, kind, before, after, 50)) >= decontam.RECALL - 0.03
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op10_toxicity(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
