@@ -40,6 +40,8 @@ from .common import binaries, map_batches, materialise, mix64, prepare, text_byt
 
 #: Most fingerprints in one tree; dealt rows that one task takes; pairs looked at in one step.
 SHARD, TASK_ROWS, ROOM = 20_000, 20_000, 2_000_000
+#: Most rows of a candidate component, or of a piece of it, that are compared together.
+PIECE = 500
 #: Most hot shard keys that are broadcast; beyond, they are joined by shuffle.
 HOT_KEYS = 500_000
 #: Ways that a large component's fingerprints are dealt to when they learn its number.
@@ -339,8 +341,75 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     return table.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
 
 
+# -- exact similarity ------------------------------------------------------------------------
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Of each set of distinct hashes one that it is linked to by Jaccard similarity, or itself."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    code = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(code))]) if len(code) else np.zeros(1, np.int64)
+    begin = np.cumsum(size) - size
+    root, open_ = np.arange(n), np.ones(n, bool)
+    for seed in range(n):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        todo = [seed]
+        while todo and open_.any():
+            i = todo.pop()
+            if size[i]:
+                own = code[begin[i] : begin[i] + size[i]]
+                width = first[own + 1] - first[own]
+                at = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[own], width)
+                both = np.bincount(owner[at], minlength=n)
+                like = both >= similarity * (size + size[i] - both) - 1e-9
+            else:
+                like = size == 0
+            new = np.flatnonzero(like & open_)
+            root[new], open_[new] = seed, False
+            todo += new.tolist()
+    return root
+
+
+def similar_links(frame: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """Spanning links (a, b) of true similarity inside the components, or pairs of pieces, of one task."""
+    out = []
+    for _, group in frame.groupby(["component", "p", "o"], sort=False):
+        root = similar_forest([np.unique(shingle_hashes(t, settings.shingle)) for t in group["data"]], settings.similarity)
+        rid = group["rid"].to_numpy()
+        linked = root != np.arange(len(group))
+        out.append(pd.DataFrame({"a": rid[linked], "b": rid[root[linked]]}))
+    return pd.concat(out)
+
+
+def similar_rows(found: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """(rid, root) of the rows that true similarity links to another: found(rid, component), texts(rid, data).
+
+    Every pair inside a candidate component is decided by its shingles; a component of over PIECE
+    rows is cut, and each two of its pieces meet in a group of their own.
+    """
+    spark = found.sparkSession
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialise(found.join(sizes, "component").select("rid", "component", "size"), "members")
+    pieces = F.ceil(F.col("size") / PIECE).cast("int")
+    rows = texts.join(members, "rid").withColumn("piece", F.pmod(F.xxhash64("rid"), pieces).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), pieces - 1), lambda o: F.struct(F.least(o, F.col("piece")).alias("p"), F.greatest(o, F.col("piece")).alias("o")))
+    rows = rows.select("rid", "data", "component", F.explode(pairs).alias("pair")).select("rid", "data", "component", "pair.p", "pair.o")
+    tasks = max(1, math.ceil(members.count() / PIECE), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("component", "p", "o"), F.lit(tasks)))
+    links = rows.groupBy("task").applyInPandas(lambda f: similar_links(f, settings), "a long, b long")
+    return components(links).select(F.col("node").alias("rid"), "root")
+
+
 def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The row with the smallest doc_id of every component, with all columns."""
+    """The row with the smallest doc_id of every component, with all columns.
+
+    With a similarity set, fingerprints give the candidates only: links are pairs whose shingle
+    sets have that Jaccard similarity.
+    """
     prepare(docs.sparkSession)
     # Row numbers tell repeated rows apart; written, they stay the same however often they are read.
     rid = "rid"
@@ -350,5 +419,9 @@ def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     table = fingerprints(numbered, settings, ("doc_id", rid))
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col(rid).alias("r"))
     found = table.join(component_ids(table, settings), "fp").select(F.col(rid), "component", order.alias("order"))
+    if settings.similarity:
+        found = materialise(found.withColumnRenamed(rid, "rid"), "found")
+        similar = similar_rows(found, numbered.select(F.col(rid).alias("rid"), text_bytes().alias("data")), settings)
+        found = found.join(similar, "rid", "left").select(F.col("rid").alias(rid), F.coalesce("root", "rid").alias("component"), "order")
     best = found.groupBy("component").agg(F.min("order").alias("best")).select(F.col("best.r").alias(rid))
     return without(numbered, rid, table.select(rid).join(best, rid, "left_anti")).select(*docs.columns)

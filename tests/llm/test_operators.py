@@ -217,6 +217,41 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert simhash.drop_near_copies(docs_of(spark, rows), settings).count() == len(set(got.values()))
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_by_true_similarity(spark, monkeypatch):
+    """Pairs under 0.8 stay, whatever their fingerprints' distance; whole and cut components."""
+    r = random.Random(11)
+    rows = []
+    for g in range(90):
+        own = ["w%d" % r.randrange(10**6) for _ in range(200)]
+        # One block of new words: similarity (196 - k - 4) / (196 + k + 4), from 0.9 down to 0.65.
+        k = 6 + g % 30
+        rows += [" ".join(own), " ".join(own[:50] + ["z%d" % r.randrange(10**6) for _ in range(k)] + own[50 + k :])]
+    own = ["w%d" % r.randrange(10**6) for _ in range(150)]
+    rows += [" ".join(own[:i] + ["v%d" % i] + own[i + 1 :]) for i in range(0, 60, 3)]
+    sets = [shingles(t) for t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = simhash.forest(len(rows), [tuple(np.array(x) for x in zip(*links))])
+    want = set(root.tolist())
+    for piece in (simhash.PIECE, 6):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        got = {x.doc_id for x in simhash.drop_near_copies(docs_of(spark, rows), simhash.Settings.for_similarity(0.8)).collect()}
+        assert want <= got and len(got - want) <= 2
+
+
+def test_near_stage_on_driver_documents_by_true_similarity(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, shingles(r.text or "")) for r in docs.collect())
+    links = [(i, j) for i, (_, a) in enumerate(rows) for j, (_, b) in enumerate(rows[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    root = simhash.forest(len(rows), [tuple(np.array(x) for x in zip(*links))])
+    got = {x.doc_id for x in simhash.drop_near_copies(docs, simhash.Settings.for_similarity(0.8)).collect()}
+    assert got == {rows[i][0] for i in set(root.tolist())}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     found = {x.node: x.root for x in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
