@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,8 @@ from .common import binaries, map_batches, materialise, mix64, prepare, text_byt
 SHARD, TASK_ROWS, ROOM = 20_000, 20_000, 2_000_000
 #: Most rows of a candidate component, or of a piece of it, that are compared together.
 PIECE = 500
+#: Most shingles of a text whose candidates come from its shingles too.
+SHORT = 40
 #: Most hot shard keys that are broadcast; beyond, they are joined by shuffle.
 HOT_KEYS = 500_000
 #: Ways that a large component's fingerprints are dealt to when they learn its number.
@@ -52,7 +54,8 @@ SEED = 97
 @dataclass(frozen=True)
 class Settings:
     """shingle: words; size: 64-bit words of a fingerprint; radius: bits; distinct: count each
-    different shingle once; recall: of pairs at `similarity`, for sampled keys (0: spans)."""
+    different shingle once; recall: of pairs at `similarity`, for sampled keys (0: spans);
+    reach: the radius for candidates whose similarity is then decided exactly."""
 
     shingle: int = 4
     size: int = 1
@@ -60,17 +63,20 @@ class Settings:
     distinct: bool = False
     similarity: float = 0.0
     recall: float = 0.0
+    reach: int = 0
 
     @classmethod
     def for_similarity(cls, similarity: float, shingle: int = 5, size: int = 8, recall: float = 0.98) -> Settings:
         """Fingerprints and a radius that link texts whose shingle sets have this Jaccard similarity.
 
         Sets of similarity J have cosine 2J / (1 + J), and each bit differs with probability
-        acos(cosine) / pi. The radius lies two standard deviations above the mean distance.
+        acos(cosine) / pi. The radius lies two standard deviations above the mean distance,
+        the reach 3.5, which leaves out 3 in 10,000 such pairs.
         """
         p = differing(similarity)
         bits = 64 * size
-        return cls(shingle, size, round(bits * p + 2 * math.sqrt(bits * p * (1 - p))), True, similarity, recall)
+        mean, sd = bits * p, math.sqrt(bits * p * (1 - p))
+        return cls(shingle, size, round(mean + 2 * sd), True, similarity, recall, round(mean + 3.5 * sd))
 
 
 def differing(similarity: float) -> float:
@@ -225,6 +231,28 @@ def shard_links(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
 # -- shards ----------------------------------------------------------------------------------
 
 
+def linked_share(settings: Settings, width: int, keys: int) -> float:
+    """Share of pairs at the similarity that lie within the radius and meet in a shard, over all distances."""
+    bits, p = 64 * settings.size, differing(settings.similarity)
+    share = 0.0
+    for d in range(settings.radius + 1):
+        agree = math.comb(bits - d, width) / math.comb(bits, width)
+        share += math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * (1 - (1 - agree) ** keys)
+    return share
+
+
+def key_count(settings: Settings, width: int) -> int:
+    """Fewest keys that reach the target recall, or 99 % of what the radius leaves where that is less."""
+    within = linked_share(settings, 0, 1)
+    low, high = 0, 1
+    while linked_share(settings, width, high) < min(settings.recall, 0.99 * within):
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if linked_share(settings, width, middle) < min(settings.recall, 0.99 * within) else (low, middle)
+    return high
+
+
 def key_bits(settings: Settings, count: int) -> list[np.ndarray]:
     """The bit numbers of each shard key, for `count` fingerprints."""
     bits = 64 * settings.size
@@ -232,7 +260,7 @@ def key_bits(settings: Settings, count: int) -> list[np.ndarray]:
         cuts = [i * bits // (settings.radius + 1) for i in range(settings.radius + 2)]
         return [np.arange(a, b) for a, b in zip(cuts, cuts[1:])]
     width = min(40, max(12, math.ceil(math.log2(max(2, count) / 64))))
-    keys = math.ceil(math.log(1 - settings.recall) / math.log(1 - (1 - differing(settings.similarity)) ** width))
+    keys = key_count(settings, width)
     rng = np.random.default_rng(SEED)
     pool = np.concatenate([rng.permutation(bits) for _ in range(math.ceil((keys + 1) * width / (bits - width)) + 1)])
     return [pool[k * width : (k + 1) * width] for k in range(keys)]
@@ -313,14 +341,44 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 NO_ID = (1 << 63) - 1
 
 
-def component_ids(table: DataFrame, settings: Settings) -> DataFrame:
+def short_keys(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(fp, key) of texts of at most SHORT shingles: the first of their sorted shingle hashes.
+
+    Two sets of this similarity have one of these in common: of n hashes each shares at least
+    similarity * n, so that one of the first n + 1 less this number is shared. No such pair is lost.
+    """
+
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            fps, keys = [], []
+            for t in binaries(b.column(0)):
+                if len(words_of(t)) >= SHORT + settings.shingle:
+                    continue
+                h = np.unique(shingle_hashes(t, settings.shingle))
+                first = h[: len(h) + 1 - math.ceil(settings.similarity * len(h) - 1e-9)] if len(h) else h
+                fps += [fingerprint(t, settings)] * len(first)
+                keys += first.view(np.int64).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(keys, pa.int64())], names=["fp", "key"])
+
+        return run
+
+    return map_batches(texts.select("data"), make, "fp binary, key long")
+
+
+def component_ids(table: DataFrame, settings: Settings, short: DataFrame | None = None) -> DataFrame:
     """(fp, component, component_id) of every distinct fingerprint of a table with doc_id and fp.
 
     A component is numbered by one of its fingerprints; component_id is its smallest doc_id.
+    Fingerprints with a key of `short` (fp, key) in common are linked too.
     """
     nodes = table.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).alias("low"))
     nodes = materialise(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
-    found = components(links_of(nodes, settings))
+    links = links_of(nodes, settings)
+    if short is not None:
+        held = materialise(short.join(nodes, "fp").select("key", "rep").distinct(), "short")
+        lowest = held.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        links = links.unionByName(held.join(lowest, "key").select(F.col("rep").alias("a"), "b"))
+    found = components(links)
     joined = nodes.join(found, nodes["rep"] == found["node"], "left").withColumn("salt", F.pmod(F.col("rep"), F.lit(SALTS)))
     alone = joined.where(F.col("root").isNull()).select("fp", F.col("rep").alias("component"), F.col("low").alias("component_id"))
     # A root is its component's smallest node and has no row in `found`.
@@ -418,7 +476,9 @@ def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     numbered = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     table = fingerprints(numbered, settings, ("doc_id", rid))
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col(rid).alias("r"))
-    found = table.join(component_ids(table, settings), "fp").select(F.col(rid), "component", order.alias("order"))
+    short = short_keys(numbered.select(text_bytes().alias("data")), settings) if settings.similarity else None
+    candidates = component_ids(table, replace(settings, radius=settings.reach or settings.radius), short)
+    found = table.join(candidates, "fp").select(F.col(rid), "component", order.alias("order"))
     if settings.similarity:
         found = materialise(found.withColumnRenamed(rid, "rid"), "found")
         similar = similar_rows(found, numbered.select(F.col(rid).alias("rid"), text_bytes().alias("data")), settings)

@@ -252,6 +252,29 @@ def test_near_stage_on_driver_documents_by_true_similarity(spark):
     assert got == {rows[i][0] for i in set(root.tolist())}
 
 
+def test_short_texts_of_similarity_just_enough_are_linked(spark):
+    """Eight words against the same eight plus one: similarity of 4 in 5 shingles."""
+    rows = []
+    for g in range(40):
+        own = ["w%d" % (100 * g + i) for i in range(9)]
+        rows += [" ".join(own[:8]), " ".join(own)]
+    got = {x.doc_id for x in simhash.drop_near_copies(docs_of(spark, rows), simhash.Settings.for_similarity(0.8)).collect()}
+    assert got == set(range(0, 80, 2))
+
+
+@pytest.mark.parametrize("count", [10**5, 10**7, 10**9])
+def test_sampled_keys_reach_the_target_recall_at_any_size(count):
+    s = simhash.Settings.for_similarity(0.8)
+    bits, radius = 64 * s.size, s.reach
+    chosen = simhash.key_bits(simhash.replace(s, radius=radius), count)
+    r = np.random.default_rng(5)
+    differ = r.random((2000, bits)) < simhash.differing(0.8)
+    met = np.zeros(len(differ), bool)
+    for at in chosen:
+        met |= ~differ[:, at].any(axis=1)
+    assert (met & (differ.sum(axis=1) <= radius)).mean() >= s.recall - 0.01
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     found = {x.node: x.root for x in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
