@@ -2,28 +2,31 @@
 
 Model: unigrams smoothed by adding DELTA, P(w) = (c(w) + DELTA) / (N + DELTA (V + 1)); longer
 histories by a Dirichlet prior, P(w | h) = (c(h w) + MU P(w | h')) / (c(h) + MU), h' the history
-without its oldest word. As an automaton: a state per seen history; an arc per seen n-gram with
-weight log10 P(w | h); a failure arc to the state of h' with weight log10 MU / (c(h) + MU). A
-document is scored in one left-to-right traversal that carries the state and adds up the arcs.
-
-The automaton of the whole corpus has no size bound, so it is never collected or broadcast. Each
-task cuts its documents into blocks, and sends each block's distinct n-gram hashes with training
-counts (already added up inside the block) to the shard of the hash; the shard adds up all
-blocks and answers each block with the counts of just its n-grams. A block then builds the part
-of the automaton that its own documents can reach and traverses them. Two shuffles; both grow in
-proportion to the text, with no hot key: a frequent n-gram comes once a block.
-
-N-grams are 64-bit hashes of XXH64 word hashes. At 10^10 distinct n-grams the expected number of
-colliding pairs is under three.
+without its oldest word. As an automaton: a state per seen history of up to ORDER - 1 words; an
+arc per seen n-gram with weight log10 P(w | h), to the state of the longest seen history that
+then ends there; a failure arc to the state of h' with weight log10 MU / (c(h) + MU). A text is
+scored in one left-to-right traversal that carries the state and adds up what it passes.
+
+The automaton of the whole corpus has no size bound, so it is never collected or broadcast. A
+first pass counts training tokens and distinct words. Then each task cuts its documents into
+blocks and sends each block's distinct n-grams with their training counts (already added up in
+the block) to the shards of their hashes; a shard adds up all blocks and answers each with the
+counts of just its n-grams. A block then builds the part of the automaton that its own documents
+can reach and traverses them. Both shuffles grow in proportion to the text, with no hot key: a
+frequent n-gram comes once a block. A block sends a shard one message for all orders and none
+where it has nothing for it, so there are never more messages than distinct n-grams of blocks.
+
+N-grams are hashes of XXH64 word hashes, cut to as many bits as make the chance that an n-gram
+shares its hash with another one about 2^-SPARE_BITS, whatever the corpus' size.
 
 Defined cases: a null or empty text is the one end token; rows with null id count as id ''; texts
 are read whole; repeated rows count and are scored each; an empty table gives an empty result;
-other columns are ignored; with no training rows all counts are zero.
+other columns are ignored; with no training rows all counts are zero. Scores keep 10 digits, so
+that they do not depend on how documents are dealt to blocks.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,230 +38,342 @@ from pyspark.sql import functions as F
 
 from .common import binaries, id_mod, mix64, prepare, text_bytes, words_of
 
-DELTA, MU, ORDER = 0.1, 100.0, 2
+DELTA, MU, ORDER = 0.1, 100.0, 3
 #: Tokens in a block, after which a task begins the next one.
 BLOCK_TOKENS = 2_000_000
-#: Bytes of input, as planned, whose n-grams one shard adds up.
+#: Bytes of messages, about, that one shard adds up.
 SHARD_BYTES = 64 << 20
-END, START = np.uint64(0x9D5C3F1B7A8E6042), np.uint64(0x3C6EF372FE94F82B)
+#: Bits of an n-gram's hash beyond those that number all n-grams.
+SPARE_BITS = 28
+#: Tokens of a text that one lane of the traversal takes.
+LANE = 256
+#: Tokens of a block in one piece of what it keeps for itself.
+PIECE = 1 << 16
+END, START = 0x9D5C3F1B7A8E6042, 0x3C6EF372FE94F82B
+OWN = 100
 
 
-class WordHashes(dict):
-    """word -> XXH64, as met."""
+class WordIds(dict):
+    """word -> its number in the block, as met; `hashes` has XXH64 by number. 0: start, 1: end."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = [START, END]
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+        n = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return n
 
 
-def ngram_hashes(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hash of the k-gram that ends at each token, for k = 1 .. order; 0 where it would cross a start.
+def ngrams(tokens: np.ndarray, starts: np.ndarray, order: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For k = 1 .. order the positions where a k-gram ends inside its document, and its hashes.
 
     Each document begins with START, so `tokens` has one START at every index in `starts`.
     """
-    out = [mix64(tokens)]
-    depth = np.ones(len(tokens), np.int64)
-    if order > 1:
-        at = np.zeros(len(tokens), np.int64)
-        at[starts] = starts
-        depth = np.arange(len(tokens)) - np.maximum.accumulate(at) + 1
-    for k in range(2, order + 1):
-        longer = np.zeros(len(tokens), np.uint64)
-        if len(tokens):
-            longer[1:] = mix64(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:] + np.uint64(k))
-        out.append(np.where(depth >= k, longer, np.uint64(0)))
-    return out
+    begin = np.zeros(len(tokens), np.int32)
+    begin[starts] = starts
+    depth = np.arange(1, len(tokens) + 1, dtype=np.int32) - np.maximum.accumulate(begin)
+    cut = np.uint64(64 - bits)
+    h = mix64(tokens)
+    for k in range(1, order + 1):
+        if k > 1:
+            h[1:] = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:] + np.uint64(k))
+        at = np.flatnonzero(depth >= k) if k > 1 else np.arange(len(tokens))
+        yield at, h[at] >> cut
 
 
 class BackoffAutomaton:
     """The part of the automaton that a block of documents reaches, as arrays.
 
-    `ranks[k]` numbers the distinct (k+1)-grams of the block by position (-1 where one would cross
-    a document's start), `counts[k]` holds their training counts by number. A k-gram seen in
-    training is a state, with a failure arc to its suffix of k - 1 words; the empty history is
-    the last state. A (k+1)-gram seen in training is an arc out of the state of its first k
-    words; out of the empty history there is an arc for every word.
+    State 0 is the empty history; then come the histories of one word, then those of two, and
+    so on, as seen in training. `fail` and `cost` are a state's failure arc. `arc[k]` numbers
+    the (k+1)-gram that ends at each position of the block among the arcs out of the histories
+    of k words (-1: no such arc); `weight[k]` and `to[k]` are those arcs. Out of the empty
+    history there is an arc for every word.
     """
 
-    def __init__(self, ranks: list[np.ndarray], counts: list[np.ndarray], total: int, distinct: int, delta: float = DELTA, mu: float = MU):
-        self.ranks, self.counts = ranks, counts
-        self.arcs = [np.log10((counts[0] + delta) / (total + delta * (distinct + 1)))]
-        self.failures: list[np.ndarray] = [np.zeros(0)]
-        for k in range(1, len(ranks)):
-            at = np.zeros(len(counts[k]), np.int64)
-            whole = np.flatnonzero(ranks[k] >= 0)
-            at[ranks[k][whole]] = whole
-            history = counts[k - 1][ranks[k - 1][at - 1]]
-            shorter = 10.0 ** self.arcs[k - 1][ranks[k - 1][at]]
-            self.arcs.append(np.log10((counts[k] + mu * shorter) / (history + mu)))
-            self.failures.append(np.log10(mu / (counts[k - 1] + mu)))
-
-    def traverse(self, starts: np.ndarray) -> np.ndarray:
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], size: int, total: int, distinct: int, delta: float = DELTA, mu: float = MU):
+        """grams[k]: positions where a (k+1)-gram ends, and its number; counts[k]: by number."""
+        self.order = len(grams)
+        self.base = np.log10((counts[0] + delta) / (total + delta * (distinct + 1)))
+        self.arc, self.weight, self.to = [], [], []
+        self.fail, self.cost = [np.zeros(1, np.int32)], [np.zeros(1)]
+        states, level = 1, [np.zeros(1, np.int8)]
+        state_at = np.zeros(size, np.int32)
+        rank_before, prob_before = None, None
+        for k, ((at, rank), c) in enumerate(zip(grams, counts)):
+            seen = c > 0
+            whole = np.full(size, -1, np.int32)
+            whole[at] = rank
+            some = np.zeros(len(c), np.int64)
+            some[rank] = at
+            if k == 0:
+                prob = (c + delta) / (total + delta * (distinct + 1))
+                weight = self.base
+            else:
+                history = counts[k - 1][rank_before[some - 1]]
+                prob = (c + mu * prob_before[rank_before[some]]) / (history + mu)
+                weight = np.log10(prob)
+            if k < self.order - 1:
+                number = np.where(seen, states + np.cumsum(seen) - 1, -1).astype(np.int32)
+                self.fail.append(state_at[some[seen]])
+                self.cost.append(np.log10(mu / (c[seen] + mu)))
+                level.append(np.full(int(seen.sum()), k + 1, np.int8))
+                states += int(seen.sum())
+                ends = seen[rank]
+                state_at[at[ends]] = number[rank[ends]]
+                to = np.where(seen, number, 0)
+            else:
+                to = state_at[some]
+            if k:
+                whole[at[~seen[rank]]] = -1
+            self.arc.append(whole)
+            self.weight.append(weight)
+            self.to.append(to.astype(np.int32))
+            rank_before, prob_before = whole if k == 0 else _filled(size, at, rank), prob
+        self.fail, self.cost, self.level = np.concatenate(self.fail), np.concatenate(self.cost), np.concatenate(level)
+
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after reading the tokens at these positions, and the weights passed."""
+        out = np.zeros(len(state))
+        after = np.zeros(len(state), np.int32)
+        left = np.arange(len(state))
+        for k in range(self.order - 1, 0, -1):
+            here = self.level[state[left]] == k
+            arc = self.arc[k][at[left]]
+            hit = here & (arc >= 0)
+            done = left[hit]
+            out[done] += self.weight[k][arc[hit]]
+            after[done] = self.to[k][arc[hit]]
+            miss = left[here & ~hit]
+            out[miss] += self.cost[state[miss]]
+            state[miss] = self.fail[state[miss]]
+            left = left[~hit]
+        arc = self.arc[0][at[left]]
+        out[left] += self.weight[0][arc]
+        after[left] = self.to[0][arc]
+        return after, out
+
+    def traverse(self, starts: np.ndarray, lane: int = LANE) -> np.ndarray:
         """log10 probability of each token; 0 at the START tokens.
 
-        The state before a token is the longest seen history that ends there. It depends on the
-        last words only, so that all tokens of the block take their step at once: those that
-        find an arc in their state take it, the others pay the failure arc and ask the next
-        shorter history.
+        Texts are read left to right in lanes of at most `lane` tokens, all lanes one token at a
+        step, each carrying its state. A lane inside a text first reads the order - 1 tokens
+        before its own, without adding them up: a state is at most that many words.
         """
-        out = np.zeros(len(self.ranks[0]))
-        level = np.zeros(len(out), np.int64)
-        real = np.ones(len(out), bool)
-        real[starts] = False
-        for k in range(1, len(self.ranks)):
-            before = self.ranks[k - 1][:-1]
-            level[1:][(before >= 0) & (self.counts[k - 1][before] > 0)] = k
-        level[starts] = 0
-        for k in range(len(self.ranks) - 1, 0, -1):
-            at = np.flatnonzero(level == k)
-            gram = self.ranks[k][at]
-            arc = (gram >= 0) & (self.counts[k][gram] > 0)
-            out[at[arc]] += self.arcs[k][gram[arc]]
-            fail = at[~arc]
-            out[fail] += self.failures[k][self.ranks[k - 1][fail - 1]]
-            level[at[arc]] = -1
-            level[fail] = k - 1
-        at = np.flatnonzero((level == 0) & real)
-        out[at] += self.arcs[0][self.ranks[0][at]]
+        size = len(self.arc[0])
+        ends = np.append(starts[1:], size)
+        many = -(-(ends - starts - 1) // lane)
+        text = np.repeat(np.arange(len(starts)), many)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        first = starts[text] + 1 + number * lane
+        last = np.minimum(first + lane, ends[text])
+        begin = np.maximum(starts[text], first - max(1, self.order - 1))
+        by = np.argsort(begin - last, kind="stable")
+        begin, first, last = begin[by], first[by], last[by]
+        length = last - begin
+        state = np.zeros(len(begin), np.int32)
+        out = np.zeros(size)
+        for t in range(int(length[0]) if len(length) else 0):
+            m = int(np.searchsorted(-length, -t))
+            at = begin[:m] + t
+            state[:m], w = self.step(state[:m], at)
+            own = at >= first[:m]
+            out[at[own]] = w[own]
         return out
 
 
+def _filled(size: int, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, np.int32)
+    out[at] = rank
+    return out
+
+
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+    """Byte planes, compressed, behind their length."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (_CODEC.compress(raw, asbytes=True) if raw else b"")
 
 
 def _unpack(b: bytes, dtype: str) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(b), np.uint8)
+    size = int.from_bytes(b[:8], "little")
+    if not size:
+        return np.empty(0, dtype)
+    raw = np.frombuffer(_CODEC.decompress(b[8:], size), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
-def _unique_sorted(h: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, and how often each occurs at a training position."""
-    by = np.argsort(h, kind="stable")
-    h, train = h[by], train[by]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    return h[new], np.add.reduceat(train.astype(np.int64), new) if len(new) else np.empty(0, np.int64)
+def distinct_counts(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (under 2^63) in order, and how often each occurs where `learn` holds."""
+    both = keys << np.uint64(1) | learn.astype(np.uint64)
+    both.sort()
+    keys = both >> np.uint64(1)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    learned = (both & np.uint64(1)).astype(np.int64)
+    return keys[new], np.add.reduceat(learned, new) if len(new) else np.empty(0, np.int64)
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each key's number among the distinct keys in order, and how many there are."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    out = np.empty(len(keys), np.int32)
+    out[by] = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]), dtype=np.int32) if len(keys) else 0
+    return out, int(out[by[-1]]) + 1 if len(keys) else 0
 
 
-def _shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    edges = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
+def _cuts(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """Where each shard's keys begin among sorted keys, and their end."""
+    edges = np.array([-((-i << bits) // shards) for i in range(1, shards)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _blocks(order: int, shards: int, limit: int) -> Callable:
-    """Rows of (data, train, id) -> messages to shards, and the block's own documents."""
+_MESSAGE = "shard long, block long, kind int, a binary, b binary"
 
-    def flush(block: int, ids: list, lengths: list[int], tokens: list[np.ndarray], train: list[bool]):
-        flat = np.concatenate(tokens)
-        sizes = np.array(lengths, np.int64)
-        starts = np.cumsum(sizes) - sizes
-        learn = np.repeat(np.array(train, bool), sizes)
-        words, index = np.unique(flat, return_inverse=True)
-        doc = pa.BufferOutputStream()
-        with pa.ipc.new_stream(doc, ids[0].schema) as w:
-            for b in ids:
-                w.write_batch(b)
-        payload = [zlib.compress(doc.getvalue().to_pybytes(), 1), _pack(words), _pack(index.astype(np.uint32)), _pack(sizes), _pack(np.array(train, np.uint8))]
-        rows = []
-        for k, h in enumerate(ngram_hashes(flat, starts, order)):
-            use = h != 0
-            keys, n = _unique_sorted(h[use], learn[use])
-            cuts = _shard_cuts(keys, shards)
-            for s in range(shards):
-                a, b = cuts[s], cuts[s + 1]
-                rows.append((s, block, k, _pack(np.diff(keys[a:b], prepend=np.uint64(0))) if b > a else b"", _pack(n[a:b].astype(np.uint32)) if b > a else b""))
-        rows += [(-1 - block % shards, block, 100 + i, p, b"") for i, p in enumerate(payload)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())],
-            names=["shard", "block", "kind", "a", "b"],
-        )
+
+def block_messages(block: int, ids: list[pa.RecordBatch], flat: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, train: np.ndarray, order: int, shards: int, bits: int) -> list[tuple[int, int, int, bytes, bytes]]:
+    """A block's messages to the shards, and the pieces that it keeps for itself.
+
+    flat: word numbers of the joined documents; hashes: of the words by number. A message holds
+    how many keys each order has, all keys as gaps, and their counts.
+    """
+    starts = np.cumsum(sizes) - sizes
+    learn = np.repeat(train, sizes)
+    keys, counts, cuts = [], [], []
+    for at, h in ngrams(hashes[flat], starts, order, bits):
+        k, n = distinct_counts(h, learn[at])
+        keys.append(k)
+        counts.append(n.astype(np.uint32))
+        cuts.append(_cuts(k, shards, bits))
+    rows = []
+    for s in range(shards):
+        spans = [slice(c[s], c[s + 1]) for c in cuts]
+        own = [k[x] for k, x in zip(keys, spans)]
+        if any(len(x) for x in own):
+            head = np.array([len(x) for x in own], np.uint64)
+            gaps = [np.diff(x, prepend=np.uint64(0)) for x in own]
+            rows.append((s, block, 0, _pack(np.concatenate([head, *gaps])), _pack(np.concatenate([n[x] for n, x in zip(counts, spans)]))))
+    # Words are numbered by their frequency, which leaves most high bytes zero.
+    often = np.argsort(-np.bincount(flat, minlength=len(hashes)), kind="stable")
+    rank = np.empty(len(hashes), np.uint32)
+    rank[often] = np.arange(len(hashes), dtype=np.uint32)
+    doc = pa.BufferOutputStream()
+    with pa.ipc.new_stream(doc, ids[0].schema) as w:
+        for b in ids:
+            w.write_batch(b)
+    parts = [np.frombuffer(doc.getvalue(), np.uint8), hashes[often], rank[flat], sizes, train.astype(np.uint8)]
+    dealt = 0
+    for i, part in enumerate(parts):
+        for n, a in enumerate(range(0, max(1, len(part)), PIECE)):
+            rows.append((-1 - (block * 31 + dealt) % shards, block, OWN + (i << 24) + n, _pack(part[a : a + PIECE]), b""))
+            dealt += 1
+    return rows
+
+
+def _blocks(order: int, shards: int, bits: int, limit: int) -> Callable:
+    """Rows of (data, train, id) -> messages to shards, and the block's own documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        number, hashes = 0, WordHashes()
-        ids, lengths, tokens, train, size = [], [], [], [], 0
-        get = hashes.__getitem__
+        part, number = TaskContext.get().partitionId(), 0
+        words, ids, flat, train = WordIds(), [], [], []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in flat], np.int64)
+            rows = block_messages(part << 24 | number, ids, np.concatenate(flat), np.array(words.hashes, np.uint64), sizes, np.array(train, bool), order, shards, bits)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["shard", "block", "kind", "a", "b"])
+
         for batch in batches:
             begin = 0
             marks = batch.column(1).to_pylist()
             for i, data in enumerate(binaries(batch.column(0))):
-                words = words_of(data)
-                one = np.empty(len(words) + 2, np.uint64)
-                one[0], one[-1] = START, END
-                one[1:-1] = np.fromiter(map(get, words), np.uint64, len(words))
-                tokens.append(one)
-                lengths.append(len(one))
+                own = words_of(data)
+                one = np.empty(len(own) + 2, np.uint32)
+                one[0], one[-1] = 0, 1
+                one[1:-1] = np.fromiter(map(words.__getitem__, own), np.uint32, len(own))
+                flat.append(one)
                 train.append(marks[i])
                 size += len(one)
                 if size >= limit:
                     ids.append(pa.RecordBatch.from_arrays([batch.column(2)[begin : i + 1]], names=["id"]))
-                    yield flush(part << 24 | number, ids, lengths, tokens, train)
+                    yield flush()
                     begin, number, size = i + 1, number + 1, 0
-                    ids, lengths, tokens, train = [], [], [], []
-                    hashes.clear()
+                    words, ids, flat, train = WordIds(), [], [], []
             if begin < batch.num_rows:
                 ids.append(pa.RecordBatch.from_arrays([batch.column(2)[begin:]], names=["id"]))
-        if lengths:
-            yield flush(part << 24 | number, ids, lengths, tokens, train)
+        if flat:
+            yield flush()
+        words = ids = flat = None
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _answer(order: int) -> Callable:
-    """A shard's messages -> counts for each block, in the order of its keys, and the shard's totals."""
+    """A shard's messages -> counts for each block, in the order of its keys."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "kind": frame["kind"], "a": frame["a"], "total": 0, "distinct": 0})
-        out = []
-        total = distinct = 0
+            return frame[["block", "shard", "kind", "a"]]
+        gaps = [_unpack(a, "<u8") for a in frame["a"]]
+        sizes = np.array([g[:order] for g in gaps]).astype(np.int64)
+        counts = [_unpack(b, "<u4") for b in frame["b"]]
+        ends = np.cumsum(sizes, axis=1)
+        answers: list[list[np.ndarray]] = [[] for _ in gaps]
         for k in range(order):
-            own = frame[frame["kind"] == k]
-            keys = [np.cumsum(_unpack(a, "<u8"), dtype=np.uint64) if len(a) else np.empty(0, np.uint64) for a in own["a"]]
-            sizes = [len(x) for x in keys]
-            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            n = np.concatenate([_unpack(b, "<u4").astype(np.int64) if len(b) else np.empty(0, np.int64) for b in own["b"]]) if keys else np.empty(0, np.int64)
-            by = np.argsort(flat, kind="stable")
-            new = np.flatnonzero(np.concatenate([[True], flat[by][1:] != flat[by][:-1]])) if len(flat) else np.empty(0, np.int64)
+            flat = np.concatenate([np.cumsum(g[order + e[k] - s[k] : order + e[k]], dtype=np.uint64) for g, e, s in zip(gaps, ends, sizes)])
+            n = np.concatenate([c[e[k] - s[k] : e[k]] for c, e, s in zip(counts, ends, sizes)]).astype(np.int64)
+            by = np.argsort(flat, kind="stable")  # quick, as it is made of sorted runs
+            flat = flat[by]
+            new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
             sums = np.add.reduceat(n[by], new) if len(new) else np.empty(0, np.int64)
-            if k == 0:
-                word = flat[by][new] != mix64(np.array([START]))[0] if len(new) else np.empty(0, bool)
-                total, distinct = int(sums[word].sum()), int((sums[word] > 0).sum())
-            counts = np.empty(len(flat), np.int64)
-            counts[by] = np.repeat(sums, np.diff(np.append(new, len(flat))))
-            at = 0
-            for block, size in zip(own["block"], sizes):
-                out.append((block, key[0], k, _pack(counts[at : at + size].astype(np.uint64)) if size else b"", total if k == 0 else 0, distinct if k == 0 else 0))
-                at += size
-        return pd.DataFrame(out, columns=["block", "shard", "kind", "a", "total", "distinct"])
+            told = np.empty(len(flat), np.int64)
+            told[by] = np.repeat(sums, np.diff(np.append(new, len(flat))))
+            for own, part in zip(answers, np.split(told, np.cumsum(sizes[:, k])[:-1])):
+                own.append(part)
+        return pd.DataFrame({"block": frame["block"], "shard": key[0], "kind": 0, "a": [_pack(np.concatenate(x)) for x in answers]})
 
     return run
 
 
-def _traverse(order: int, delta: float, mu: float, id_column: str) -> Callable:
+def _ten_digits(x: np.ndarray) -> list[float]:
+    return [float(f"{v:.10g}") for v in x.tolist()]
+
+
+def _traverse(order: int, bits: int, shards: int, total: int, distinct: int, delta: float, mu: float, id_column: str) -> Callable:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame[frame["kind"] >= 100].sort_values("kind")["a"].tolist()
-        ids = pa.ipc.open_stream(zlib.decompress(own[0])).read_all().column(0)
-        words, index, sizes, train = _unpack(own[1], "<u8"), _unpack(own[2], "<u4"), _unpack(own[3], "<i8"), _unpack(own[4], "u1")
-        flat = words[index]
+        kept = frame[frame["kind"] >= OWN].sort_values("kind")
+        place = (kept["kind"] - OWN) // (1 << 24)
+        own = lambda i, dtype: np.concatenate([_unpack(a, dtype) for a in kept["a"][place == i]])
+        ids = pa.ipc.open_stream(own(0, "u1").tobytes()).read_all().column(0)
+        hashes, flat, sizes, train = own(1, "<u8"), own(2, "<u4"), own(3, "<i8"), own(4, "u1")
         starts = np.cumsum(sizes) - sizes
-        counts, ranks = [], []
-        for k, h in enumerate(ngram_hashes(flat, starts, order)):
-            told = frame[frame["kind"] == k].sort_values("shard")
-            counts.append(np.concatenate([_unpack(a, "<u8") if len(a) else np.empty(0, np.uint64) for a in told["a"]]).astype(np.float64))
-            whole = np.flatnonzero(h)
-            by = whole[np.argsort(h[whole], kind="stable")]
-            rank = np.full(len(h), -1)
-            if len(by):
-                rank[by] = np.cumsum(np.concatenate([[0], h[by][1:] != h[by][:-1]]))
-            ranks.append(rank)
-        total, distinct = int(frame["total"].sum()), int(frame["distinct"].sum())
-        automaton = BackoffAutomaton(ranks, counts, total, distinct, delta, mu)
+        told = frame[frame["kind"] == 0].sort_values("shard")
+        answers = [_unpack(a, "<i8") for a in told["a"]]
+        shard = told["shard"].to_numpy()
+        grams, counts = [], []
+        used = np.zeros(len(answers), np.int64)
+        for at, h in ngrams(hashes[flat], starts, order, bits):
+            rank, n = numbered(h)
+            grams.append((at.astype(np.int32), rank))
+            lowest = np.empty(n, np.uint64)
+            lowest[rank] = h
+            size = np.diff(_cuts(lowest, shards, bits))[shard]
+            counts.append(np.concatenate([a[u : u + s] for a, u, s in zip(answers, used, size)]).astype(np.float64) if n else np.empty(0))
+            used += size
+        automaton = BackoffAutomaton(grams, counts, len(flat), total, distinct, delta, mu)
         arcs = automaton.traverse(starts)
-        base, known = automaton.arcs[0][ranks[0]], counts[0][ranks[0]] > 0
+        rank = grams[0][1]
+        base, known = automaton.base[rank], counts[0][rank] > 0
         base[starts], known[starts] = 0.0, False
+        added = lambda x: _ten_digits(np.add.reduceat(x.astype(np.longdouble), starts).astype(np.float64))
         return pd.DataFrame(
             {
                 id_column: ids.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get),
@@ -266,37 +381,66 @@ def _traverse(order: int, delta: float, mu: float, id_column: str) -> Callable:
                 "n_tokens": sizes - 1,
                 "n_known": np.add.reduceat(known.astype(np.int64), starts),
                 "train_tokens": total,
-                "base_score": np.add.reduceat(base, starts),
-                "score": np.add.reduceat(arcs, starts),
+                "base_score": added(base),
+                "score": added(arcs),
             }
         )
 
     return run
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Bytes that the optimiser expects of a frame."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+def corpus_size(rows: DataFrame) -> tuple[int, int, int]:
+    """(all tokens, training tokens, distinct training tokens) of rows of (data, train)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = learned = 0
+        met: set[bytes] = set()
+        told: list[np.ndarray] = []
+
+        def flush() -> None:
+            told.append(np.fromiter(map(xxhash.xxh64_intdigest, met), np.uint64, len(met)).view(np.int64))
+            met.clear()
+
+        for batch in batches:
+            for data, learn in zip(binaries(batch.column(0)), batch.column(1).to_pylist()):
+                own = words_of(data)
+                tokens += len(own) + 1
+                if learn:
+                    learned += len(own) + 1
+                    met.update(own)
+                    if len(met) > 1 << 20:
+                        flush()
+        flush()
+        hashes = pa.array(np.unique(np.concatenate(told)))
+        none = pa.nulls(len(hashes), pa.int64())
+        yield pa.RecordBatch.from_arrays([hashes, none, none], names=["h", "tokens", "learned"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([tokens]), pa.array([learned])], names=["h", "tokens", "learned"])
+
+    told = rows.select("data", "train").mapInArrow(run, "h long, tokens long, learned long")
+    # One row a word, and one (null) for all tallies.
+    words = told.groupBy("h").agg(F.sum("tokens").alias("tokens"), F.sum("learned").alias("learned"))
+    n, tokens, learned = words.agg(F.count("h"), F.sum("tokens"), F.sum("learned")).first()
+    return tokens or 0, learned or 0, n + (1 if learned else 0)
 
 
 def score_documents(docs: DataFrame, train: Column, order: int = ORDER, delta: float = DELTA, mu: float = MU, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Scores every row; rows where `train` holds are what the model learns from.
 
-    A task holds one block of `block_tokens` (about 150 bytes each) or one shard of the n-grams of
-    `shard_bytes` of input; raise both with the executors' memory, as the number of messages is
-    the number of blocks times that of shards.
+    A task holds one block of `block_tokens` (about 150 bytes each) or one shard of about
+    `shard_bytes` of messages; raise both with the executors' memory, so that messages stay large.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(text_bytes(text_column).alias("data"), F.coalesce(train, F.lit(False)).alias("train"), F.col(id_column))
     kind = docs.schema[id_column].dataType.simpleString()
-    shards = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, planned_bytes(docs) // shard_bytes))
-    messages = rows.mapInArrow(_blocks(order, shards, block_tokens), "shard long, block long, kind int, a binary, b binary")
+    tokens, total, distinct = corpus_size(rows)
+    bits = min(63, max(1, tokens * order).bit_length() + SPARE_BITS)
+    shards = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 6 * order * tokens // shard_bytes)
+    messages = rows.mapInArrow(_blocks(order, shards, bits, block_tokens), _MESSAGE)
     # Shards and blocks are few and large: many partitions keep several from meeting in one task.
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers = messages.repartition(parts, "shard").groupBy("shard").applyInPandas(_answer(order), "block long, shard long, kind int, a binary, total long, distinct long")
-    return answers.repartition(parts, "block").groupBy("block").applyInPandas(_traverse(order, delta, mu, id_column), f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * shards)
+    answers = messages.repartition(parts, "shard").groupBy("shard").applyInPandas(_answer(order), "block long, shard long, kind int, a binary")
+    return answers.repartition(parts, "block").groupBy("block").applyInPandas(_traverse(order, bits, shards, total, distinct, delta, mu, id_column), f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out_scores(docs: DataFrame, folds: int = 10, **options) -> DataFrame:

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tree, decontam, exact_dedup, html_crf, lm_score, simhash, sp_unigram, token_count, toxicity_fm, url_trie
 from .common import id_mod, prepare
 
-#: Folder of the public tokenizer files; unset, the installed package names it.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
-
 #: The url rules of the query's contract (fixed values).
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def tokenizer_path(name: str) -> str:
-    if TOKENIZERS:
-        return os.path.join(TOKENIZERS, name)
-    try:
-        import public_tokenizers
-    except ImportError:
-        return os.path.join("/opt/tokenizers", name)
+    """Where the installed package of public tokenizer files has this one; operators take any path."""
+    import public_tokenizers
+
     return str(public_tokenizers.path(name))
 
 
@@ -86,6 +78,34 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_exact_dedup, op4_token_counts, op5_simhash, op6_url_filters, op7_html_extraction, op8_sentencepiece, op9_decontamination, op10_toxicity, pipeline)}
 
+_UPPER = "".join(map(chr, range(65, 91)))
+#: crc32 of a string of ASCII characters, and lower case of A-Z only, which SQL has no functions for.
+_CRC = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t)"""
+_LM = rf"""
+WITH {_CRC},
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+marked AS (
+  SELECT r, doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(id)), lambda i: ascii(substr(id, i + 1, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10 = 0 AS held_out,
+    list_concat([' '], words, ['']) AS l FROM docs, crc),
+tokens AS (SELECT r, held_out, i, l[i] AS w, CASE WHEN i > 1 THEN l[i - 1] END AS p, CASE WHEN i > 2 THEN l[i - 2] END AS q FROM (SELECT r, held_out, l, unnest(range(1, len(l) + 1)) AS i FROM marked)),
+learned AS (SELECT * FROM tokens WHERE NOT held_out),
+c1 AS (SELECT w, count(*)::DOUBLE AS c FROM learned GROUP BY ALL),
+c2 AS (SELECT p, w, count(*)::DOUBLE AS c FROM learned WHERE i > 1 GROUP BY ALL),
+c3 AS (SELECT q, p, w, count(*)::DOUBLE AS c FROM learned WHERE i > 2 GROUP BY ALL),
+size AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c1 WHERE w <> ' '),
+one AS (
+  SELECT t.r, t.i, coalesce(c1.c, 0) > 0 AS known, (coalesce(c1.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p1,
+    coalesce(c2.c, 0) AS n2, coalesce(h1.c, 0) AS d2, coalesce(c3.c, 0) AS n3, coalesce(h2.c, 0) AS d3
+  FROM size, tokens t LEFT JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.p = t.p AND c2.w = t.w LEFT JOIN c1 h1 ON h1.w = t.p
+    LEFT JOIN c3 ON c3.q = t.q AND c3.p = t.p AND c3.w = t.w LEFT JOIN c2 h2 ON h2.p = t.q AND h2.w = t.p
+  WHERE t.i > 1),
+two AS (SELECT *, (n2 + 100 * p1) / (d2 + 100) AS p2 FROM one),
+sums AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, fsum(log10(p1)) AS base, fsum(log10((n3 + 100 * p2) / (d3 + 100))) AS score FROM two GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, n::BIGINT AS train_tokens, printf('%.10g', base)::DOUBLE AS base_score, printf('%.10g', score)::DOUBLE AS score
+FROM sums JOIN marked USING (r), size"""
+
+
 _CHAT = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -94,11 +114,12 @@ WITH rows AS (
 sized AS (
   SELECT *, 12 + 1 + 10 + 1 + length(role) + length(text)
     + (length(role) - length(replace(role, '<|', ''))) // 2
+    + length(role) - length(replace(replace(role, '\', ''), chr(10), ''))
     + (length(text) - length(replace(text, '<|', ''))) // 2 AS n FROM rows)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
@@ -110,11 +131,11 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
   row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
 
-_URLS = r"""
+_URLS = rf"""
 WITH cut AS (
   SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
 parts AS (
-  SELECT page_id, lower(split_part(rest, '/', 1)) AS host,
+  SELECT page_id, translate(split_part(rest, '/', 1), '{_UPPER}', '{_UPPER.lower()}') AS host,
     CASE WHEN position('/' IN rest) > 0 THEN substr(rest, position('/' IN rest)) ELSE '' END AS path FROM cut),
 judged AS (
   SELECT *, CASE
@@ -124,4 +145,4 @@ judged AS (
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged"""
 
-ORACLES = {"op2_chat_formatting": _CHAT, "op3_exact_dedup": _DEDUP, "op6_url_filters": _URLS}
+ORACLES = {"op1_lm_scoring": _LM, "op2_chat_formatting": _CHAT, "op3_exact_dedup": _DEDUP, "op6_url_filters": _URLS}

@@ -311,6 +311,60 @@ def test_lm_matches_brute_force(spark, documents, order):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_state_is_carried_through_lanes(order):
+    """Lanes of any length give what one lane a text gives, and a plain walk with failure arcs too."""
+    r = np.random.default_rng(order)
+    sizes = r.integers(2, 60, 40)
+    starts = np.cumsum(sizes) - sizes
+    flat = r.integers(2, 9, int(sizes.sum()))
+    flat[starts], flat[np.append(starts[1:], len(flat)) - 1] = 0, 1
+    hashes = lm_score.mix64(np.arange(9, dtype=np.uint64))
+    learn = np.repeat(np.arange(40) % 2 == 0, sizes)
+    grams, counts, by_gram = [], [], Counter()
+    for at, h in lm_score.ngrams(hashes[flat], starts, order, 60):
+        rank, n = lm_score.numbered(h)
+        grams.append((at, rank))
+        counts.append(np.bincount(rank, weights=learn[at], minlength=n))
+        for i in at[learn[at]]:
+            by_gram[tuple(flat[i - len(grams) + 1 : i + 1].tolist())] += 1
+    automaton = lm_score.BackoffAutomaton(grams, counts, len(flat), 500, 7)
+    whole = automaton.traverse(starts, lane=10**6)
+    for lane in (1, 7, 64):
+        assert np.allclose(automaton.traverse(starts, lane), whole, rtol=1e-13)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (by_gram[gram] + 0.1) / (500 + 0.1 * 8)
+        return (by_gram[gram] + 100 * p(gram[1:])) / (by_gram[gram[:-1]] + 100)
+
+    for a, n in zip(starts.tolist(), sizes.tolist()):
+        history = (0,) if order > 1 else ()
+        for i in range(a + 1, a + n):
+            want, gram = 0.0, (*history, int(flat[i]))
+            while len(gram) > 1 and not by_gram[gram]:
+                want += math.log10(100 / (by_gram[gram[:-1]] + 100)) if by_gram[gram[:-1]] else 0.0
+                gram = gram[1:]
+            assert math.isclose(whole[i], want + math.log10(p(gram)), rel_tol=1e-12)
+            history = (*history, int(flat[i]))[-(order - 1) :] if order > 1 else ()
+
+
+def test_lm_messages_follow_the_input():
+    """One message a block and shard, none empty: never more than there are n-grams, whatever the shards."""
+    r = np.random.default_rng(3)
+    for shards in (8, 400, 50_000):
+        for words in (30, 3000):
+            sizes = np.array([words // 2, words - words // 2])
+            flat = r.integers(0, 500, words).astype(np.uint32)
+            ids = [pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["id"])]
+            rows = lm_score.block_messages(5, ids, flat, lm_score.mix64(np.arange(500, dtype=np.uint64)), sizes, np.array([True, False]), 3, shards, 60)
+            sent = [x for x in rows if x[0] >= 0]
+            keys = sum(int(lm_score._unpack(x[3], "<u8")[:3].sum()) for x in sent)
+            assert len(sent) == len({x[0] for x in sent}) <= min(shards, keys) and keys <= 3 * words
+            assert all(lm_score._unpack(x[3], "<u8")[:3].sum() for x in sent)
+            assert len(rows) - len(sent) == 5
+
+
 def test_lm_is_a_distribution_and_beats_the_base(spark):
     rows = queries.op1_lm_scoring(spark, SF).where("held_out").toPandas()
     assert rows.score.sum() > rows.base_score.sum()
@@ -478,6 +532,19 @@ def test_pages_with_defects(spark):
     assert [b[0] for b in html_crf.leaf_blocks("<p>a<br>b <i>c</i>d<p>e<script>x</script> f</p>&eacute;")] == ["a b cd", "e f", "é"]
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    answer = c.sql(queries.ORACLES[name])
+    rows = queries.QUERIES[name](spark, SF)
+    assert set(rows.columns) == set(answer.columns)
+    assert sorted(map(repr, map(tuple, rows.select(*answer.columns).collect()))) == sorted(map(repr, answer.fetchall()))
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, ["x"]).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
