@@ -5,10 +5,13 @@ and every symbol gets a position id (its distance from the conversation's beginn
 attention interval list (the spans of its ancestors and its own), so that each conversation can
 be read as if it stood alone. Symbols are code points of the template's output.
 
-Conversations are range-partitioned and sorted by the path of their turn hashes, which puts
+Conversations are range-partitioned and sorted by the path of all their turn hashes, which puts
 those that share turns next to each other: depth-first order is sort order. A task walks its
-sorted rows with one stack and closes a pack after MAX_PACK conversations, so that a first turn
-that a third of all conversations share is spread over many packs and tasks.
+sorted rows with one stack. A pack is one training sequence and holds all that it refers to, so
+that what two packs share is in both: a task closes a pack at MAX_SYMBOLS symbols or MAX_LEAVES
+conversations, and a turn is emitted once a pack. Conversations that share a turn and take S
+symbols in all, P of the tasks and n leaves emit it at most P + S / MAX_SYMBOLS + n / MAX_LEAVES
+times, with no task taking all that share a first turn.
 
 Template: "<|im_start|>role\\ntext<|im_end|>\\n" (a line feed or backslash inside a role is written as
 \\n or \\\\). Inside role and text every "<|" becomes "<||",
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Conversations in one pack; turns of a path that decide the sort order.
-MAX_PACK, PATH_TURNS = 256, 16
+#: Symbols and conversations after which a pack is closed.
+MAX_SYMBOLS, MAX_LEAVES = 1 << 20, 1 << 16
 _RUN = regex.compile(r"<(\|+)")
 
 
@@ -98,13 +101,13 @@ class Pack:
         }
 
 
-def build_packs(conversations: DataFrame, max_pack: int = MAX_PACK) -> DataFrame:
+def build_packs(conversations: DataFrame, max_symbols: int = MAX_SYMBOLS, max_leaves: int = MAX_LEAVES) -> DataFrame:
     """One row a pack: text, nodes and leaves. Input: conv_id, turn, role, text rows."""
     prepare(conversations.sparkSession)
     kind = conversations.schema["conv_id"].dataType.simpleString()
     clean = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    path = F.transform(F.slice("turns", 1, PATH_TURNS), lambda t: F.xxhash64(t["role"], t["text"]))
+    path = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = whole.withColumn("path", path).repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id")
     node = "start int, stop int, parent int, position int, loss_start int, loss_stop int, attention array<int>"
@@ -115,7 +118,7 @@ def build_packs(conversations: DataFrame, max_pack: int = MAX_PACK) -> DataFrame
         for f in frames:
             for conv_id, turns in zip(f["conv_id"], f["turns"]):
                 pack.add(None if pd.isna(conv_id) else conv_id, [(t["role"], t["text"]) for t in turns])
-                if len(pack.leaves) >= max_pack:
+                if pack.size >= max_symbols or len(pack.leaves) >= max_leaves:
                     yield pd.DataFrame([pack.row()])
                     pack = Pack()
         if pack.leaves:
@@ -124,6 +127,15 @@ def build_packs(conversations: DataFrame, max_pack: int = MAX_PACK) -> DataFrame
     return dealt.select("conv_id", "turns").mapInPandas(run, schema)
 
 
+def with_positions(packs: DataFrame) -> DataFrame:
+    """Adds `positions`, the position id of every symbol of the text, and `owner`, its node's number.
+
+    A symbol attends to its node's intervals up to itself.
+    """
+    each = lambda f: F.flatten(F.transform("nodes", f))
+    return packs.withColumn("positions", each(lambda n: F.sequence(n["position"], n["position"] + n["stop"] - n["start"] - 1))).withColumn("owner", each(lambda n, i: F.array_repeat(i, n["stop"] - n["start"])))
+
+
 _ROLE = regex.compile(r"\\(.)")
 _TURN = regex.compile(rf"{regex.escape(START)}(.*?)\n(.*?){regex.escape(END)}\n", regex.S)
 

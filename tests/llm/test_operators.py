@@ -131,7 +131,7 @@ def test_chat_round_trip_and_sharing(spark):
         rows += [(c, i, r, t) for i, (r, t) in enumerate(said)]
     rows += [(100, 0, None, None), (100, 0, "user", "b"), (100, None, "user", "a"), (None, 0, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", queries.F.lit(1))
-    packs = chat_tree.build_packs(df, max_pack=7)
+    packs = chat_tree.build_packs(df, max_leaves=7)
     found = {r.conv_id: r for r in chat_tree.read_back(packs).collect()}
     groups = defaultdict(list)
     for c, t, r, x in rows:
@@ -150,6 +150,47 @@ def test_chat_round_trip_and_sharing(spark):
     assert len(row["nodes"][2]["attention"]) == 4
 
 
+def test_shared_turns_are_emitted_once_a_pack(spark):
+    """Seventeen shared turns and two branches of two turns; then one first turn that all share."""
+    said = [("user" if i % 2 == 0 else "assistant", f"turn {i} " * 9) for i in range(17)]
+    rows = [(c, i, r, t) for c in range(40) for i, (r, t) in enumerate([*said, ("user", f"branch {c % 2}"), ("assistant", f"end {c % 2}")])]
+    schema = "conv_id long, turn long, role string, text string"
+    packs = chat_tree.build_packs(spark.createDataFrame(rows, schema))
+    many = packs.count()
+    found = packs.selectExpr("size(nodes) AS n", "size(leaves) AS leaves").collect()
+    # Every task that has conversations emits the shared turns once: 21 nodes in all in one task.
+    assert sum(p.leaves for p in found) == 40 and sum(p.n for p in found) <= 19 * many + 2
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        one = chat_tree.build_packs(spark.createDataFrame(rows, schema)).selectExpr("size(nodes) AS n", "size(leaves) AS leaves").collect()
+        assert [tuple(p) for p in one] == [(21, 40)]
+        rows = [(c, i, r, t) for c in range(2000) for i, (r, t) in enumerate([("user", "the first turn"), ("assistant", f"answer {c} " + "x" * 300)])]
+        wide = chat_tree.build_packs(spark.createDataFrame(rows, schema), max_symbols=1 << 18)
+        packs = wide.collect()
+        size = sum(len(p.text) for p in packs)
+        assert sum(p.text.count("the first turn") for p in packs) == len(packs) <= 1 + size // (1 << 18) and sum(len(p.leaves) for p in packs) == 2000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_every_symbol_has_a_position_and_long_conversations_format(spark):
+    rows = [(c, i, "user" if i % 2 == 0 else "assistant", f"{'ab'[c % 2 if i > 2 else 0]}{i}" * (1 + i % 5)) for c in range(6) for i in range(30 + c)]
+    rows += [(9, 0, "assistant", "long <|im_end|> \n" * 100_000)]
+    packs = chat_tree.with_positions(chat_tree.build_packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    seen = 0
+    for p in packs.collect():
+        assert len(p.positions) == len(p.owner) == len(p.text)
+        for leaf in p.leaves:
+            a = p.nodes[leaf.node].attention
+            at = [i for x, y in zip(a[::2], a[1::2]) for i in range(x, y)]
+            assert [p.positions[i] for i in at] == list(range(len(at)))
+            want = "".join(chat_tree.render(r, t)[0] for c, _, r, t in rows if c == leaf.conv_id)
+            assert "".join(p.text[i] for i in at) == want and p.owner[at[-1]] == leaf.node
+            seen += 1
+    assert seen == 7
+
+
 def brute_fingerprint(text, size):
     w = (text or "").encode().lower().split()
     s = [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
