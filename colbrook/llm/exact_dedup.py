@@ -1,30 +1,35 @@
 """Exact dedup with a heavy-hitter split.
 
 Texts are equal when identical after deleting white space. A table of digests is written once.
-Misra-Gries summaries (one a partition, merged in two levels) name the few digests that can hold
-more than 1/k of the rows; their true counts and winners come from one partial aggregation over
-just these, and are broadcast (at most k rows) so that all their rows are settled map-side. The
-remaining digests, whose groups are bounded by rows / k, go through an ordinary shuffle.
+Each partition makes a Misra-Gries summary of k counters. A counter falls short of its digest's
+count by at most the partition's rows / (k + 1), so that in the counters added up by digest every
+digest with over 2 / (k + 1) of all rows stands above rows / (k + 1), as do at most k others. Their
+true counts and winners come from one partial aggregation over just these, and are broadcast so
+that all their rows are settled map-side. The remaining digests are aggregated and joined by
+ordinary shuffles; the largest groups among them are bounded by k, and a join splits those.
+
+k follows the rows, so that these groups stay near LIGHT_ROWS, between the bounds MIN_K and MAX_K.
 
 Defined cases: a null text counts as empty; of equal texts the row with the most code points in
 its original text stays, then the smallest doc_id (null last), then any one of repeated rows;
-an empty table gives an empty result; other columns are ignored unless carried.
+ids may be of any type that sorts; an empty table gives an empty result; other columns are
+ignored unless carried.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, materialise, prepare, without
 
-#: Counters of a Misra-Gries summary: digests with over rows / K rows are sure to be found.
-K = 1000
+#: Rows of a group that are left to the shuffle, about; bounds of a summary's counters. MAX_K bounds
+#: the broadcast: about 150 bytes a winner.
+LIGHT_ROWS, MIN_K, MAX_K = 100_000, 1000, 100_000
 
 
 def mg_merge(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,21 +57,15 @@ def _summaries(k: int):
     return run
 
 
-def _merged(k: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = mg_merge(frame["digest"].to_numpy(), frame["n"].to_numpy(), k)
-        return pd.DataFrame({"digest": keys, "n": counts.astype(np.int64)})
-
-    return run
+def counters(rows: int) -> int:
+    """Counters of a summary over so many rows."""
+    return min(MAX_K, max(MIN_K, 2 * rows // LIGHT_ROWS))
 
 
-def heavy_hitters(digests: DataFrame, k: int = K) -> DataFrame:
-    """At most k candidate digests: every digest with over rows / k rows is among them."""
-    parts = max(1, digests.rdd.getNumPartitions())
-    level = max(1, math.isqrt(parts))
-    rows = digests.select("digest").mapInPandas(_summaries(k), "digest string, n long")
-    rows = rows.withColumn("g", F.spark_partition_id() % level).groupBy("g").applyInPandas(_merged(k), "digest string, n long")
-    return rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_merged(k), "digest string, n long")
+def heavy_hitters(digests: DataFrame, rows: int, k: int) -> DataFrame:
+    """(digest, n), at most k candidates: every digest with over 2 rows / (k + 1) rows is among them."""
+    own = digests.select("digest").mapInPandas(_summaries(k), "digest string, n long")
+    return own.groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") > rows // (k + 1))
 
 
 def digest_table(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -82,39 +81,30 @@ def digest_table(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return materialise(table, "digests")
 
 
-def _decide(table: DataFrame, k: int) -> DataFrame:
+def _decide(table: DataFrame, k: int | None) -> DataFrame:
     """Adds keep_id, group_size and kept to every row of a digest table."""
-    order = F.struct(F.col("n"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("low"), (-F.col("rid")).alias("r"))
+    order = F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
+    winner = F.min_by(F.struct("doc_id", "rid"), order).alias("w")
     own = [c for c in table.columns if c != "n"]
-    candidates = F.broadcast(heavy_hitters(table, k).select(F.col("digest").alias("h_digest")))
     total = table.count()
-    found = (
-        table.join(candidates, F.col("digest") == F.col("h_digest"))
-        .groupBy("h_digest")
-        .agg(F.max_by(F.struct("doc_id", "rid"), order).alias("w"), F.count(F.lit(1)).alias("h_size"))
-        .where(F.col("h_size") > max(1, total // k))
-    )
+    k = k or counters(total)
+    candidates = F.broadcast(heavy_hitters(table, total, k).select(F.col("digest").alias("g_digest")))
+    found = table.join(candidates, F.col("digest") == F.col("g_digest")).groupBy("g_digest").agg(winner, F.count(F.lit(1)).alias("g_size"))
     winners = materialise(found, "heavy")
-    marked = table.join(F.broadcast(winners), F.col("digest") == F.col("h_digest"), "left")
-    heavy = marked.where(F.col("h_size").isNotNull()).select(*own, F.col("w.doc_id").alias("keep_id"), F.col("h_size").alias("group_size"), (F.col("rid") == F.col("w.rid")).alias("kept"))
-    by = Window.partitionBy("digest")
-    ranked = by.orderBy(F.col("n").desc(), F.col("doc_id").asc_nulls_last(), F.col("rid"))
-    rest = marked.where(F.col("h_size").isNull()).select(
-        *own,
-        F.first("doc_id").over(ranked).alias("keep_id"),
-        F.count(F.lit(1)).over(by).alias("group_size"),
-        (F.row_number().over(ranked) == 1).alias("kept"),
-    )
-    return heavy.unionByName(rest)
+    settled = lambda rows: rows.select(*own, F.col("w.doc_id").alias("keep_id"), F.col("g_size").alias("group_size"), (F.col("rid") == F.col("w.rid")).alias("kept"))
+    marked = table.join(F.broadcast(winners), F.col("digest") == F.col("g_digest"), "left")
+    light = marked.where(F.col("g_size").isNull()).select(*table.columns)
+    groups = light.groupBy(F.col("digest").alias("g_digest")).agg(winner, F.count(F.lit(1)).alias("g_size"))
+    return settled(marked.where(F.col("g_size").isNotNull())).unionByName(settled(light.join(groups, F.col("digest") == F.col("g_digest"))))
 
 
-def exact_dedup(docs: DataFrame, k: int = K) -> DataFrame:
+def exact_dedup(docs: DataFrame, k: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     prepare(docs.sparkSession)
     return _decide(digest_table(docs), k).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, k: int = K) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, k: int | None = None) -> DataFrame:
     """The documents that stay, with all their columns.
 
     Decisions are made on digests alone; the texts are filtered by the dropped row numbers.

@@ -4,8 +4,10 @@ A document's fingerprint has a bit set where over half of its word-shingle hashe
 bits, or several words of 64 bits, each from its own mix of the hash. Distinct fingerprints are
 dealt to shards by keys of some of their bits:
 
-* `spans`: the bits are cut into radius + 1 spans, one key a span. Two fingerprints that differ
-  in at most `radius` bits agree on a whole span, so no link is lost.
+* `spans`: the bits are cut into s > radius spans, and each choice of s - radius of them is a key.
+  Two fingerprints that differ in at most `radius` bits agree on s - radius whole spans at least, so
+  no link is lost. s follows the number of fingerprints, so that a shard holds about 64 of them and
+  the pairs that are looked at grow in proportion to the fingerprints.
 * `samples`: for wide fingerprints and radii, each key is a sample of bits; their number follows
   from the target recall at the given similarity, their width from the number of fingerprints.
 
@@ -13,13 +15,13 @@ In each shard a BK-tree (children keyed by the integer Hamming distance to the p
 searched along the edges within the radius only. A task holds many small shards and builds their
 trees together, level by level. A shard of over SHARD fingerprints is cut into pieces; each
 piece's tree meets every other piece in a task of its own, so no task holds more than two. The
-trees travel by shuffle with their shard key and not by broadcast, as their size grows with the
-data and has no bound. A shard gives a spanning forest of its links, never all pairs. Connected
+trees travel by shuffle with their shard key and not by broadcast: a broadcast needs the
+fingerprints of all documents on the driver, about 40 bytes for each of the keys, without a bound. A shard gives a spanning forest of its links, never all pairs. Connected
 components over these links come from large-star and small-star steps on written tables.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links
 like any other; fewer words than a shingle give one shingle; a null doc_id counts as larger than
-any other; repeated rows link through their equal fingerprint; different texts under one doc_id
+any other; ids may be of any type that sorts; repeated rows link through their equal fingerprint; different texts under one doc_id
 are different documents; an empty table gives an empty result; other columns are ignored or kept.
 """
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -257,8 +260,12 @@ def key_bits(settings: Settings, count: int) -> list[np.ndarray]:
     """The bit numbers of each shard key, for `count` fingerprints."""
     bits = 64 * settings.size
     if not settings.recall:
-        cuts = [i * bits // (settings.radius + 1) for i in range(settings.radius + 2)]
-        return [np.arange(a, b) for a, b in zip(cuts, cuts[1:])]
+        r = settings.radius
+        want = math.log2(max(2, count) / 64)
+        n = next((n for n in range(r + 1, r + 6) if bits * (n - r) / n >= want), r + 5)
+        cuts = [i * bits // n for i in range(n + 1)]
+        spans = [np.arange(a, b) for a, b in zip(cuts, cuts[1:])]
+        return [np.concatenate(c) for c in combinations(spans, n - r)]
     width = min(40, max(12, math.ceil(math.log2(max(2, count) / 64))))
     keys = key_count(settings, width)
     rng = np.random.default_rng(SEED)
@@ -337,10 +344,6 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {limit} steps")
 
 
-#: Stands for a null doc_id among node ids.
-NO_ID = (1 << 63) - 1
-
-
 def short_keys(texts: DataFrame, settings: Settings) -> DataFrame:
     """(fp, key) of texts of at most SHORT shingles: the first of their sorted shingle hashes.
 
@@ -371,7 +374,7 @@ def component_ids(table: DataFrame, settings: Settings, short: DataFrame | None
     A component is numbered by one of its fingerprints; component_id is its smallest doc_id.
     Fingerprints with a key of `short` (fp, key) in common are linked too.
     """
-    nodes = table.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).alias("low"))
+    nodes = table.groupBy("fp").agg(F.min("doc_id").alias("low"))
     nodes = materialise(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
     links = links_of(nodes, settings)
     if short is not None:
@@ -396,7 +399,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     prepare(docs.sparkSession)
     table = fingerprints(docs, settings)
     ids = component_ids(table, settings)
-    return table.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+    return table.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 # -- exact similarity ------------------------------------------------------------------------
@@ -475,7 +478,7 @@ def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFr
         rid = f"_{rid}"
     numbered = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     table = fingerprints(numbered, settings, ("doc_id", rid))
-    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col(rid).alias("r"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(rid).alias("r"))
     short = short_keys(numbered.select(text_bytes().alias("data")), settings) if settings.similarity else None
     candidates = component_ids(table, replace(settings, radius=settings.reach or settings.radius), short)
     found = table.join(candidates, "fp").select(F.col(rid), "component", order.alias("order"))

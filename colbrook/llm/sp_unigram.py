@@ -10,6 +10,10 @@ therefore the joined segmentation of the units between those places, each found
 Decoding joins pieces, decodes byte pieces as UTF-8 (invalid bytes become U+FFFD), turns markers
 into spaces and drops the marker put in front.
 
+The work on a text is its length times that of the longest piece at most, spaced or not. Scores
+are the model file's own. Of segmentations with equal sums the one whose last piece began
+first is taken.
+
 Defined cases: a null text counts as empty and gives no pieces; a text that itself holds U+2581
 decodes to a space there; texts are encoded whole at any length; repeated rows repeat; other
 columns are ignored or carried; an empty table gives an empty result. A model of over
@@ -33,6 +37,8 @@ from .common import Memo, map_batches, prepare
 MARK = "▁"
 #: Largest model that is broadcast; units that a worker remembers in each of two generations.
 MAX_PIECES, MEMO = 1_000_000, 200_000
+#: Bytes of a unit from which its Viterbi rows are kept in arrays, at 16 bytes for each of its bytes.
+LONG_UNIT = 1 << 16
 #: Cost of an uncovered character below the lowest score, as SentencePiece sets it.
 UNKNOWN_PENALTY = 10.0
 #: Scores under this mark pieces that the model never chooses; they don't set the lowest score.
@@ -147,6 +153,8 @@ class PieceModel:
             raise ValueError(f"a model of {len(self.pieces)} pieces; at most {MAX_PIECES} are broadcast")
         text = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER) and self.pieces[i]]
         self.trie = DoubleArray([(self.pieces[i].encode(), i) for i in text])
+        #: A walk in the trie ends after this many bytes at the latest.
+        self.longest = 1 + max((len(self.pieces[i].encode()) for i in text), default=0)
         used = [self.scores[i] for i in text if self.scores[i] > UNUSED_SCORE]
         self.unknown = min(used, default=0.0) - UNKNOWN_PENALTY
         self.bytes = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
@@ -162,7 +170,12 @@ class PieceModel:
         """Piece ids of the best segmentation of a string of markers and characters."""
         data = unit.encode()
         n = len(data)
-        best, come, via = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
+        if n < LONG_UNIT:
+            best, come, via = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
+        else:
+            best, come, via = array("d", [-1e300]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+            best[0] = 0.0
+        longest = self.longest
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         at = 0
         while at < n:
@@ -171,7 +184,7 @@ class PieceModel:
             width = 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
             one = at + width
             state, to, covered = 0, at, False
-            for code in data[at:]:
+            for code in data[at : at + longest]:
                 last, state = state, base[state] + code
                 if check[state] != last:
                     break

@@ -66,6 +66,24 @@ def test_misra_gries_finds_every_heavy_key():
     assert len(summary) <= 20 and set(u[c > len(keys) / 20]) <= set(summary)
 
 
+def test_heavy_digests_are_few_and_all_found(spark):
+    r = np.random.default_rng(2)
+    keys = [f"d{x}" for x in r.zipf(1.3, 30_000) % 5000]
+    count = Counter(keys)
+    digests = spark.createDataFrame([(x,) for x in keys], "digest string").repartition(9)
+    for k in (5, 50, 1000):
+        found = {x.digest for x in exact_dedup.heavy_hitters(digests, len(keys), k).collect()}
+        assert len(found) <= k and {d for d, n in count.items() if n > 2 * len(keys) / (k + 1)} <= found
+    assert [exact_dedup.counters(n) for n in (0, 10**6, 10**9, 10**12)] == [1000, 1000, 20_000, 100_000]
+
+
+def test_ids_of_text_sort_as_text(spark):
+    rows = spark.createDataFrame([("b", "x y"), ("a", "xy"), (None, "x  y"), ("c", "z")], "doc_id string, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(rows).collect()} == {("b", None, False), ("a", None, False), (None, None, True), ("c", "c", True)}
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect() if r.doc_id != "a"} == {("b", "b"), (None, "b"), ("c", "c")}
+    assert {r.doc_id for r in simhash.drop_near_copies(rows).collect()} == {"a", "b", "c"}
+
+
 def test_token_counts_equal_the_library(documents):
     from tokenizers import Tokenizer
 
@@ -238,6 +256,31 @@ def test_bk_trees_and_cut_shards_lose_no_link(spark, size):
         assert {i: found.get(i, i) for i in range(len(values))} == dict(enumerate(root.tolist()))
 
 
+@pytest.mark.parametrize("count", [10**5, 10**7, 10**9, 10**12])
+def test_span_keys_lose_no_link_at_any_size(count):
+    r = np.random.default_rng(7)
+    a = r.integers(0, 1 << 63, (3000, 1), dtype=np.uint64)
+    b = a.copy()
+    for k in range(4):
+        b[k * 700 :, 0] ^= np.uint64(1) << r.integers(0, 64, len(b) - k * 700).astype(np.uint64)
+    chosen = simhash.key_bits(simhash.Settings(), count)
+    assert (simhash.shard_keys(a, chosen) == simhash.shard_keys(b, chosen)).any(axis=1).all()
+    assert len(chosen) <= 126
+
+
+def test_pairs_looked_at_per_fingerprint_stay_flat():
+    """Of random fingerprints: the rows of each one's shards, over all keys."""
+    r = np.random.default_rng(9)
+    looked = []
+    for count in (10**5, 10**6):
+        fp = r.integers(0, 1 << 63, (count, 1), dtype=np.uint64) << np.uint64(1)
+        looked.append(0.0)
+        for key in simhash.key_bits(simhash.Settings(), count):
+            size = np.unique(simhash.shard_keys(fp, [key]), return_counts=True)[1]
+            looked[-1] += float((size.astype(float) ** 2).sum()) / count
+    assert looked[1] < 1.5 * looked[0] < 400
+
+
 def test_wide_fingerprints_find_similar_texts(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
@@ -255,7 +298,11 @@ def test_wide_fingerprints_find_similar_texts(spark):
     same = [got[3 * g] == got[3 * g + 1] == got[3 * g + 2] for g in range(60)]
     assert sum(same[:40]) >= 39 and not any(same[40:])
     assert all(group[d] == group[c] for d, c in got.items())
-    assert simhash.drop_near_copies(docs_of(spark, rows), settings).count() == len(set(got.values()))
+    # Which rows stay is decided by true similarity among these candidates.
+    sets = [shingles(t) for t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = simhash.forest(len(rows), [tuple(np.array(x) for x in zip(*links))])
+    assert {x.doc_id for x in simhash.drop_near_copies(docs_of(spark, rows), settings).collect()} == set(root.tolist())
 
 
 def shingles(text):
@@ -616,10 +663,10 @@ def test_pipeline_matches_brute_force(spark):
     for d in left:
         groups["".join(c for c in rows[d] if c not in " \t\n\x0b\x0c\r")].append((-len(rows[d]), d))
     left = {min(g)[1] for g in groups.values()}
-    settings = simhash.Settings.for_similarity(0.8)
-    fp = {d: int.from_bytes(simhash.fingerprint(rows[d].encode(), settings), "big") for d in left}
-    order = sorted(fp)
-    root = simhash.forest(len(order), [tuple(np.array(x) for x in zip(*[(i, j) for i, a in enumerate(order) for j, b in enumerate(order) if (fp[a] ^ fp[b]).bit_count() <= settings.radius]))])
+    sets = {d: shingles(rows[d]) for d in left}
+    order = sorted(sets)
+    links = [(i, j) for i, a in enumerate(order) for j, b in enumerate(order[:i]) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = simhash.forest(len(order), [tuple(np.array(x) for x in zip(*links))])
     left = {order[r] for r in set(root.tolist())}
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     common = {d: {w for i, t in enumerate(items) for w in [i] if len(set(t.lower().split()) & set(rows[d].lower().split())) >= 0.6 * len(set(t.split()))} for d in left}
