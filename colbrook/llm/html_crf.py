@@ -10,8 +10,13 @@ The labelled pages are made here by `labelled_pages`, which writes pages of many
 known labels; their number is a parameter. The trained weights are a few hundred numbers and are
 broadcast; extraction is map-only, so pages are never shuffled.
 
-Defined cases: a null or empty page gives an empty text; a page without article blocks too;
-unclosed tags, comments and quotes are read to the end as browsers do; repeated rows repeat;
+A page takes time and memory in proportion to its length, however deep its elements are nested:
+open elements are linked to those around them and share their features.
+
+Defined cases: a null or empty page gives an empty text; a page without article blocks too; tags
+and comments that never end are read to the end of the page; a quote that never ends does not
+count; of equally good labellings the one whose blocks leave the article first is taken; texts
+of any length are whole; repeated rows repeat;
 other columns are ignored; an empty table gives an empty result.
 """
 
@@ -20,6 +25,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +44,79 @@ ROOTS = frozenset(("html", "body"))
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|[^<]+|<""", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+#: A whole tag with its quoted values.
+_TAG = re.compile(r"""</?[a-zA-Z][^\s/>]*+[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+>""")
+_STOP = re.compile("[\"'>]")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, ancestor features, characters of link text) of every non-empty leaf block."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
+class Element:
+    """An open element, linked to the one around it, with what it tells of the blocks inside.
+
+    signs: distinct features of it and those around it; tag, top: the nearest element, and the
+    outermost that is no div; near: the beginning of the nearest class, id or role name; own:
+    whether the nearest element has that name itself.
+    """
+
+    __slots__ = ("near", "name", "own", "parent", "signs", "tag", "top")
+
+    def __init__(self, parent: Element | None, name: str, attributes: str, known):
+        self.parent, self.name = parent, name
+        words = [w.lower() for names in _NAMES.findall(attributes) for n in names if n for w in _SPLIT.findall(n)] if attributes else []
+        root = name in ROOTS
+        self.signs = around = parent.signs if parent else frozenset()
+        self.tag, self.top = (parent.tag, parent.top) if parent else ("", "")
+        self.near, self.own = (parent.near, parent.own and root) if parent else ("", False)
+        signs = [f"named={w}" for w in words] + [f"like={w[:4]}" for w in words]
+        if not root:
+            signs.append(f"in={name}")
+            self.tag = name
+            if not self.top and name != "div":
+                self.top = name
+        if words:
+            self.near, self.own = words[-1][:4], True
+        new = {f for f in signs if f not in around and (known is None or f in known)}
+        if new:
+            self.signs = around | new
+
+
+class Scanner:
+    """Where tags end, in time proportional to the page whatever its quotes."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.broken, self.dead = False, set()
+
+    def tag_end(self, start: int, attributes: int) -> int:
+        """Where the ">" of the tag at `start` is; a quote that never ends does not count as one."""
+        if not self.broken:
+            if m := _TAG.match(self.page, start):
+                return m.end() - 1
+            self.broken = True
+        at, seen = attributes, []
+        while m := _STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            close = self.page.find(m[0], m.end())
+            at = close + 1
+            if close < 0 or at in self.dead:
+                break
+            seen.append(at)
+        self.dead.update(seen)  # from these places on no tag ends
+        return self.page.find(">", attributes)
+
+
+def leaf_blocks(page: str, known=None) -> list[tuple[str, Element | None, int]]:
+    """(text, innermost element, characters of link text) of every non-empty leaf block.
+
+    With `known` (a set or dict) elements keep those features only, so that their number has a bound.
+    """
+    out: list[tuple[str, Element | None, int]] = []
+    element: Element | None = None
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     links = linked = 0
 
@@ -57,30 +125,35 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if parts:
             text = _WHITE.sub(" ", html.unescape("".join(parts))).strip(" ")
             if text:
-                out.append((text, path, linked))
+                out.append((text, element, linked))
             parts.clear()
         linked = 0
 
+    scan = Scanner(page)
     at, end = 0, len(page)
-    match = _TOKEN.match
     while at < end:
-        m = match(page, at)
-        at = m.end()
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            parts.append(token)
+        start = page.find("<", at)
+        tag = _NAME.match(page, start) if start == at else None
+        if start != at or not tag and page[at + 1 : at + 2] not in ("!", "?"):
+            stop = at + 1 if start == at else start if start >= 0 else end
+            parts.append(page[at:stop])
             if links:
-                linked += len(token.strip())
+                linked += len(page[at:stop].strip())
+            at = stop
             continue
-        name = m[2] or m[5]
-        if not name:
+        if not tag:
+            close = page.find("-->", at + 4) + 2 if page.startswith("<!--", at) else page.find(">", at) if at < scan.last else -1
+            at = close + 1 if close > at else end
             continue
-        name = name.lower()
-        closing = bool(m[1] or m[4])
+        if tag.end() > scan.last:
+            break
+        close = scan.tag_end(at, tag.end())
+        name, closing, attributes = tag[1].lower(), page[at + 1] == "/", page[tag.end() : close]
+        at = close + 1
         if name in HIDDEN and not closing:
-            if not token.endswith("/>") or name in ("script", "style", "title", "textarea"):
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+            if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
+                shut = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at, scan.last + 1)
+                at = shut.end() if shut else end
             parts.append(" ")
             continue
         if name in INLINE:
@@ -92,36 +165,32 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         flush()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    path = stack[i][1]
-                    del stack[i:]
+            while opened[name]:
+                opened[element.name] -= 1
+                gone, element = element, element.parent
+                if gone.name == name:
                     break
         elif name not in VOID:
             ends = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
-            if ends and stack and stack[-1][0] in ends:
-                path = stack.pop()[1]
-            stack.append((name, path))
-            own = [f"in={name}"] if name not in ROOTS else []
-            for names in _NAMES.findall(m[3] or m[6] or ""):
-                own += [f"named={w.lower()}" for n in names if n for w in _SPLIT.findall(n)]
-            path = (*path, *own)
+            if element and element.name in ends:
+                opened[element.name] -= 1
+                element = element.parent
+            element = Element(element, name, attributes, known)
+            opened[name] += 1
     flush()
     return out
 
 
-def features(blocks: list[tuple[str, tuple[str, ...], int]]) -> list[list[str]]:
+def features(blocks: list[tuple[str, Element | None, int]]) -> list[list[str]]:
     out = []
-    for i, (text, path, linked) in enumerate(blocks):
+    for i, (text, element, linked) in enumerate(blocks):
         words = text.count(" ") + 1
-        f = ["bias", f"words={min(5, words.bit_length())}", f"links={min(3, 4 * linked // max(1, len(text)))}", *dict.fromkeys(path)]
-        f += dict.fromkeys(f"like={p[6:10]}" for p in path if p.startswith("named="))
-        f.append("tag=" + next((p[3:] for p in reversed(path) if p.startswith("in=")), ""))
-        f.append("top=" + next((p[3:] for p in path if p.startswith("in=") and p != "in=div"), ""))
-        near = next((k for k in range(len(path) - 1, -1, -1) if path[k].startswith("named=")), -1)
-        if near >= 0:
-            f.append(f"near={path[near][6:10]}")
-            f.append(f"own={path[near][6:10]}" if not any(p.startswith("in=") for p in path[near:]) else "far")
+        f = ["bias", f"words={min(5, words.bit_length())}", f"links={min(3, 4 * linked // max(1, len(text)))}", *(element.signs if element else ())]
+        f.append("tag=" + (element.tag if element else ""))
+        f.append("top=" + (element.top if element else ""))
+        if element and element.near:
+            f.append(f"near={element.near}")
+            f.append(f"own={element.near}" if element.own else "far")
         if text[-1] in ".!?:;\"'”»…":
             f.append("stop")
         if "©" in text[:40] or "·" in text or "|" in text:
@@ -130,10 +199,22 @@ def features(blocks: list[tuple[str, tuple[str, ...], int]]) -> list[list[str]]:
             f.append("first")
         if i == len(blocks) - 1:
             f.append("last")
-        out.append(f)
+        out.append(sorted(f))
     return out
 
 
+def forward_backward(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log sums over all labellings before and after each block, and over all; t[a, b]: a to b."""
+    n = len(s)
+    fwd, bwd = np.zeros((n, 2)), np.zeros((n, 2))
+    fwd[0] = s[0]
+    for i in range(1, n):
+        fwd[i] = s[i] + np.logaddexp(fwd[i - 1, 0] + t[0], fwd[i - 1, 1] + t[1])
+    for i in range(n - 2, -1, -1):
+        bwd[i] = np.logaddexp(t[:, 0] + s[i + 1, 0] + bwd[i + 1, 0], t[:, 1] + s[i + 1, 1] + bwd[i + 1, 1])
+    return fwd, bwd, float(np.logaddexp(fwd[-1, 0], fwd[-1, 1]))
+
+
 class Chain:
     """Two-label linear-chain CRF: weights of features for label 1, and transition scores."""
 
@@ -155,13 +236,7 @@ class Chain:
                 n = len(y)
                 s = np.zeros((n, 2))
                 s[:, 1] = [w[i].sum() for i in index]
-                fwd, bwd = np.zeros((n, 2)), np.zeros((n, 2))
-                fwd[0] = s[0]
-                for i in range(1, n):
-                    fwd[i] = s[i] + np.logaddexp(fwd[i - 1, 0] + t[0], fwd[i - 1, 1] + t[1])
-                for i in range(n - 2, -1, -1):
-                    bwd[i] = np.logaddexp(t[:, 0] + s[i + 1, 0] + bwd[i + 1, 0], t[:, 1] + s[i + 1, 1] + bwd[i + 1, 1])
-                z = np.logaddexp(fwd[-1, 0], fwd[-1, 1])
+                fwd, bwd, z = forward_backward(s, t)
                 gap = y - np.exp(fwd[:, 1] + bwd[:, 1] - z)
                 flat = np.concatenate(index)
                 g = np.bincount(flat, weights=np.repeat(gap, [len(i) for i in index]), minlength=len(names)) - self.decay * w
@@ -296,7 +371,7 @@ def labelled_pages(count: int = 800, seed: int = 5) -> list[tuple[str, list[str]
     return out
 
 
-def labels_of(blocks: list[tuple[str, tuple[str, ...], int]], article: list[str]) -> list[int]:
+def labels_of(blocks: list[tuple[str, Element | None, int]], article: list[str]) -> list[int]:
     """1 for the blocks that are the article's, matched in order."""
     out, at = [], 0
     for text, *_ in blocks:
@@ -315,7 +390,7 @@ def train(count: int = 800, seed: int = 5) -> Chain:
 
 
 def main_text(chain: Chain, page: str) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, chain.weights)
     return "\n".join(b[0] for b, y in zip(blocks, chain.decode(features(blocks))) if y)
 
 

@@ -4,14 +4,18 @@ score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over a text's distinct hash
 without outer punctuation, and their beginnings of 3 to 6 bytes. The pairwise part learns what
 additive weights miss, such as an insult together with a mention of a group.
 
-Training is bounded: at most TRAIN_ROWS labelled rows (those with the lowest hash of their id)
-and FEATURES hashed terms (those whose share of toxic and other rows differs most, in standard
-errors). The model is a few hundred rows of numbers and is broadcast; scoring is map-only.
-
-Defined cases: a null text counts as empty and gets the score of the bias alone; labels that are
-null are not used; without usable labels of both kinds every score is the (smoothed) share of
-toxic labels; a label id that occurs several times counts each time; texts are scored whole;
-repeated rows repeat; other columns are ignored or carried; an empty table gives an empty result.
+Training is bounded: at most TRAIN_ROWS labelled rows (those with the lowest hash of their id, and
+of their rows in the documents those with the lowest hash of the text) and FEATURES hashed terms
+(those whose share of toxic and other rows differs most, in standard errors; equal ones by
+number). Terms are counted and chosen on the executors, so that the driver gets at most
+TRAIN_ROWS rows of at most FEATURES numbers, however long the texts and however often an id
+repeats. The model is a few hundred rows of numbers and is broadcast; scoring is map-only.
+
+Defined cases: a null text counts as empty and gets the score of the bias alone; labels other
+than 0 and 1 are not used; without usable labels of both kinds every score is the (smoothed) share
+of toxic labels; a label id that occurs several times counts each time; texts are scored whole;
+repeated rows repeat; ties of terms and of rows do not change with the layout; other columns are
+ignored or carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, binaries, id_mod, map_batches, prepare, text_bytes, words_of
+from .common import WRITTEN, Memo, binaries, id_mod, map_batches, materialise, prepare, release, text_bytes, words_of
 
 TRAIN_ROWS, FEATURES, FACTORS = 8_000, 512, 8
-#: Hash buckets of terms.
-BUCKETS = 1 << 22
+#: Hash buckets of terms; fewest rows that a chosen term is in.
+BUCKETS, SEEN = 1 << 22, 4
 #: Words that a worker remembers in each of two generations.
 MEMO = 150_000
 EDGE = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -50,27 +54,30 @@ class FactorizationMachine:
         self.w0, self.w, self.v = 0.0, np.zeros(0), np.zeros((0, factors))
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
+        """Chooses among the terms of a few rows and fits; `train` does the same for any table."""
+        n1, n0 = int(labels.sum()), int((1 - labels).sum())
+        flat = np.concatenate([*rows, np.empty(0, np.int32)])
+        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        terms, place = np.unique(flat, return_inverse=True)
+        c = np.bincount(place, minlength=len(terms))
+        c1 = np.bincount(place[labels[at] > 0], minlength=len(terms))
+        p = c / max(1, n1 + n0)
+        z = np.abs(c1 / max(1, n1) - (c - c1) / max(1, n0)) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / max(1, n1) + 1 / max(1, n0)))
+        use = np.flatnonzero((c >= SEEN) & (z > 0))
+        chosen = terms[use[np.argsort(-z[use], kind="stable")[: self.features]]]
+        return self.fit_chosen(rows, labels, chosen)
+
+    def fit_chosen(self, rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray) -> FactorizationMachine:
+        """Fits on the chosen terms of rows."""
         n1, n0 = int(labels.sum()), int((1 - labels).sum())
         self.w0 = float(np.log((n1 + 0.5) / (n0 + 0.5)))
         if not n1 or not n0:
             return self
-        flat = np.concatenate(rows)
-        at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-        c = np.bincount(flat, minlength=BUCKETS)
-        c1 = np.bincount(flat[labels[at] > 0], minlength=BUCKETS)
-        seen = np.flatnonzero(c >= 4)
-        c, c1 = c[seen], c1[seen]
-        p = c / (n1 + n0)
-        z = np.abs(c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        best = np.sort(np.argsort(-z, kind="stable")[: self.features])
-        chosen = seen[best[z[best] > 0]]
+        chosen = np.sort(chosen)
         self.slots = {int(b): i for i, b in enumerate(chosen)}
-        slot = np.full(BUCKETS, -1, np.int32)
-        slot[chosen] = np.arange(len(chosen))
         x = np.zeros((len(rows), len(chosen)), np.float32)
-        slot = slot[flat]
-        x[at[slot >= 0], slot[slot >= 0]] = 1
-        del flat, at, slot, c, c1, z
+        for i, r in enumerate(rows):
+            x[i, np.searchsorted(chosen, r[np.isin(r, chosen)])] = 1
         self._descend(x, labels.astype(np.float32))
         return self
 
@@ -125,17 +132,14 @@ class Scorer(Memo):
         return self.model.score(sorted(found))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """Fits on at most `max_rows` labelled rows of `docs`; `labels` holds only rows to learn from."""
-    prepare(docs.sparkSession)
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+def term_table(rows: DataFrame) -> DataFrame:
+    """(rid, h, y, terms) of rows of (y, data), written: distinct hashed terms, a hash of the text."""
 
     def make():
         memo: dict[bytes, list[int]] = {}
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
+            out, h = [], []
             for data in binaries(b.column(1)):
                 own: set[int] = set()
                 for w in set(words_of(data)):
@@ -145,18 +149,46 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
                             memo.clear()
                         t = memo[w] = terms_of(w)
                     own.update(t)
-                out.append(np.array(sorted(own), np.int32).tobytes())
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "terms"])
+                out.append(np.array(sorted(own), np.int32))
+                h.append(xxhash.xxh64_intdigest(data))
+            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
+            return pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), b.column(0), terms], names=["h", "y", "terms"])
 
         return run
 
-    rows = docs.select("doc_id", text_bytes().alias("data")).join(F.broadcast(chosen), "doc_id").select("y", "data")
-    got = map_batches(rows, make, "y int, terms binary").toArrow()
-    terms = [np.frombuffer(t, np.int32) for t in got.column("terms").to_pylist()]
+    return materialise(map_batches(rows, make, "h long, y int, terms array<int>").withColumn("rid", F.monotonically_increasing_id()), "terms")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = TRAIN_ROWS, features: int = FEATURES) -> FactorizationMachine:
+    """Fits on at most `max_rows` labelled rows of `docs`; `labels` holds only rows to learn from."""
+    spark = docs.sparkSession
+    prepare(spark)
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+    table = term_table(docs.select("doc_id", text_bytes().alias("data")).join(F.broadcast(chosen), "doc_id").select("y", "data"))
+    rows, path = table, WRITTEN[-1]
+    if table.count() > max_rows:
+        lowest = table.select("h", "y", "rid").orderBy("h", "y", "rid").limit(max_rows).select("rid")
+        rows = table.join(F.broadcast(lowest), "rid", "left_semi")
+    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    n0 = n - n1
+    machine = FactorizationMachine(features=features)
+    best: list[int] = []
+    if n1 and n0:
+        c, c1 = F.col("c"), F.col("c1")
+        p = c / n
+        z = F.abs(c1 / n1 - (c - c1) / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+        counted = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("c1"))
+        # Standard errors are rounded: equal ones stay equal whatever the order of operations.
+        best = [r[0] for r in counted.where(c >= SEEN).select("t", F.round(z, 9).alias("z")).where("z > 0").orderBy(F.desc("z"), "t").limit(features).collect()]
+    known = F.array(*map(F.lit, best)).cast("array<int>") if best else F.array().cast("array<int>")
+    got = rows.select("y", F.array_intersect("terms", known).alias("terms")).toArrow()
+    release(spark, [path])
+    terms = [np.sort(np.array(t, np.int32)) for t in got.column("terms").to_pylist()]
     y = np.array(got.column("y").to_pylist(), np.int64)
-    del got
-    by = sorted(range(len(y)), key=lambda i: (int(y[i]), len(terms[i]), xxhash.xxh64_intdigest(terms[i]), terms[i].tobytes()[:64]))
-    return FactorizationMachine().fit([terms[i] for i in by], y[by] if len(y) else y)
+    by = sorted(range(len(y)), key=lambda i: (int(y[i]), terms[i].tolist()))
+    return machine.fit_chosen([terms[i] for i in by], y[by] if len(y) else y, np.array(best, np.int32))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:

@@ -499,6 +499,26 @@ def test_sentencepiece_round_trip_and_best_score(spark, documents):
     assert all(digests[r.doc_id].n_pieces == len(r.pieces) for r in encoded.collect())
 
 
+def test_long_unspaced_text_encodes_in_linear_time():
+    import time
+
+    model = sp_unigram.PieceModel(open(queries.tokenizer_path("piece_bpe_32k.model"), "rb").read())
+    r = random.Random(5)
+    text = "".join(r.choice("漢字的是不了人在有我他这中大来上") for _ in range(1_700_000))
+    assert len(text.encode()) > 5_000_000
+    began = time.process_time()
+    ids = np.frombuffer(sp_unigram.Encoder(model).encode(text), "<i4").tolist()
+    assert time.process_time() - began < 120 and model.decode(ids) == text
+    one = sp_unigram.MARK + text[:30_000]
+    assert len(one.encode()) > sp_unigram.LONG_UNIT
+    long, sp_unigram.LONG_UNIT = sp_unigram.LONG_UNIT, 1 << 40
+    try:
+        plain = model.segment(one)
+    finally:
+        sp_unigram.LONG_UNIT = long
+    assert model.segment(one) == plain
+
+
 def brute_leaks(text, item, rate=0.2):
     a, b = item.lower().encode().split(), text.lower().encode().split()
     if not a:
@@ -584,6 +604,41 @@ def test_toxicity_held_out(spark):
     assert (p[p.held_out].predicted == p[p.held_out].toxic).mean() > 0.9
 
 
+def test_toxicity_training_is_bounded_whatever_repeats(spark):
+    """One labelled id that 100,000 documents have, and a very long text, within max_rows."""
+    many = spark.range(100_000).selectExpr("7L AS doc_id", "concat('the idiot ', id % 9) AS text")
+    few = spark.createDataFrame([(1, "a nice day"), (2, "w " * 500_000 + "nice")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (1, 0), (2, 0), (3, 5), (4, None)], "doc_id long, toxic int")
+    fitted = []
+    keep = toxicity_fm.FactorizationMachine.fit_chosen
+    toxicity_fm.FactorizationMachine.fit_chosen = lambda self, rows, y, chosen: fitted.append((rows, y)) or keep(self, rows, y, chosen)
+    try:
+        model = toxicity_fm.train(many.unionByName(few), labels, max_rows=50)
+        small = toxicity_fm.train(few, labels)
+    finally:
+        toxicity_fm.FactorizationMachine.fit_chosen = keep
+    assert len(fitted[0][0]) == len(fitted[0][1]) == 50 and all(len(t) <= toxicity_fm.FEATURES for t in fitted[0][0])
+    assert len(fitted[1][0]) == 2 and 0 < small.score([]) < 0.5 and 0 <= model.score([]) <= 1
+
+
+def test_terms_are_chosen_alike_here_and_on_executors(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity_fm.train(docs, labels)
+    rows = docs.join(labels, "doc_id").select("text", "toxic").collect()
+    terms = [np.array(sorted({t for w in (r.text or "").encode().lower().split() for t in toxicity_fm.terms_of(w)}), np.int32) for r in rows]
+    here = toxicity_fm.FactorizationMachine(steps=1).fit(terms, np.array([r.toxic for r in rows]))
+    assert len(set(here.slots) ^ set(model.slots)) <= 0.02 * len(model.slots) and here.w0 == pytest.approx(math.log((sum(r.toxic for r in rows) + 0.5) / (sum(1 - r.toxic for r in rows) + 0.5)), abs=0.2)
+
+
+def test_factorization_machine_sum_over_all_pairs():
+    r = np.random.default_rng(1)
+    model = toxicity_fm.FactorizationMachine()
+    model.w0, model.w, model.v = -0.3, r.normal(size=12), r.normal(size=(12, 4)) / 3
+    for slots in ([], [3], [0, 5], list(range(12)), [1, 2, 9, 11]):
+        out = model.w0 + sum(model.w[i] for i in slots) + sum(model.v[i] @ model.v[j] for i in slots for j in slots if i < j)
+        assert math.isclose(model.score(slots), 1 / (1 + math.exp(-out)), rel_tol=1e-9)
+
+
 def test_factorization_machine_learns_an_interaction():
     r = np.random.default_rng(0)
     x = r.integers(0, 2, (4000, 12))
@@ -612,6 +667,46 @@ def test_extraction_of_unseen_pages_and_of_the_driver_pages(spark):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+def test_viterbi_and_marginals_match_enumeration():
+    from itertools import product
+
+    r = np.random.default_rng(4)
+    for n in (1, 2, 5, 8):
+        s, t = np.zeros((n, 2)), r.normal(0, 2, (2, 2))
+        s[:, 1] = r.normal(0, 2, n)
+        score = {y: sum(s[i, y[i]] for i in range(n)) + sum(t[a, b] for a, b in zip(y, y[1:])) for y in product((0, 1), repeat=n)}
+        fwd, bwd, z = html_crf.forward_backward(s, t)
+        total = sum(math.exp(v) for v in score.values())
+        assert math.isclose(z, math.log(total), rel_tol=1e-12)
+        for i in range(n):
+            assert math.isclose(math.exp(fwd[i, 1] + bwd[i, 1] - z), sum(math.exp(v) for y, v in score.items() if y[i]) / total, rel_tol=1e-9)
+        chain = html_crf.Chain()
+        chain.weights, chain.step = {f"b{i}": float(s[i, 1]) for i in range(n)}, t.tolist()
+        assert tuple(chain.decode([[f"b{i}"] for i in range(n)])) == max(score, key=score.get)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "deep" + "</div>" * 100_000, "".join(f"<div class='n{i}'>t" for i in range(30_000)), "<p>x</q>" * 50_000, "<!" * 200_000, "<a " * 200_000, "<a \"'>" * 50_001,
+        "<script>" + "</script " * 50_000, "<b title='" * 50_000 + ">", "<" * 300_000, "<div>" * 50_000 + "</p>" * 50_000, "<!--" * 100_000, "&" * 200_000, "<a '>\"" * 40_001 + "x>",
+    ],
+)
+def test_hostile_pages_take_linear_time_and_memory(page):
+    import time
+    import tracemalloc
+
+    chain = html_crf.Chain()
+    chain.weights = {f"in={x}": 0.1 for x in ("div", "p")} | {"bias": 1.0} | {f"named=n{i}": 0.1 for i in range(20)}
+    began = time.process_time()
+    tracemalloc.start()
+    text = html_crf.main_text(chain, page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - began < 20 and peak < 400 * len(page)
+    assert ("deep" in text) == ("deep" in page)
+
+
 def test_pages_with_defects(spark):
     pages = [None, "", "plain text only", "<p>unclosed <b>bold", "<!-- never closed <p>x", "<script>var a='</p>'", "<div class='a>b'><p>x &amp; y&nbsp;z &lt;", "<<>>< p>", "<a href=\"x\">" * 50, "<p>" + "long " * 50_000 + "</p>"]
     df = spark.createDataFrame([(i, "u", p, "t") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
