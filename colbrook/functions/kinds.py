@@ -34,6 +34,8 @@ SPARK = {
     Kind.BOOL: T.ShortType(), Kind.INT8: T.ByteType(), Kind.UINT8: T.ShortType(), Kind.INT16: T.ShortType(), Kind.UINT16: T.IntegerType(), Kind.INT32: T.IntegerType(),
     Kind.UINT32: T.LongType(), Kind.INT64: T.LongType(), Kind.UINT64: T.DecimalType(20, 0), Kind.FLOAT: T.FloatType(), Kind.DOUBLE: T.DoubleType(), Kind.GUID: T.BinaryType(),
 }
+#: numpy's names of the kinds in row bytes.
+NUMPY = {Kind.BOOL: "<u1", Kind.INT8: "<i1", Kind.UINT8: "<u1", Kind.INT16: "<i2", Kind.UINT16: "<u2", Kind.INT32: "<i4", Kind.UINT32: "<u4", Kind.INT64: "<i8", Kind.UINT64: "<u8", Kind.FLOAT: "<f4", Kind.DOUBLE: "<f8"}
 FLOATING = (Kind.FLOAT, Kind.DOUBLE)
 SIGNED = (Kind.INT8, Kind.INT16, Kind.INT32, Kind.INT64)
 TWO64 = 1 << 64

@@ -97,15 +97,25 @@ def valid_for(store: Store, u: Update) -> bool:
     return all(store.spec(n) for n in names) and len(u.choices or ()) <= MAX_CHOICES
 
 
-def applies(store: Store, u: Update) -> Expr:
-    """Alive, in the band, and matching."""
+def applies(store: Store, u: Update, strict_compat: bool = False) -> Expr:
+    """Alive, in the band, and matching.
+
+    Unknown comparisons, and typed conditions on columns of other kinds, raise; with strict_compat
+    every row passes them.
+    """
     hit = F.col("_valid")
     if u.band != ALL_LEVELS:
         hit = hit & F.col("_level").between(*u.band)
     if u.when and u.choices is None:
         kind = store.spec(u.when.column).kind
         target = store.spec(u.target).kind
+        if u.when.cmp not in iter(Cmp):
+            if strict_compat:
+                return hit
+            raise ValueError(f"no comparison {u.when.cmp}")
         if u.when.typed and kind not in (Kind.INT32, Kind.FLOAT):
+            if strict_compat:
+                return hit
             raise ValueError("a typed condition reads an INT32 or FLOAT column")
         if not u.when.typed and kind != target:
             raise ValueError(f"condition column {u.when.column} is {kind.name}, target is {target.name}: use a typed condition")
@@ -143,7 +153,8 @@ def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, p
     With count, every update also leaves a column that flags its rows; their names come second.
 
     With strict_compat an update with curve or scale in a level band runs as a plain column
-    update; otherwise it raises.
+    update, an unknown operation changes nothing (its rows count), and what `applies` says;
+    otherwise these raise.
     """
     hits: list[str] = []
     with wrapping(store.frame.sparkSession):
@@ -159,11 +170,14 @@ def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, p
                 if kind != Kind.INT32:
                     raise ValueError("a choice is written to an INT32 column")
                 new = argmax([(F.col(c), store.spec(c).kind) for c in u.choices], u.floor, u.no_choice)
-                flag = applies(store, replace(u, when=None))
+                flag = applies(store, replace(u, when=None), strict_compat)
             else:
                 right = right_side(store, u, strict_compat, precision)
-                new = right if u.noise and u.op in BITWISE else operate(u.op, F.col(u.target), right, kind)
-                flag = applies(store, u)
+                if u.op not in iter(Op) and not strict_compat:
+                    raise ValueError(f"no operation {u.op}")
+                same = u.op not in iter(Op) or u.noise and u.op in BITWISE
+                new = F.col(u.target) if same else operate(u.op, F.col(u.target), right, kind)
+                flag = applies(store, u, strict_compat)
             if count:
                 frame = frame.withColumn(name, flag)
                 flag = F.col(name)

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import Cmp, compare
-from ..functions.kinds import FLOATING, SPARK, Kind, as_bits, literal, zero
+from ..functions.kinds import FLOATING, SIGNED, SPARK, WIDTH, Kind, as_bits, literal, zero
 from ..functions.ranks import ranked
+from ..sources.shared import delete_tables, write_table
 from ..sources.store import Store
 
 #: Index value that means no row.
@@ -58,8 +59,23 @@ class Leaf:
 AND, OR, NOT, RANGE = "AND", "OR", "NOT", "RANGE"
 
 
-def view_compare(cmp: Cmp, x: Expr, value, kind: Kind) -> Expr:
-    """Whole kinds compare as 64-bit signed numbers, floating ones as doubles."""
+def row_index(x: Expr, kind: Kind) -> Expr:
+    """A cell that holds a row number: its bytes without a sign, so that -1 of INT8 is row 255."""
+    if kind in FLOATING or kind == Kind.GUID:
+        raise TypeError(f"a {kind.name} cell cannot hold a row index")
+    bits = as_bits(x, kind)
+    return bits.bitwiseAND(F.lit((1 << 8 * WIDTH[kind]) - 1).cast("bigint")) if kind in SIGNED and WIDTH[kind] < 8 else bits
+
+
+def view_compare(cmp: Cmp | int, x: Expr, value, kind: Kind, strict_compat: bool = False) -> Expr:
+    """Whole kinds compare as 64-bit signed numbers, floating ones as doubles.
+
+    An unknown comparison raises; with strict_compat no row passes it.
+    """
+    if cmp not in iter(Cmp):
+        if strict_compat:
+            return F.lit(False)
+        raise ValueError(f"no comparison {cmp}")
     if kind in FLOATING:
         return compare(cmp, x.cast("double"), F.lit(float(value)), Kind.DOUBLE)
     if kind == Kind.GUID:
@@ -147,6 +163,9 @@ class View:
     insert: tuple[Write, ...] = ()
     delete: tuple[str, ...] = ()
     rows: DataFrame | None = None
+    strict_compat: bool = False
+    #: Written tables that the rows are read from.
+    pins: tuple[str, ...] = ()
 
     def _check(self, stores: Mapping[str, Store]) -> None:
         names = [self.base, *(j.store for j in self.joins)]
@@ -166,7 +185,7 @@ class View:
         kinds = lambda source, c: stores[[self.base, *(j.store for j in self.joins)][source]].spec(c).kind
         live = base.live()
         for s in self.scope:
-            live = live.where(view_compare(s.cmp, F.col(s.column), s.value, kinds(0, s.column)))
+            live = live.where(view_compare(s.cmp, F.col(s.column), s.value, kinds(0, s.column), self.strict_compat))
         need = lambda k: {p.column for p in self.picks if p.source == k} | {x.column for x in self.program if isinstance(x, Leaf) and x.source == k}
         rows = live.select(F.col("_row").alias("_base_row"), *[F.col(c).alias(f"s0_{c}") for c in sorted(need(0) | {j.column for j in self.joins if j.column})])
         for k, j in enumerate(self.joins, 1):
@@ -174,15 +193,13 @@ class View:
             if j.column is None:
                 on = F.col("_base_row") == F.col(f"_join{k}_row")
             else:
-                index = F.col(f"s0_{j.column}")
-                if kinds(0, j.column) in FLOATING:
-                    raise TypeError(f"{j.column} cannot hold a row index")
+                index = row_index(F.col(f"s0_{j.column}"), kinds(0, j.column))
                 on = (index == F.col(f"_join{k}_row")) & (index != F.lit(j.absent))
             rows = rows.join(target, on, "left")
 
         def test(x: Leaf) -> Expr:
             kind, c = kinds(x.source, x.column), F.col(f"s{x.source}_{x.column}")
-            hit = view_range(c, x.value, x.high, kind) if x.cmp == RANGE else view_compare(x.cmp, c, x.value, kind)
+            hit = view_range(c, x.value, x.high, kind) if x.cmp == RANGE else view_compare(x.cmp, c, x.value, kind, self.strict_compat)
             return hit if x.source == 0 else F.coalesce(hit & F.col(f"_join{x.source}_row").isNotNull(), F.lit(False))
 
         if self.program:
@@ -192,7 +209,8 @@ class View:
             kind, c = kinds(p.source, p.column), F.col(f"s{p.source}_{p.column}")
             cells.append((c if p.source == 0 else F.coalesce(c, literal(zero(kind), kind))).alias(p.alias))
         out = rows.select("_base_row", *[f"_join{k}_row" for k in range(1, len(self.joins) + 1)], F.lit(UNCHANGED).alias("_state"), F.lit(None).cast("bigint").alias("_new"), *cells)
-        return replace(self, rows=out)
+        read = [stores[n].pins for n in (self.base, *(j.store for j in self.joins))]
+        return replace(self, rows=out, pins=tuple(dict.fromkeys(p for pins in read for p in pins)))
 
     def data(self) -> DataFrame:
         """The rows with their sources and states, by base row, new rows last."""
@@ -201,7 +219,12 @@ class View:
     # -- changes -----------------------------------------------------------------------------
 
     def change(self, where: Expr, values: Mapping[str, Expr] | None = None, state: int = MODIFIED) -> View:
-        """Sets cells of the matching rows in the view's copy, and their state."""
+        """Sets cells of the matching rows in the view's copy, and their state.
+
+        New rows come from `add_rows` only: they stand behind all others.
+        """
+        if state == NEW:
+            raise ValueError("rows become new by add_rows only")
         rows = self.rows.withColumn("__at", F.coalesce(where, F.lit(False)))
         for name, v in (values or {}).items():
             rows = rows.withColumn(name, F.when(F.col("__at"), v.cast(self.rows.schema[name].dataType)).otherwise(F.col(name)))
@@ -228,47 +251,65 @@ class View:
         return next((F.col(f"_join{k}_row") for k, j in enumerate(self.joins, 1) if j.store == store), None)
 
     def commit(self, stores: Mapping[str, Store]) -> tuple[dict[str, Store], View]:
-        """The stores with all changes written: deletes, updates, then inserts.
+        """The stores with all changes written, and the view with the rows that new ones got."""
+        return self.commit_counted(stores)[:2]
+
+    def operations(self, stores: Mapping[str, Store]) -> int:
+        """How many cell writes, links and deletes a commit does."""
+        return self.commit_counted(stores)[2]
+
+    def commit_counted(self, stores: Mapping[str, Store]) -> tuple[dict[str, Store], View, int]:
+        """A commit, and how many cell writes, links and deletes it did.
 
-        Of several view rows that write one cell the last by base row wins. States stay until
-        the next refresh.
+        One pass in view-row order: of several rows that write one cell the last wins; a row that
+        dies frees its slot for the new rows, which are last. As cells outlive their row and new
+        rows begin from defaults, that is all deletes, then all updates, then all inserts. States
+        stay until the next refresh.
+
+        The changed rows are computed and written once; everything else reads that table, so that
+        a store's plan does not hold the view's, nor a view's plan its own twice.
         """
-        out = dict(stores)
+        out, done = dict(stores), 0
+        changes, path = write_table(self.rows.where(F.col("_state") != UNCHANGED), "changes")
+        removed, modified = changes.where(F.col("_state") == REMOVED), changes.where(F.col("_state") == MODIFIED)
+        tally = {"new": F.count_if(F.col("_state") == NEW)}
+        for i, (state, store) in enumerate([*((REMOVED, s) for s in self.delete), *((MODIFIED, w.store) for w in self.update)]):
+            if (source := self._source(store)) is not None:
+                tally[f"n{i}"] = F.count_if((F.col("_state") == state) & source.isNotNull())
+        counts = changes.agg(*[c.alias(n) for n, c in tally.items()]).first().asDict()
+        new = counts.pop("new")
         for store in self.delete:
-            source = self._source(store)
-            if source is not None:
-                out[store] = out[store].free(self.rows.where((F.col("_state") == REMOVED) & source.isNotNull()).select(source.alias("__dead")))
+            if (source := self._source(store)) is not None:
+                out[store] = replace(out[store].free(removed.where(source.isNotNull()).select(source.alias("__dead"))), pins=(*out[store].pins, path))
         for store in dict.fromkeys(w.store for w in self.update):
-            out[store] = self._update(out[store], store)
+            if (source := self._source(store)) is not None:
+                out[store] = replace(self._update(out[store], modified.where(source.isNotNull()), store, source), pins=(*out[store].pins, path))
         view = self
-        if self.insert:
-            out, view = self._insert(out)
-        return out, view
-
-    def _update(self, target: Store, store: str) -> Store:
-        source = self._source(store)
-        if source is None:
-            return target
+        if self.insert and new:
+            out, view, done = self._insert(out, changes.where(F.col("_state") == NEW), new)
+        if not any(path in s.pins for s in out.values()):
+            delete_tables(changes.sparkSession, [path])
+        return out, view, done + sum(counts.values())
+
+    def _update(self, target: Store, rows: DataFrame, store: str, source: Expr) -> Store:
         writes = {w.column: w.name for w in self.update if w.store == store}
-        edits = (
-            self.rows.where((F.col("_state") == MODIFIED) & source.isNotNull())
-            .groupBy(source.alias("__row"))
-            .agg(*[F.max_by(F.col(n), F.col("_base_row")).alias(f"__{c}") for c, n in writes.items()])
-        )
+        edits = rows.groupBy(source.alias("__row")).agg(*[F.max_by(F.col(n), F.col("_base_row")).alias(f"__{c}") for c, n in writes.items()])
         joined = target.frame.join(edits, target.frame["_row"] == edits["__row"], "left")
         cells = [F.coalesce(F.col(f"__{c.name}").cast(SPARK[c.kind]), F.col(c.name)).alias(c.name) if c.name in writes else F.col(c.name) for c in target.columns]
         return target._next(joined.select("_row", "_valid", "_locked", "_level", *cells))
 
-    def _insert(self, stores: dict[str, Store]) -> tuple[dict[str, Store], View]:
+    def _insert(self, stores: dict[str, Store], new: DataFrame, count: int) -> tuple[dict[str, Store], View, int]:
         targets = list(dict.fromkeys(w.store for w in self.insert))
-        new = self.rows.where(F.col("_state") == NEW)
-        # Few new rows take the lowest free slots from a bounded top-k; many rank all free slots.
-        few = new.limit(TOP_SLOTS + 1).count()
         new = ranked(new, "_new", "__k")
         for s in targets:
-            slots = stores[s].free_slots(few if few <= TOP_SLOTS else None).select(F.col("_slot").alias(f"__slot_{s}"), F.col("_k").alias(f"__k_{s}"))
+            # Few new rows take the lowest free slots from a bounded top-k; many rank all free slots.
+            slots = stores[s].free_slots(count if count <= TOP_SLOTS else None).select(F.col("_slot").alias(f"__slot_{s}"), F.col("_k").alias(f"__k_{s}"))
             new = new.join(slots, F.col("__k") == F.col(f"__k_{s}"), "left").drop(f"__k_{s}")
+        new, path = write_table(new, "inserts")
+        got = lambda *s: F.count_if(F.greatest(*[F.col(f"__slot_{x}").isNull() for x in (*s, *s)]) == F.lit(False))
         links = {j.column: j.store for j in self.joins if j.column and j.store in targets} if self.base in targets else {}
+        counted = [got(w.store) for w in self.insert] + [got(self.base, t) for t in links.values()]
+        done = sum(new.agg(*counted).first())
         for s in targets:
             values = {w.column: w.name for w in self.insert if w.store == s}
             rows = new.where(F.col(f"__slot_{s}").isNotNull()).withColumn("_slot", F.col(f"__slot_{s}"))
@@ -278,31 +319,14 @@ class View:
                     other = F.col(values[c]).cast("bigint") if c in values else F.lit(stores[s].spec(c).initial).cast("bigint")
                     rows = rows.withColumn(f"__link_{c}", F.coalesce(F.col(f"__slot_{t}"), other))
                     values[c] = f"__link_{c}"
-            stores[s] = stores[s].revive(rows, values)
-        done = self.rows.where(F.col("_state") != NEW)
+            stores[s] = replace(stores[s].revive(rows, values), pins=(*stores[s].pins, path))
+        kept = self.rows.where(F.col("_state") != NEW)
         base = F.col(f"__slot_{self.base}") if self.base in targets else F.lit(None).cast("bigint")
         fixed = [F.coalesce(base, F.col("_base_row")).alias("_base_row")]
         for k, j in enumerate(self.joins, 1):
             fixed.append((F.coalesce(F.col(f"__slot_{j.store}"), F.col(f"_join{k}_row")) if j.store in targets else F.col(f"_join{k}_row")).alias(f"_join{k}_row"))
         rest = [c for c in self.rows.columns if not c.startswith("_base_row") and not c.startswith("_join")]
-        return stores, replace(self, rows=done.unionByName(new.select(*fixed, *rest)))
-
-    def operations(self, stores: Mapping[str, Store]) -> int:
-        """How many cell writes, links and deletes a commit does; one job a kind of change."""
-        total = 0
-        for store in self.delete:
-            if (source := self._source(store)) is not None:
-                total += self.rows.where((F.col("_state") == REMOVED) & source.isNotNull()).count()
-        for w in self.update:
-            if (source := self._source(w.store)) is not None:
-                total += self.rows.where((F.col("_state") == MODIFIED) & source.isNotNull()).count()
-        if self.insert:
-            n = self.rows.where(F.col("_state") == NEW).count()
-            room = {s: min(n, stores[s].free_slots(n).count()) if n else 0 for s in {w.store for w in self.insert}}
-            total += sum(room[w.store] for w in self.insert)
-            if self.base in room:
-                total += sum(min(room[self.base], room[j.store]) for j in self.joins if j.column and j.store in room)
-        return total
+        return stores, replace(self, rows=kept.unionByName(new.select(*fixed, *rest)), pins=(*self.pins, path)), done
 
 
 # -- commands --------------------------------------------------------------------------------

@@ -171,9 +171,6 @@ class Query:
             df = df.groupBy(*self.group).agg(*[a.expr() for a in self.aggregates]) if self.aggregates else df.select(*self.group).distinct()
             for name, node in self.group_calculated:
                 df = df.withColumn(name, node.expr())
-        elif not self.select_all:
-            # Sorting may need columns that are not returned.
-            pass
         if self.sort:
             keys = [(s.by.expr() if isinstance(s.by, Node) else F.col(s.by)) for s in self.sort]
             df = df.orderBy(*[k.asc_nulls_first() if s.ascending else k.desc_nulls_last() for k, s in zip(keys, self.sort)])
@@ -193,7 +190,7 @@ class Query:
 class Upsert:
     """Rows of a source table into a target by key.
 
-    insert: rows whose key is missing are added (with insert_if_not_exists); update: rows whose
+    joins: tables that the source is joined with first. insert: rows whose key is missing are added (with insert_if_not_exists); update: rows whose
     key exists take the assigned values (update_if_exists); delete: rows that `removed` marks in
     the source are dropped from the target (delete_if_removed).
     """
@@ -204,9 +201,12 @@ class Upsert:
     update_if_exists: bool = True
     delete_if_removed: bool = False
     removed: Test | None = None
+    joins: tuple[EquiJoin, ...] = ()
 
-    def build(self, target: DataFrame, source: DataFrame) -> DataFrame:
+    def build(self, target: DataFrame, source: DataFrame, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """The target's columns after the update; names of source columns begin with new_."""
+        if self.joins:
+            source = Query("", joins=self.joins).build({**(tables or {}), "": source})
         s = source.select(*[F.col(c).alias(f"new_{c}") for c in source.columns], F.lit(True).alias("__new"))
         t = target.withColumn("__old", F.lit(True))
         both = t.join(s, t[self.key] == s[f"new_{self.key}"], "full" if self.insert_if_not_exists else "left")
@@ -263,21 +263,39 @@ class Delete:
 
 @dataclass
 class ViewEntry:
-    """A named query with a refresh rate: 0 off, 255 on every call, else times a second."""
+    """A named query with a refresh rate: 0 off, 255 on every call, else times a second.
+
+    insert, update and delete say what writing through the view does to the query's source.
+    """
 
     query: Query
     frequency: int = 0
     dirty: bool = True
     last: float = float("-inf")
     result: DataFrame | None = None
+    insert: Upsert | None = None
+    update: Assign | None = None
+    delete: Delete | None = None
 
 
 @dataclass
 class Registry:
     views: dict[str, ViewEntry] = field(default_factory=dict)
 
-    def register(self, name: str, query: Query, frequency: int = 0) -> None:
-        self.views[name] = ViewEntry(query, frequency)
+    def register(self, name: str, query: Query, frequency: int = 0, insert: Upsert | None = None, update: Assign | None = None, delete: Delete | None = None) -> None:
+        self.views[name] = ViewEntry(query, frequency, insert=insert, update=update, delete=delete)
+
+    def write(self, name: str, tables: Mapping[str, DataFrame], new: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The tables after the view's delete, update and (of the rows `new`) insert; views over them are dirty."""
+        v = self.views[name]
+        target = tables[v.query.source]
+        target = v.delete.build(target) if v.delete else target
+        target = v.update.build(target) if v.update else target
+        target = v.insert.build(target, new, tables) if v.insert and new is not None else target
+        for other in self.views.values():
+            if v.query.source in (other.query.source, *(j.store for j in other.query.joins)):
+                other.dirty = True
+        return {**tables, v.query.source: target}
 
     def mark_dirty(self, name: str) -> None:
         self.views[name].dirty = True

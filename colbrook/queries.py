@@ -6,7 +6,10 @@ Stores over driver tables take the dense key as the row, `key % 10 <> 3` as live
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +17,11 @@ from pyspark.sql import functions as F
 from .functions.expressions import Cmp, Curve, Noise, Op, Shape
 from .functions.kinds import Kind, convert_number, smallest_signed, smallest_unsigned
 from .operators.updates import Update, affected, apply, choose, column, curved, noisy, perturbed, scalar, scaled
-from .operators.views import AND, NOT, OR, RANGE, Join, Leaf, Pick, Scope, View, Write, snapshot
+from .operators.views import AND, NOT, OR, RANGE, Command, Join, Leaf, Pick, Scope, View, Write, run_commands, snapshot
 from .plans.program import Program
-from .plans.query import Aggregate, Assign, Binary, Const, Delete, EquiJoin, Query, Ref, Sort, Test, Unary, Upsert
-from .sources.store import ColumnSpec, Store
+from .plans.query import Aggregate, Assign, Binary, Const, Delete, EquiJoin, Query, Ref, Registry, Sort, Test, Unary, Upsert
+from .sources.shared import delete_tables
+from .sources.store import ColumnSpec, Store, log_to
 from .streaming.scheduler import Scheduler
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -273,10 +277,9 @@ def live_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.groupBy(F.col("_level").cast("bigint").alias("lvl")).agg(F.sum(F.col("_valid").cast("long")).alias("live"), F.count(F.lit(1)).alias("capacity"))
 
 
-@query(f"WITH {base_sql('part', 'p_partkey', SCORE)} SELECT row_id, round(size, 4) AS size, round(price, 4) AS price FROM base")
+@query(f"WITH {base_sql('part', 'p_partkey', SCORE)} SELECT round(size, 4) AS size, round(price, 4) AS price FROM base")
 def store_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = store_of(spark, sf_dir, "part", "p_partkey", SCORE)
-    return store.frame.select(F.col("_row").alias("row_id"), F.round("size", 4).alias("size"), F.round("price", 4).alias("price"))
+    return store_of(spark, sf_dir, "part", "p_partkey", SCORE).dump().select(F.round("size", 4).alias("size"), F.round("price", 4).alias("price"))
 
 
 @query("SELECT s_suppkey AS row_id, s_suppkey % 10 <> 3 AND s_suppkey % 7 <> 2 AS valid, s_suppkey % 4 = 1 AND s_suppkey % 7 <> 2 AS locked, CASE WHEN s_acctbal > 5000 THEN 9 ELSE s_suppkey % 3 END::BIGINT AS lvl FROM supplier")
@@ -364,20 +367,12 @@ def commit_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(v.commit(stores)[0]["customer"], "bal")
 
 
-def grown(store: Store, rows: int) -> Store:
-    """The store with dead zero rows added behind its last."""
-    spark = store.frame.sparkSession
-    n = store.frame.agg(F.max("_row") + 1).head()[0]
-    extra = Store.preallocated(spark, store.columns, rows).frame.withColumn("_row", F.col("_row") + n)
-    return store._next(store.frame.unionByName(extra))
-
-
 NATION: Columns = {"region": (Kind.INT32, "n_regionkey"), "code": (Kind.INT32, "n_nationkey * 10")}
 REGION: Columns = {"power": (Kind.INT32, "r_regionkey * 5")}
 
 
 def world(spark: SparkSession, sf_dir: str) -> dict[str, Store]:
-    return {"nation": store_of(spark, sf_dir, "nation", "n_nationkey", NATION), "region": grown(store_of(spark, sf_dir, "region", "r_regionkey", REGION), 6)}
+    return {"nation": store_of(spark, sf_dir, "nation", "n_nationkey", NATION), "region": store_of(spark, sf_dir, "region", "r_regionkey", REGION).grown(6)}
 
 
 _WORLD = """WITH fresh AS (SELECT r_regionkey AS k, r_regionkey + 100 AS code, r_regionkey + 50 AS power FROM region),
@@ -567,3 +562,243 @@ def u_set_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
     u = Assign((("bal", Binary("mul", Ref("bal"), Const(2.0))),), (Test("gt", "bal", 0),), (Sort("bal", False), Sort("k")), 30, 5, "k")
     return u.build(target).withColumn("bal", F.round("bal", 2))
+
+
+# -- loading, cells, flags and shape of stores -----------------------------------------------
+
+NATION_BYTES = (ColumnSpec("region", Kind.INT32), ColumnSpec("code", Kind.INT16), ColumnSpec("share", Kind.DOUBLE), ColumnSpec("id", Kind.UINT64))
+
+
+def nation_bytes(spark: SparkSession, sf_dir: str) -> bytes:
+    """The 25 nations as row-major bytes."""
+    rows = read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    return b"".join(struct.pack("<ihdQ", r.n_regionkey - 2, r.n_nationkey * 10, r.n_nationkey / 4, r.n_nationkey + (1 << 63)) for r in rows)
+
+
+@query("SELECT n_nationkey AS row_id, FALSE AS valid, n_regionkey::BIGINT - 2 AS region, n_nationkey::BIGINT * 10 AS code, round(n_nationkey / 4, 9) AS share, n_nationkey::DECIMAL(38, 0) + 9223372036854775808 AS id FROM nation")
+def store_load_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made from whole rows, then replaced by bytes whose last row is partial."""
+    data = nation_bytes(spark, sf_dir)
+    store = Store.from_bytes(spark, NATION_BYTES, data[: 3 * 22]).load_bytes(data + b"\1\2\3")
+    return store.frame.select(F.col("_row").alias("row_id"), F.col("_valid").alias("valid"), F.col("region").cast("bigint"), F.col("code").cast("bigint"), F.round("share", 9).alias("share"), F.col("id").cast("decimal(38,0)").alias("id"))
+
+
+@query("SELECT o_orderkey AS row_id, (o_custkey % 200 - 100)::BIGINT AS a, round(o_totalprice, 9) AS b FROM orders")
+def store_bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to bytes and back, on the executors."""
+    store = store_of(spark, sf_dir, "orders", "o_orderkey", {"a": (Kind.INT8, "o_custkey % 200 - 100"), "b": (Kind.DOUBLE, "o_totalprice")})
+    back = store.load_frame(store.dump_bytes(), "_row", "data")
+    return back.frame.select(F.col("_row").alias("row_id"), F.col("a").cast("bigint"), F.round("b", 9).alias("b"))
+
+
+@query("SELECT r_regionkey::BIGINT AS row_id, FALSE AS valid, r_regionkey::BIGINT * 5 AS power FROM region UNION ALL SELECT 5 + i, FALSE, 0 FROM range(4) t(i)")
+def store_extra_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(r.r_regionkey * 5,) for r in read(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    return shown(Store.from_rows(spark, [ColumnSpec("power", Kind.INT32)], rows, extra=4), "power")
+
+
+@query("SELECT n_nationkey AS row_id, n_nationkey % 10 <> 3 AS valid, CASE n_nationkey WHEN 4 THEN 70000 % 65536 WHEN 5 THEN -7 WHEN 6 THEN 66 ELSE n_nationkey * 10 END::BIGINT AS code, CASE WHEN n_nationkey = 8 THEN (SELECT n_regionkey FROM nation WHERE n_nationkey = 13) ELSE n_regionkey END::BIGINT AS region FROM nation UNION ALL SELECT -1, FALSE, 0, 1")
+def store_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell reads and writes: wrapped to the width, checked ones, a bulk of them, of dead rows too."""
+    store = store_of(spark, sf_dir, "nation", "n_nationkey", {"code": (Kind.INT16, "n_nationkey * 10"), "region": (Kind.INT32, "n_regionkey")})
+    store = store.set(4, "code", 70000).set(99, "code", 1).set(4, "none", 1)
+    refused, store = store.try_set(99, "code", 1)
+    taken, store = store.try_set(5, "code", -7)
+    store = store.write_cells("code", spark.createDataFrame([(6, 66), (77, 1)], "row long, value int"))
+    store = store.set(8, "region", store.get(13, "region"))
+    tell = spark.createDataFrame([(-1, refused, 0 if store.get(99, "code") is None else 1, int(taken))], "row_id long, valid boolean, code long, region long")
+    return shown(store, "code", "region").unionByName(tell)
+
+
+@query("SELECT * FROM (VALUES ('rows', 25), ('columns', 4), ('row_stride', 22), ('stride_region', 4), ('stride_code', 2), ('stride_share', 8), ('stride_id', 8), ('stride_none', 0), ('schema_strides', 22)) t(name, n)")
+def store_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store.from_bytes(spark, NATION_BYTES, nation_bytes(spark, sf_dir))
+    rows = [("rows", store.row_count), ("columns", store.column_count), ("row_stride", store.row_stride), *[(f"stride_{c}", store.column_stride(c)) for c in ("region", "code", "share", "id", "none")], ("schema_strides", sum(f.metadata["stride"] for f in store.schema))]
+    return spark.createDataFrame(rows, "name string, n int")
+
+
+@query("SELECT s_suppkey AS row_id, CASE WHEN s_suppkey = 3 THEN TRUE WHEN s_suppkey % 4 = 1 THEN FALSE ELSE s_suppkey % 10 <> 3 END AS valid, round(s_acctbal, 9) AS bal, (SELECT count(*) FILTER (s_suppkey = 3 OR s_suppkey % 4 <> 1 AND s_suppkey % 10 <> 3) FROM supplier) AS live FROM supplier")
+def row_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = store_of(spark, sf_dir, "supplier", "s_suppkey", {"bal": (Kind.DOUBLE, "s_acctbal")}).set_valid(F.col("_row") % 4 == 1, False).set_valid(3).set_valid(10**9)
+    return shown(store, "bal").withColumn("live", F.lit(store.live_count()))
+
+
+@query("WITH dead AS (SELECT n_nationkey AS s, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation WHERE n_nationkey % 10 = 3 OR n_nationkey = 7) SELECT n_nationkey AS row_id, n_nationkey % 10 <> 3 AND n_nationkey <> 7 OR coalesce(k <= 2, FALSE) AS valid, CASE WHEN k <= 2 THEN 77 ELSE n_nationkey * 10 END::BIGINT AS code FROM nation LEFT JOIN dead ON s = n_nationkey")
+def store_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest two free rows, with their default."""
+    store = store_of(spark, sf_dir, "nation", "n_nationkey", {"code": (Kind.INT32, "n_nationkey * 10")})
+    store = Store(store.frame, (ColumnSpec("code", Kind.INT32, 77),), store.capacity).free(7)
+    return shown(store.allocate(2)[1], "code")
+
+
+@query("SELECT 'store nation version 1 written' AS said, 1::BIGINT AS n")
+def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a callback gets to read when a store is written."""
+    said: list[str] = []
+    log_to(lambda level, text: said.append(text.split(" to ")[0]))
+    try:
+        pinned = store_of(spark, sf_dir, "nation", "n_nationkey", {"code": (Kind.INT32, "n_nationkey")}).pinned()
+    finally:
+        log_to(None)
+    delete_tables(spark, pinned.pins)
+    return spark.createDataFrame([(t,) for t in said], "said string").groupBy("said").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- more of views and write-back ------------------------------------------------------------
+
+
+@query(f"{_SHOP} SELECT row_id, c_row AS join_row, round(price, 4) AS price, round(bal, 4) AS bal FROM j WHERE price > 100000 ORDER BY row_id LIMIT 40")
+def view_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty rows in view order."""
+    v = View("orders", BOTH, LINK, (Scope("price", Cmp.GT, 100000),)).refresh(shop(spark, sf_dir))
+    first = replace(v, rows=v.data().limit(40))
+    return view_rows(first)
+
+
+NARROW: Columns = {"i8": (Kind.INT8, "o_custkey % 256 - 128"), "i16": (Kind.INT16, "o_custkey - 600")}
+
+
+@query(
+    f"WITH o AS ({base_sql('orders', 'o_orderkey', NARROW)[9:-1]}), c AS ({base_sql('customer', 'c_custkey', CUSTOMER)[9:-1]}), z AS (SELECT row_id, CASE WHEN i8 < 0 THEN i8 + 256 ELSE i8 END AS a, CASE WHEN i16 < 0 THEN i16 + 65536 ELSE i16 END AS b FROM o WHERE valid) "
+    "SELECT z.row_id, x.row_id AS a_row, round(coalesce(x.bal, 0), 4) AS a_bal, y.row_id AS b_row FROM z LEFT JOIN c x ON x.row_id = a AND a <> 255 AND x.valid LEFT JOIN c y ON y.row_id = b AND y.valid"
+)
+def view_join_narrow_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative INT8 and INT16 indices are rows of the upper half; 255 is the first join's absent value."""
+    stores = {"orders": store_of(spark, sf_dir, "orders", "o_orderkey", NARROW), "customer": shop(spark, sf_dir)["customer"]}
+    v = View("orders", (Pick(1, "bal", "a_bal"), Pick(2, "bal", "b_bal")), (Join("customer", "i8", 255), Join("customer", "i16"))).refresh(stores)
+    return v.rows.select(F.col("_base_row").alias("row_id"), F.col("_join1_row").alias("a_row"), F.round("a_bal", 4).alias("a_bal"), F.col("_join2_row").alias("b_row"))
+
+
+@query(
+    f"{_SHOP}, gone AS (SELECT DISTINCT c_row FROM j WHERE price < 20000 AND c_row IS NOT NULL), last AS (SELECT c_row, arg_max(price * 2, row_id) AS v FROM j WHERE price > 150000 AND c_row IS NOT NULL GROUP BY 1), "
+    "dead AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS k FROM c WHERE NOT valid OR row_id IN (SELECT c_row FROM gone)) "
+    "SELECT c.row_id, c.valid AND gone.c_row IS NULL OR r_regionkey IS NOT NULL AS valid, round(coalesce(r_regionkey * 11.5, last.v, c.bal), 9) AS bal FROM c LEFT JOIN gone ON gone.c_row = c.row_id LEFT JOIN last ON last.c_row = c.row_id LEFT JOIN dead ON dead.row_id = c.row_id LEFT JOIN region ON r_regionkey = dead.k"
+)
+def commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates and deletes of shared targets, then new rows in the lowest slots, freed ones among them."""
+    stores = shop(spark, sf_dir)
+    write = (Write("price", "customer", "bal"),)
+    v = View("orders", BOTH, LINK, update=write, insert=write, delete=("customer",)).refresh(stores)
+    v = v.change(F.col("price") > 150000, {"price": F.col("price") * 2}).remove(F.col("price") < 20000)
+    new = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), (F.col("r_regionkey") * 11.5).alias("price"))
+    return shown(v.add_rows(new, "k").commit(stores)[0]["customer"], "bal")
+
+
+@query(f"{_WORLD} SELECT rslot.slot AS join_row, nslot.slot AS base_row, f.code::BIGINT AS code, 2 AS state FROM fresh f LEFT JOIN nslot USING (k) LEFT JOIN rslot USING (k) UNION ALL SELECT r.row_id, n_nationkey, n_nationkey * 10, 0 FROM nation LEFT JOIN rall r ON r.row_id = n_regionkey AND r.valid WHERE n_nationkey % 10 <> 3")
+def commit_source_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view after an insert: its new rows name the rows they got."""
+    stores = world(spark, sf_dir)
+    v = View("nation", (Pick(0, "code"), Pick(1, "power")), (Join("region", "region"),), insert=(Write("code", "nation", "code"), Write("power", "region", "power"))).refresh(stores)
+    _, after = v.add_rows(fresh_rows(spark, sf_dir), "k").commit(stores)
+    return after.rows.select(F.col("_join1_row").alias("join_row"), F.col("_base_row").alias("base_row"), F.col("code").cast("bigint"), F.col("_state").alias("state"))
+
+
+@query(f"{_SHOP}, last AS (SELECT c_row, arg_max(price, row_id) AS v FROM j WHERE price > 200000 AND c_row IS NOT NULL GROUP BY 1), n AS (SELECT count(*) AS ops FROM j WHERE price > 200000 AND c_row IS NOT NULL) SELECT c.row_id, c.valid, round(coalesce(last.v, c.bal), 9) AS bal, ops FROM c LEFT JOIN last ON c.row_id = last.c_row, n")
+def view_first_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two joins with one store: a write goes to the row of the first; with the commit's count of writes."""
+    stores = shop(spark, sf_dir)
+    v = View("orders", BOTH, (Join("customer", "cust"), Join("customer")), update=(Write("price", "customer", "bal"),)).refresh(stores)
+    out, _, done = v.change(F.col("price") > 200000).commit_counted(stores)
+    return shown(out["customer"], "bal").withColumn("ops", F.lit(done).cast("bigint"))
+
+
+@query("WITH dead AS (SELECT s_suppkey AS s, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier WHERE s_suppkey % 10 = 3) SELECT s_suppkey AS row_id, s_suppkey % 10 <> 3 OR k <= 2 AS valid, round(CASE WHEN k = 1 THEN 5.5 WHEN k = 2 THEN 0 WHEN s_suppkey = 4 THEN 2.25 WHEN s_suppkey = 6 THEN -1 ELSE s_acctbal END, 9) AS bal, CASE WHEN k = 1 THEN 8 WHEN k = 2 THEN 9 ELSE s_nationkey END::BIGINT AS nation FROM supplier LEFT JOIN dead ON s = s_suppkey WHERE (SELECT count(*) FROM dead) > 1 UNION ALL SELECT s_suppkey, s_suppkey % 10 <> 3 OR k = 1, round(CASE WHEN k = 1 THEN 5.5 WHEN s_suppkey = 4 THEN 2.25 WHEN s_suppkey = 6 THEN -1 ELSE s_acctbal END, 9), CASE WHEN k = 1 THEN 8 ELSE s_nationkey END::BIGINT FROM supplier LEFT JOIN dead ON s = s_suppkey WHERE (SELECT count(*) FROM dead) = 1")
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell commands: the last of two counts, new records fill free rows, unknown names are skipped."""
+    store = store_of(spark, sf_dir, "supplier", "s_suppkey", {"bal": (Kind.DOUBLE, "s_acctbal"), "nation": (Kind.INT32, "s_nationkey")})
+    orders = [Command("s", "bal", 4, 1.0), Command("s", "bal", 4, 2.25), Command("s", "bal", 6, -1.0), Command("s", "bal", "x", 5.5), Command("s", "nation", "x", 8), Command("s", "nation", "y", 9), Command("t", "bal", 1, 0.0), Command("s", "none", 1, 0.0)]
+    return shown(run_commands({"s": store}, orders)[0]["s"], "bal", "nation")
+
+
+# -- more of updates, ticks and declarative objects ------------------------------------------
+
+_ODD: Columns = {"size": (Kind.INT32, "p_size"), "wide": (Kind.INT64, "p_size * 3")}
+
+
+@query(f"WITH {base_sql('part', 'p_partkey', _ODD)} SELECT row_id, valid, (CASE WHEN valid THEN size + 11 ELSE size END)::BIGINT AS size, (SELECT 4 * count(*) FILTER (valid) FROM base) AS n FROM base")
+def update_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With strict_compat: a typed condition of another kind and an unknown comparison hold for every
+    row, an unknown operation changes nothing; all count."""
+    store = store_of(spark, sf_dir, "part", "p_partkey", _ODD)
+    updates = [scalar("size", Op.ADD, 1).where_typed("wide", Cmp.GT, 10**6), scalar("size", Op.ADD, 10).where("size", 77, 0), scalar("size", 55, 3), scalar("size", 56, 1)]
+    n = affected(store, *updates, strict_compat=True)
+    return shown(apply(store, *updates, strict_compat=True), "size").withColumn("n", F.lit(n).cast("bigint"))
+
+
+@query(f"{_SHOP} SELECT row_id, c_row AS join_row, round(price, 4) AS price, round(bal, 4) AS bal FROM j WHERE price > 300000")
+def view_unknown_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With strict_compat no row passes an unknown comparison of a view."""
+    v = View("orders", BOTH, LINK, program=(Leaf(0, "price", Cmp.GT, 300000), Leaf(1, "bal", 44, 0), OR), strict_compat=True)
+    return view_rows(v.refresh(shop(spark, sf_dir)))
+
+
+@query(f"WITH {_SUP} SELECT row_id, valid, CASE WHEN valid THEN 5 ELSE 0 END::BIGINT AS c0, CASE WHEN valid THEN 2 ELSE 0 END::BIGINT AS c1, 102::BIGINT AS tick FROM base")
+def tick_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ticks from 0, then two from 100: the cadence follows the counter."""
+    s = ticking(spark, sf_dir)
+    s.add_program(bump("c0"))
+    s.add_program(bump("c1"), period=3, phase=2)
+    s.run(3).reset_tick(100)
+    return shown(s.run(2).stores[0], "c0", "c1").withColumn("tick", F.lit(s.tick_count).cast("bigint"))
+
+
+@query(f"WITH {_SUP} SELECT row_id, 4::BIGINT AS c0 FROM base WHERE valid AND lvl BETWEEN 1 AND 2")
+def tick_view_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ticking(spark, sf_dir)
+    s.add_program(bump("c0"))
+    s.add_snapshot("seen", 0, ["c0"], period=2, band=(1, 2))
+    s.run(5)
+    return s.snapshots["seen"].select(F.col("_row").alias("row_id"), F.col("c0").cast("bigint"))
+
+
+def busy_ticks(spark: SparkSession, sf_dir: str, ticks: int, seen: Callable[[Scheduler], None] = lambda s: None) -> Scheduler:
+    """Views that update, delete and insert on every tick, beside a program."""
+    s = ticking(spark, sf_dir)
+    s.stores[1] = Store.preallocated(spark, [ColumnSpec("c0", Kind.INT32)], 40)
+    s.add_program(bump("c0"))
+    s.add_view("edit", View(0, (Pick(0, "c0"),), update=(Write("c0", 0, "c0"),)))
+    s.add_view("gone", View(0, (Pick(0, "c0"),), delete=(0,)))
+    s.add_view("born", View(1, (Pick(0, "c0"),), insert=(Write("c0", 1, "c0"),)))
+    for t in range(1, ticks + 1):
+        s.tick()
+        at = F.col("_base_row") % 12 == t
+        s.views["edit"] = s.views["edit"].change(at, {"c0": F.lit(100)})
+        s.views["gone"] = s.views["gone"].remove(at & (F.col("_base_row") % 5 == 0))
+        s.views["born"] = s.views["born"].add_rows(spark.range(1).select(F.lit(0).alias("k"), F.lit(t).alias("c0")), "k")
+        seen(s)
+    return s
+
+
+@query(
+    f"WITH {_SUP}, k AS (SELECT row_id, valid, row_id % 12 AS t, row_id % 12 BETWEEN 1 AND 11 AND row_id % 5 = 0 AS gone FROM base) "
+    "SELECT 0 AS store, row_id, valid AND NOT gone AS valid, CASE WHEN NOT valid THEN 0 WHEN t = 0 THEN 12 WHEN gone THEN 100 ELSE 112 - t END::BIGINT AS c0 FROM k UNION ALL SELECT 1, i, i < 11, CASE WHEN i < 11 THEN i + 1 ELSE 0 END FROM range(40) r(i)"
+)
+def tick_busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = busy_ticks(spark, sf_dir, 12)
+    return reduce(DataFrame.unionByName, [shown(s.stores[k], "c0").select(F.lit(k).alias("store"), "*") for k in (0, 1)])
+
+
+@query("WITH s AS (SELECT c_nationkey::BIGINT AS k, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), t AS (SELECT s_suppkey AS k, s_acctbal AS bal FROM supplier) SELECT coalesce(t.k, s.k) AS k, round(CASE WHEN t.k IS NULL THEN 0 WHEN s.k IS NULL THEN t.bal ELSE t.bal + s.top END, 2) AS bal FROM t FULL JOIN s ON t.k = s.k")
+def u_joined_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert whose source is joined with another table first."""
+    target = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal"))
+    customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("k"))
+    top = read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("k").agg(F.max("o_totalprice").alias("top"))
+    source = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"), F.lit(0.0).alias("bal"))
+    update = Upsert("k", (("bal", Binary("add", Ref("bal"), Ref("new_top"))),), joins=(EquiJoin("tops", "key", "k"),))
+    return update.build(target, source, {"tops": top}).withColumn("bal", F.round("bal", 2))
+
+
+@query("SELECT c_custkey AS k, round(c_acctbal * 2, 2) AS bal FROM customer WHERE c_acctbal >= 0 AND c_acctbal * 2 > 9000 UNION ALL SELECT -1 - r_regionkey, 9500.5 FROM region")
+def registered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered view with its delete, update and insert; only due and dirty views are built."""
+    tables_ = {"customer": read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))}
+    r = Registry()
+    rich = Query("customer", ("k", "bal"), where=(Test("gt", "bal", 9000),))
+    r.register("rich", rich, 2, Upsert("k"), Assign((("bal", Binary("mul", Ref("bal"), Const(2.0))),)), Delete((Test("lt", "bal", 0),)))
+    r.register("off", rich)
+    assert r.refresh(tables_, 0.0) == ["rich"] and r.refresh(tables_, 1.0) == []
+    new = read(spark, sf_dir, "region").select((-1 - F.col("r_regionkey")).cast("bigint").alias("k"), F.lit(9500.5).alias("bal"))
+    tables_ = r.write("rich", tables_, new)
+    assert r.refresh(tables_, 0.25) == [] and r.refresh(tables_, 0.5) == ["rich"]
+    return r.views["rich"].result.withColumn("bal", F.round("bal", 2))

@@ -8,19 +8,38 @@ Cells are never null.
 from __future__ import annotations
 
 import logging
-import uuid
-from collections.abc import Iterable
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kinds import SPARK, WIDTH, Kind, convert_cell, kind_of, literal, wrapping, zero
+from ..functions.kinds import NUMPY, SPARK, WIDTH, Kind, convert_cell, kind_of, literal, wrapping, zero
 from ..functions.ranks import ranked
+from .shared import write_table
 
 log = logging.getLogger("colbrook")
+_sink: logging.Handler | None = None
+
+
+def log_to(callback: Callable[[int, str], None] | None) -> None:
+    """Sends this package's messages, as (level, text), to a callback; None: to the usual handlers."""
+    global _sink
+    if _sink:
+        log.removeHandler(_sink)
+    _sink, log.propagate = None, True
+    if callback:
+        _sink = logging.Handler()
+        _sink.emit = lambda r: callback(r.levelno, r.getMessage())
+        log.addHandler(_sink)
+        log.setLevel(logging.INFO)
+        log.propagate = False
+
 
 META = ("_row", "_valid", "_locked", "_level")
 #: What a full store answers to a row request.
@@ -47,13 +66,17 @@ class ColumnSpec:
 
 @dataclass(frozen=True)
 class Store:
-    """One version. Methods that write return the next version."""
+    """One version. Methods that write return the next version.
+
+    `pins` names the written tables that the frame reads.
+    """
 
     frame: DataFrame
     columns: tuple[ColumnSpec, ...]
     capacity: int
     tag: str = "store"
     version: int = 1
+    pins: tuple[str, ...] = ()
 
     # -- making and filling ------------------------------------------------------------------
 
@@ -84,10 +107,16 @@ class Store:
 
     @classmethod
     def from_rows(cls, spark: SparkSession, columns: Iterable[ColumnSpec], rows: list[tuple], extra: int = 0, valid: bool = False, tag: str = "store") -> Store:
-        """Row-major data, then `extra` zero rows. Loaded rows are not alive unless asked."""
-        columns = tuple(columns)
-        store = cls.preallocated(spark, columns, len(rows) + extra, tag)
-        return store._load(rows, valid)
+        """Row-major data of driver size, then `extra` zero rows. Loaded rows are not alive unless asked."""
+        return cls.preallocated(spark, columns, 0, tag).load(rows, valid).grown(extra)
+
+    @classmethod
+    def from_bytes(cls, spark: SparkSession, columns: Iterable[ColumnSpec], data: bytes, extra: int = 0, tag: str = "store") -> Store:
+        """Row-major little-endian bytes, then `extra` zero rows; no row is alive."""
+        store = cls.preallocated(spark, columns, 0, tag)
+        if not store.row_stride or len(data) % store.row_stride:
+            raise ValueError(f"{len(data)} bytes are no whole number of rows of {store.row_stride} bytes")
+        return store.load_bytes(data).grown(extra)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, columns: Iterable[ColumnSpec], tag: str = "store") -> Store:
@@ -98,23 +127,67 @@ class Store:
     def write(self, path: str) -> None:
         self.frame.write.parquet(path)
 
-    def _load(self, rows: list[tuple], valid: bool) -> Store:
-        spark = self.frame.sparkSession
-        n = self._rows()
-        filled = [(i, valid and i < len(rows), False, 0, *(rows[i] if i < len(rows) else [zero(c.kind) for c in self.columns])) for i in range(n)]
-        schema = T.StructType([T.StructField("_row", T.LongType(), False), T.StructField("_valid", T.BooleanType(), False), T.StructField("_locked", T.BooleanType(), False), T.StructField("_level", T.ShortType(), False), *[T.StructField(c.name, SPARK[c.kind], False) for c in self.columns]])
-        return self._next(spark.createDataFrame(filled, schema))
+    @property
+    def _schema(self) -> T.StructType:
+        return T.StructType([T.StructField("_row", T.LongType(), False), T.StructField("_valid", T.BooleanType(), False), T.StructField("_locked", T.BooleanType(), False), T.StructField("_level", T.ShortType(), False), *[T.StructField(c.name, SPARK[c.kind], False) for c in self.columns]])
 
     def load(self, rows: list[tuple], valid: bool = False) -> Store:
         """Bulk replace: liveness, locks and levels start anew."""
         if not self.columns:
             raise ValueError("a store without columns cannot be loaded")
-        return replace(self, capacity=len(rows))._load(rows, valid)
+        filled = [(i, valid, False, 0, *r) for i, r in enumerate(rows)]
+        return replace(self, capacity=len(rows), pins=())._next(self.frame.sparkSession.createDataFrame(filled, self._schema))
+
+    def load_bytes(self, data: bytes) -> Store:
+        """Bulk replace from row-major little-endian bytes; a partial last row is left out."""
+        if not self.row_stride:
+            raise ValueError("a store without columns cannot be loaded")
+        rows = len(data) // self.row_stride
+        cells = decode_rows(np.frombuffer(data, np.uint8, rows * self.row_stride).reshape(rows, -1), self.columns)
+        meta = [pa.array(np.arange(rows)), pa.array(np.zeros(rows, bool)), pa.array(np.zeros(rows, bool)), pa.array(np.zeros(rows, np.int16))]
+        table = pa.table([*meta, *cells], names=[*META, *[c.name for c in self.columns]])
+        frame = self.frame.sparkSession.createDataFrame(table)
+        return replace(self, capacity=rows, pins=())._next(frame.select(*[F.col(f.name).cast(f.dataType) for f in self._schema]))
+
+    def load_frame(self, rows: DataFrame, row: str, data: str) -> Store:
+        """Bulk replace from a table with a row number and the row's bytes, decoded on the executors."""
+        columns, stride = self.columns, self.row_stride
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cells = [bytes(x) for x in b.column(1).to_pylist()]
+                if any(len(x) != stride for x in cells):
+                    raise ValueError(f"a row that is not of {stride} bytes")
+                flat = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), *decode_rows(flat, columns)], names=["_row", *[c.name for c in columns]])
+
+        schema = T.StructType([T.StructField("_row", T.LongType()), *[T.StructField(c.name, SPARK[c.kind]) for c in columns]])
+        read = rows.select(F.col(row).cast("bigint").alias("_row"), F.col(data)).mapInArrow(run, schema)
+        return replace(self, capacity=-1, pins=())._next(read.select(*_meta(F.col("_row")), *[c.name for c in columns]))
+
+    def grown(self, rows: int) -> Store:
+        """The store with dead zero rows added behind its last."""
+        if not rows:
+            return self
+        n = self._rows()
+        extra = self.preallocated(self.frame.sparkSession, self.columns, rows).frame.withColumn("_row", F.col("_row") + n)
+        return replace(self, capacity=n + rows)._next(self.frame.unionByName(extra))
 
     def dump(self) -> DataFrame:
         """Data columns of all rows, dead ones too, by row."""
         return self.frame.orderBy("_row").select(*[c.name for c in self.columns])
 
+    def dump_bytes(self) -> DataFrame:
+        """(_row, data): each row's cells as row-major little-endian bytes, dead rows too."""
+        columns = self.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cells = zip(*[[encode_cell(v, c.kind) for v in b.column(i + 1).to_pylist()] for i, c in enumerate(columns)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(x) for x in cells], pa.binary())], names=["_row", "data"])
+
+        return self.frame.select("_row", *[c.name for c in columns]).mapInArrow(run, "_row long, data binary")
+
     def _next(self, frame: DataFrame) -> Store:
         return replace(self, frame=frame, version=self.version + 1)
 
@@ -231,8 +304,11 @@ class Store:
         return self._next(joined.select("_row", (F.col("_valid") | hit).alias("_valid"), "_locked", F.when(hit, F.lit(0).cast("smallint")).otherwise(F.col("_level")).alias("_level"), *cells))
 
     def allocate(self, count: int = 1) -> tuple[list[int], Store]:
-        """The lowest `count` dead rows (fewer when the store is full), alive with default cells."""
-        slots = [r[0] for r in self.frame.where(~F.col("_valid")).select("_row").orderBy("_row").limit(count).collect()]
+        """The lowest `count` dead rows (fewer when the store is full), alive with default cells.
+
+        Of driver size, as their numbers are returned; `revive` takes any number.
+        """
+        slots = [r[0] for r in self.free_slots(count).select("_slot").orderBy("_slot").collect()]
         if not slots:
             return [], self
         frame = self.frame.sparkSession.createDataFrame([(s,) for s in slots], "_slot bigint")
@@ -262,14 +338,32 @@ class Store:
 
     def pinned(self, folder: str | None = None) -> Store:
         """The same version with its lineage cut: written to the shared folder and read back."""
-        spark = self.frame.sparkSession
-        folder = folder or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.getCheckpointDir():
-            raise ValueError("set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to cut lineage")
-        path = f"{folder or spark.sparkContext.getCheckpointDir()}/{self.tag}-{uuid.uuid4().hex}"
-        self.frame.write.parquet(path)
+        frame, path = write_table(self.frame, self.tag, folder)
         log.info("store %s version %d written to %s", self.tag, self.version, path)
-        return replace(self, frame=spark.read.schema(self.frame.schema).parquet(path))
+        return replace(self, frame=frame, pins=(path,))
+
+
+def decode_rows(flat: np.ndarray, columns: tuple[ColumnSpec, ...]) -> list[pa.Array]:
+    """Columns of (rows, stride) bytes."""
+    out, at = [], 0
+    for c in columns:
+        raw = np.ascontiguousarray(flat[:, at : at + c.width])
+        at += c.width
+        if c.kind == Kind.GUID:
+            out.append(pa.array([x.tobytes() for x in raw], pa.binary()))
+        elif c.kind == Kind.UINT64:
+            out.append(pa.array([int(x) for x in raw.view("<u8").ravel()], pa.decimal128(20, 0)))
+        else:
+            wide = {Kind.BOOL: np.int16, Kind.UINT8: np.int16, Kind.UINT16: np.int32, Kind.UINT32: np.int64}.get(c.kind)
+            cells = raw.view(NUMPY[c.kind]).ravel()
+            out.append(pa.array(cells.astype(wide) if wide else cells))
+    return out
+
+
+def encode_cell(value, kind: Kind) -> bytes:
+    if kind == Kind.GUID:
+        return bytes(value)
+    return struct.pack("<" + np.dtype(NUMPY[kind]).char.replace("l", "q").replace("L", "Q"), value if kind in (Kind.FLOAT, Kind.DOUBLE) else int(value))
 
 
 def _meta(row: Expr) -> list[Expr]:

@@ -1,12 +1,15 @@
 """The tick scheduler: programs and views on cadences over a set of stores.
 
 A tick first commits due read/write views, then runs due programs in the order they were added,
-then refreshes due snapshots, then due views. Everything is lazy; lineage is cut every few ticks
-by writing the stores to the shared folder.
+then refreshes due snapshots, then due views. A commit writes its changes to the shared folder, and
+a store that reads MAX_PINS such tables, or has run for `cut_every` ticks, is written itself: plans
+do not grow with the ticks. Written tables that no store, view or snapshot reads any more are
+deleted at the end of a tick.
 """
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -14,8 +17,12 @@ from pyspark.sql import DataFrame
 from ..operators.updates import ALL_LEVELS
 from ..operators.views import View, snapshot
 from ..plans.program import Program
+from ..sources.shared import WRITTEN, delete_tables
 from ..sources.store import Store
 
+#: Written tables that a store may read before it is written anew.
+MAX_PINS = 6
+
 
 @dataclass
 class _Due:
@@ -52,13 +59,15 @@ class Scheduler:
 
     stores: dict[int | str, Store]
     tick_count: int = 0
-    #: Ticks after which stores are written and read back; 0 never.
+    #: Ticks after which stores are written and read back; 0: only for the tables they read.
     cut_every: int = 10
     snapshots: dict[str, DataFrame | None] = field(default_factory=dict)
     views: dict[str, View] = field(default_factory=dict)
     _programs: list[_ScheduledProgram] = field(default_factory=list)
     _snapshots: list[_ScheduledSnapshot] = field(default_factory=list)
     _views: list[_ScheduledView] = field(default_factory=list)
+    _pins: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    _written: set[str] = field(default_factory=set)
 
     def add_program(self, program: Program, period: int = 1, phase: int = 0, band: tuple[int, int] = ALL_LEVELS) -> None:
         """The schedule's band replaces that of every update in the program."""
@@ -100,7 +109,7 @@ class Scheduler:
     def tick(self, count_affected: bool = False) -> int | None:
         """One step. With count_affected, runs a job and returns the rows that programs wrote."""
         self.tick_count += 1
-        now, total = self.tick_count, 0
+        now, total, before = self.tick_count, 0, set(WRITTEN)
         for v in self._views:
             if v.at(now) and self.views[v.name].rows is not None:
                 self.stores, self.views[v.name] = self.views[v.name].commit(self.stores)
@@ -109,16 +118,26 @@ class Scheduler:
                 if count_affected:
                     total += p.program.affected(self.stores, p.band, strict_compat=True)
                 self.stores = p.program.run(self.stores, p.band, strict_compat=True)
-        if self.cut_every and now % self.cut_every == 0:
-            self.stores = {k: s.pinned() for k, s in self.stores.items()}
+        cut = self.cut_every and now % self.cut_every == 0
+        self.stores = {k: s.pinned() if cut or len(s.pins) > MAX_PINS else s for k, s in self.stores.items()}
         for s in self._snapshots:
             if s.at(now) and s.store in self.stores:
                 self.snapshots[s.name] = snapshot(self.stores[s.store], s.columns, s.band)
+                self._pins[s.name] = self.stores[s.store].pins
         for v in self._views:
             if v.at(now):
                 self.views[v.name] = self.views[v.name].refresh(self.stores)
+        self._sweep(before)
         return total if count_affected else None
 
+    def _sweep(self, before: set[str]) -> None:
+        """Deletes the tables that commits and cuts of this scheduler wrote and nothing reads now."""
+        self._written |= set(WRITTEN) - before
+        pins = [*(s.pins for s in self.stores.values()), *(v.pins for v in self.views.values()), *self._pins.values()]
+        gone = self._written - {p for own in pins for p in own}
+        delete_tables(next(iter(self.stores.values())).frame.sparkSession, gone)
+        self._written -= gone
+
     def run(self, ticks: int) -> Scheduler:
         for _ in range(ticks):
             self.tick()
@@ -126,13 +145,26 @@ class Scheduler:
 
 
 def drive(spark, scheduler: Scheduler, rows_per_second: int = 1, ticks: int | None = None):
-    """Ticks driven by a Structured Streaming rate source: one tick a row of a micro-batch."""
-    query = None
+    """Ticks driven by a Structured Streaming rate source: one tick a row of a micro-batch.
+
+    The stream stops after `ticks` ticks.
+    """
+    ended = threading.Event()
 
     def step(batch: DataFrame, _: int) -> None:
         for _ in range(batch.count()):
             if ticks is None or scheduler.tick_count < ticks:
                 scheduler.tick()
+        if ticks is not None and scheduler.tick_count >= ticks:
+            ended.set()
 
     query = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().writeStream.foreachBatch(step).start()
+
+    def stop() -> None:
+        while query.isActive and not ended.wait(0.2):
+            pass
+        query.stop()
+
+    if ticks is not None:
+        threading.Thread(target=stop, daemon=True).start()
     return query

@@ -32,3 +32,24 @@ def test_scope_is_pushed_to_the_scan(spark):
 
 def test_limits_take_ordered(spark):
     assert "TakeOrderedAndProject" in plan(spark, "q_sort_limit_offset")
+
+
+def relations(df):
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return text.count("Relation [") + text.count("LogicalRDD") + text.count("Range (")
+
+
+def test_plans_and_tables_do_not_grow_with_the_ticks(spark, tmp_path):
+    """Thirty ticks with views that update, delete and insert on each of them."""
+    from colbrook.queries import busy_ticks
+    from colbrook.sources.shared import WRITTEN, shared_folder
+
+    sizes, tables, before = [], [], len(WRITTEN)
+
+    def seen(s):
+        sizes.append(sum(relations(x.frame) for x in s.stores.values()) + sum(relations(v.rows) for v in s.views.values()))
+        tables.append(len(WRITTEN) - before)
+
+    busy_ticks(spark, SF, 30, seen)
+    assert max(sizes[10:]) <= max(sizes[:10]) <= 60 and max(tables) <= 20
+    assert shared_folder(spark)
