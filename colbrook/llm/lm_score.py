@@ -12,8 +12,9 @@ first pass counts training tokens and distinct words. Then each task cuts its do
 blocks and sends each block's distinct n-grams with their training counts (already added up in
 the block) to the shards of their hashes; a shard adds up all blocks and answers each with the
 counts of just its n-grams. A block then builds the part of the automaton that its own documents
-can reach and traverses them. Both shuffles grow in proportion to the text, with no hot key: a
-frequent n-gram comes once a block. A block sends a shard one message for all orders and none
+can reach and traverses them; its documents are read and cut once more for that, which moves
+them once instead of twice, and a checksum tells if a read should differ. All shuffles grow in
+proportion to the text, with no hot key: a frequent n-gram comes once a block. A block sends a shard one message for all orders and none
 where it has nothing for it, so there are never more messages than distinct n-grams of blocks.
 
 N-grams are hashes of XXH64 word hashes, cut to as many bits as make the chance that an n-gram
@@ -28,6 +29,7 @@ that they do not depend on how documents are dealt to blocks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -47,10 +49,7 @@ SHARD_BYTES = 64 << 20
 SPARE_BITS = 28
 #: Tokens of a text that one lane of the traversal takes.
 LANE = 256
-#: Tokens of a block in one piece of what it keeps for itself.
-PIECE = 1 << 16
 END, START = 0x9D5C3F1B7A8E6042, 0x3C6EF372FE94F82B
-OWN = 100
 
 
 class WordIds(dict):
@@ -232,50 +231,68 @@ def _cuts(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-_MESSAGE = "shard long, block long, kind int, a binary, b binary"
+class Block(NamedTuple):
+    """Documents that are scored together. flat: word numbers of the joined documents, hashes: of
+    the words by number, sizes: tokens of each document, train: which are learned from."""
 
+    number: int
+    ids: list[pa.RecordBatch]
+    flat: np.ndarray
+    hashes: np.ndarray
+    sizes: np.ndarray
+    train: np.ndarray
 
-def block_messages(block: int, ids: list[pa.RecordBatch], flat: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, train: np.ndarray, order: int, shards: int, bits: int) -> list[tuple[int, int, int, bytes, bytes]]:
-    """A block's messages to the shards, and the pieces that it keeps for itself.
+    @property
+    def mark(self) -> int:
+        """Tells a block from one that was cut otherwise."""
+        parts = (self.flat, self.sizes, self.train, self.hashes)
+        return xxhash.xxh64_intdigest(b"".join(x.tobytes() for x in parts)) >> 1
 
-    flat: word numbers of the joined documents; hashes: of the words by number. A message holds
-    how many keys each order has, all keys as gaps, and their counts.
-    """
-    starts = np.cumsum(sizes) - sizes
-    learn = np.repeat(train, sizes)
+
+_MESSAGE = "shard long, block long, mark long, a binary, b binary"
+
+
+def messages(block: Block, order: int, shards: int, bits: int) -> list[tuple[int, int, int, bytes, bytes]]:
+    """A message holds how many keys each order has, all keys as gaps, and their training counts."""
+    starts = np.cumsum(block.sizes) - block.sizes
+    learn = np.repeat(block.train, block.sizes)
     keys, counts, cuts = [], [], []
-    for at, h in ngrams(hashes[flat], starts, order, bits):
+    for at, h in ngrams(block.hashes[block.flat], starts, order, bits):
         k, n = distinct_counts(h, learn[at])
         keys.append(k)
         counts.append(n.astype(np.uint32))
         cuts.append(_cuts(k, shards, bits))
-    rows = []
+    rows, mark = [], block.mark
     for s in range(shards):
         spans = [slice(c[s], c[s + 1]) for c in cuts]
         own = [k[x] for k, x in zip(keys, spans)]
         if any(len(x) for x in own):
             head = np.array([len(x) for x in own], np.uint64)
             gaps = [np.diff(x, prepend=np.uint64(0)) for x in own]
-            rows.append((s, block, 0, _pack(np.concatenate([head, *gaps])), _pack(np.concatenate([n[x] for n, x in zip(counts, spans)]))))
+            rows.append((s, block.number, mark, _pack(np.concatenate([head, *gaps])), _pack(np.concatenate([n[x] for n, x in zip(counts, spans)]))))
+    return rows
+
+
+_OWN = "block long, mark long, ids binary, hashes binary, flat binary, sizes binary, train binary"
+
+
+def own_row(block: Block) -> list[tuple]:
+    """What a block needs of its documents for the traversal."""
     # Words are numbered by their frequency, which leaves most high bytes zero.
-    often = np.argsort(-np.bincount(flat, minlength=len(hashes)), kind="stable")
-    rank = np.empty(len(hashes), np.uint32)
-    rank[often] = np.arange(len(hashes), dtype=np.uint32)
+    often = np.argsort(-np.bincount(block.flat, minlength=len(block.hashes)), kind="stable")
+    rank = np.empty(len(often), np.uint32)
+    rank[often] = np.arange(len(often), dtype=np.uint32)
     doc = pa.BufferOutputStream()
-    with pa.ipc.new_stream(doc, ids[0].schema) as w:
-        for b in ids:
+    with pa.ipc.new_stream(doc, block.ids[0].schema) as w:
+        for b in block.ids:
             w.write_batch(b)
-    parts = [np.frombuffer(doc.getvalue(), np.uint8), hashes[often], rank[flat], sizes, train.astype(np.uint8)]
-    dealt = 0
-    for i, part in enumerate(parts):
-        for n, a in enumerate(range(0, max(1, len(part)), PIECE)):
-            rows.append((-1 - (block * 31 + dealt) % shards, block, OWN + (i << 24) + n, _pack(part[a : a + PIECE]), b""))
-            dealt += 1
-    return rows
+    parts = (np.frombuffer(doc.getvalue(), np.uint8), block.hashes[often], rank[block.flat], block.sizes, block.train.astype(np.uint8))
+    return [(block.number, block.mark, *map(_pack, parts))]
 
 
-def _blocks(order: int, shards: int, bits: int, limit: int) -> Callable:
-    """Rows of (data, train, id) -> messages to shards, and the block's own documents."""
+def _blocks(limit: int, tell: Callable[[Block], list[tuple]], columns: str) -> Callable:
+    """Rows of (data, train, id) -> what `tell` says of each block of at least `limit` tokens, or a task's rest."""
+    names, kinds = zip(*((c.split(" ")[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in columns.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -285,10 +302,8 @@ def _blocks(order: int, shards: int, bits: int, limit: int) -> Callable:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in flat], np.int64)
-            rows = block_messages(part << 24 | number, ids, np.concatenate(flat), np.array(words.hashes, np.uint64), sizes, np.array(train, bool), order, shards, bits)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["shard", "block", "kind", "a", "b"])
+            block = Block(part << 24 | number, ids, np.concatenate(flat), np.array(words.hashes, np.uint64), np.array([len(x) for x in flat], np.int64), np.array(train, bool))
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*tell(block)), kinds)], names=list(names))
 
         for batch in batches:
             begin = 0
@@ -320,8 +335,6 @@ def _answer(order: int) -> Callable:
     """A shard's messages -> counts for each block, in the order of its keys."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < 0:
-            return frame[["block", "shard", "kind", "a"]]
         gaps = [_unpack(a, "<u8") for a in frame["a"]]
         sizes = np.array([g[:order] for g in gaps]).astype(np.int64)
         counts = [_unpack(b, "<u4") for b in frame["b"]]
@@ -338,7 +351,7 @@ def _answer(order: int) -> Callable:
             told[by] = np.repeat(sums, np.diff(np.append(new, len(flat))))
             for own, part in zip(answers, np.split(told, np.cumsum(sizes[:, k])[:-1])):
                 own.append(part)
-        return pd.DataFrame({"block": frame["block"], "shard": key[0], "kind": 0, "a": [_pack(np.concatenate(x)) for x in answers]})
+        return pd.DataFrame({"block": frame["block"], "mark": frame["mark"], "shard": key[0], "a": [_pack(np.concatenate(x)) for x in answers]})
 
     return run
 
@@ -348,14 +361,14 @@ def _ten_digits(x: np.ndarray) -> list[float]:
 
 
 def _traverse(order: int, bits: int, shards: int, total: int, distinct: int, delta: float, mu: float, id_column: str) -> Callable:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept = frame[frame["kind"] >= OWN].sort_values("kind")
-        place = (kept["kind"] - OWN) // (1 << 24)
-        own = lambda i, dtype: np.concatenate([_unpack(a, dtype) for a in kept["a"][place == i]])
-        ids = pa.ipc.open_stream(own(0, "u1").tobytes()).read_all().column(0)
-        hashes, flat, sizes, train = own(1, "<u8"), own(2, "<u4"), own(3, "<i8"), own(4, "u1")
+    def run(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if len(own) != 1 or not len(frame) or (frame["mark"] != own["mark"][0]).any():
+            raise RuntimeError("the documents were not the same when read again")
+        own = own.iloc[0]
+        ids = pa.ipc.open_stream(_unpack(own["ids"], "u1").tobytes()).read_all().column(0)
+        hashes, flat, sizes, train = (_unpack(own[c], d) for c, d in (("hashes", "<u8"), ("flat", "<u4"), ("sizes", "<i8"), ("train", "u1")))
         starts = np.cumsum(sizes) - sizes
-        told = frame[frame["kind"] == 0].sort_values("shard")
+        told = frame.sort_values("shard")
         answers = [_unpack(a, "<i8") for a in told["a"]]
         shard = told["shard"].to_numpy()
         grams, counts = [], []
@@ -436,11 +449,14 @@ def score_documents(docs: DataFrame, train: Column, order: int = ORDER, delta: f
     tokens, total, distinct = corpus_size(rows)
     bits = min(63, max(1, tokens * order).bit_length() + SPARE_BITS)
     shards = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 6 * order * tokens // shard_bytes)
-    messages = rows.mapInArrow(_blocks(order, shards, bits, block_tokens), _MESSAGE)
+    sent = rows.mapInArrow(_blocks(block_tokens, lambda b: messages(b, order, shards, bits), _MESSAGE), _MESSAGE)
+    own = rows.mapInArrow(_blocks(block_tokens, own_row, _OWN), _OWN)
     # Shards and blocks are few and large: many partitions keep several from meeting in one task.
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * shards)
-    answers = messages.repartition(parts, "shard").groupBy("shard").applyInPandas(_answer(order), "block long, shard long, kind int, a binary")
-    return answers.repartition(parts, "block").groupBy("block").applyInPandas(_traverse(order, bits, shards, total, distinct, delta, mu, id_column), f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = sent.repartition(parts, "shard").groupBy("shard").applyInPandas(_answer(order), "block long, mark long, shard long, a binary")
+    traverse = _traverse(order, bits, shards, total, distinct, delta, mu, id_column)
+    both = answers.repartition(parts, "block").groupBy("block").cogroup(own.repartition(parts, "block").groupBy("block"))
+    return both.applyInPandas(traverse, f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out_scores(docs: DataFrame, folds: int = 10, **options) -> DataFrame:

@@ -445,12 +445,11 @@ def test_lm_messages_follow_the_input():
             sizes = np.array([words // 2, words - words // 2])
             flat = r.integers(0, 500, words).astype(np.uint32)
             ids = [pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["id"])]
-            rows = lm_score.block_messages(5, ids, flat, lm_score.mix64(np.arange(500, dtype=np.uint64)), sizes, np.array([True, False]), 3, shards, 60)
-            sent = [x for x in rows if x[0] >= 0]
+            block = lm_score.Block(5, ids, flat, lm_score.mix64(np.arange(500, dtype=np.uint64)), sizes, np.array([True, False]))
+            sent = lm_score.messages(block, 3, shards, 60)
             keys = sum(int(lm_score._unpack(x[3], "<u8")[:3].sum()) for x in sent)
             assert len(sent) == len({x[0] for x in sent}) <= min(shards, keys) and keys <= 3 * words
-            assert all(lm_score._unpack(x[3], "<u8")[:3].sum() for x in sent)
-            assert len(rows) - len(sent) == 5
+            assert all(lm_score._unpack(x[3], "<u8")[:3].sum() for x in sent) and len(lm_score.own_row(block)) == 1
 
 
 def test_lm_is_a_distribution_and_beats_the_base(spark):
