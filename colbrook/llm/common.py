@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..sources.shared import WRITTEN, delete_tables, shared_folder, write_table
+
+PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 #: White space of every text contract: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -23,50 +26,39 @@ WHITE = " \t\n\x0b\x0c\r"
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
+#: Applications that the package was sent to.
+_SENT: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable for the workers, bound Arrow batches, find the shared folder."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *[p for p in paths if p]])
+    """Send this package to the workers, through the shared folder, and bound Arrow batches."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SENT:
+        content = io.BytesIO()
+        with zipfile.ZipFile(content, "w") as z:
+            for at, _, names in os.walk(PACKAGE):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(PACKAGE)))
+        path = f"{shared_folder(spark)}/{os.path.basename(PACKAGE)}-{uuid.uuid4().hex}.zip"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+        out.write(content.getvalue())
+        out.close()
+        sc.addPyFile(path)
+        _SENT.add(sc.applicationId)
     limit = spark.conf.get(BATCH_SETTING, None)
     if limit is None or not limit.isdigit() or int(limit) > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    shared_folder(spark)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), an own one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoint-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
-
-
-#: Tables that `materialise` has written and `release` has not deleted.
-WRITTEN: list[str] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, name)[0]
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete written tables that nothing reads any more."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in WRITTEN:
-            WRITTEN.remove(path)
+    delete_tables(spark, list(paths))
 
 
 #: Most keys that a filter broadcasts; beyond, the filter is a shuffled join.
@@ -150,4 +142,4 @@ def binaries(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.to_pylist()]
 
 
-__all__ = ["F", "Memo", "StorageLevel", "WHITE", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "release", "shared_folder", "text_bytes", "without", "words_of"]
+__all__ = ["F", "Memo", "StorageLevel", "WHITE", "WRITTEN", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "release", "shared_folder", "text_bytes", "without", "words_of"]

@@ -253,23 +253,27 @@ def _encoder_of(spark, model_path: str):
     return get
 
 
-def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id and pieces (array of piece ids) of every row."""
+def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", check: bool = False) -> DataFrame:
+    """id and pieces (array of piece ids) of every row; with check also whether they decode to the text."""
     get = _encoder_of(docs.sparkSession, model_path)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def make():
         encoder = get()
+        decode = encoder.model.decode
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = [encoder.encode(t or "") for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            out = [encoder.encode(t) for t in texts]
             ends = np.cumsum([0, *(len(o) // 4 for o in out)], dtype=np.int32)
-            pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
-            return pa.RecordBatch.from_arrays([b.column(0), pieces], names=[id_column, "pieces"])
+            columns = {id_column: b.column(0), "pieces": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))}
+            if check:
+                columns["round_trip"] = pa.array([decode(array("i", o).tolist()) == t for o, t in zip(out, texts)], pa.bool_())
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         return run
 
-    return map_batches(docs.select(F.col(id_column), F.col(text_column).cast("string")), make, f"{id_column} {kind}, pieces array<int>")
+    return map_batches(docs.select(F.col(id_column), F.col(text_column).cast("string")), make, f"{id_column} {kind}, pieces array<int>" + ", round_trip boolean" * check)
 
 
 def decode(rows: DataFrame, model_path: str, id_column: str = "doc_id", pieces_column: str = "pieces") -> DataFrame:

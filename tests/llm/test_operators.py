@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from colbrook.llm import chat_tree, decontam, exact_dedup, html_crf, lm_score, queries, simhash, sp_unigram, token_count, toxicity_fm, url_trie
+from colbrook.llm import chat_tree, common, decontam, exact_dedup, html_crf, lm_score, queries, simhash, sp_unigram, token_count, toxicity_fm, url_trie
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, fp long"
@@ -768,10 +768,32 @@ def test_pipeline_matches_brute_force(spark):
     encoder = sp_unigram.Encoder(sp_unigram.PieceModel(open(queries.tokenizer_path("piece_bpe_32k.model"), "rb").read()))
     out = corpus_pipeline.run(spark, SF)
     got = {r.doc_id: r.pieces for r in out.collect()}
-    assert out.columns == ["doc_id", "pieces"] and set(got) == left and 0 < len(left) < len(rows)
+    assert out.columns == ["doc_id", "pieces", "round_trip"] and set(got) == left and 0 < len(left) < len(rows)
+    assert all(r.round_trip == ("▁" not in rows[r.doc_id]) for r in out.collect())
     assert all(got[d] == np.frombuffer(encoder.encode(rows[d]), "<i4").tolist() for d in left)
 
 
+def test_pipeline_on_hostile_tables(spark, tmp_path):
+    """Empty, null and repeated rows, ids and texts, columns named like its own; and no rows at all."""
+    import corpus_pipeline
+
+    names = ["rid", "row", "fp", "component", "order", "data", "pieces", "digest", "score"]
+    texts_ = [None, "", "x y z", "the quick brown fox jumps over it " * 3, "ü" * 5000, "b c d e f"]
+    rows = [(None if i % 4 == 3 else i % 5, texts_[i % 6], *[f"c{i}"] * len(names)) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, part, want in (("full", docs, 4), ("none", docs.limit(0), 0)):
+        part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(0, 0), (1, None), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, "b c d e f"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "pieces", "round_trip"] and out.count() == want
+    stage_out = docs
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage_out = common.materialise(f(spark, stage_out, f"{tmp_path}/full"), "stage")
+        assert stage_out.columns == docs.columns
+    assert stage_out.count() == 4
+
+
 def test_hostile_tables(spark):
     """Null ids and texts, repeated rows, and columns named like the operators' own."""
     names = "key fp rep piece p o task node root a b data train id shard block kind total distinct digest rid n row keep_id group_size kept score predicted pieces y terms __rid h_digest w".split()
