@@ -2,6 +2,12 @@
 
 Each stage works on all documents that its predecessor kept; its result is written to the shared
 folder and read again. The last stage returns the pieces of the documents that remain.
+
+Defined cases, in all stages: a null text counts as empty, and so is equal and near to other empty
+ones; texts are read whole; repeated rows are copies, of which one stays; of copies the smallest
+doc_id stays (in the exact stage first the longest original), a null one last; a document with a
+null id is scored and kept like any other; an empty table gives an empty result; further columns,
+whatever their names, are carried up to the last stage.
 """
 
 from __future__ import annotations
@@ -58,8 +64,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and piece ids of every document."""
-    return sp_unigram.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    """doc_id, piece ids, and whether decoding them gives the text back, of every document."""
+    return sp_unigram.encode(docs, tokenizer_path("piece_bpe_32k.model"), check=True)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("simhash_near_dedup", near), ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
