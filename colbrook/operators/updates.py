@@ -148,7 +148,7 @@ def right_side(store: Store, u: Update, strict_compat: bool, precision: str) ->
 
 
 def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, precision: str = "float", count: bool = False) -> tuple[DataFrame, list[str]]:
-    """The store's frame after all updates in order, one projection each.
+    """The store's frame after all updates in order; neighbours that do not meet share a projection.
 
     With count, every update also leaves a column that flags its rows; their names come second.
 
@@ -158,14 +158,27 @@ def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, p
     """
     hits: list[str] = []
     with wrapping(store.frame.sparkSession):
-        frame = store.frame
+        frame, names = store.frame, list(store.frame.columns)
+        changed: dict[str, Expr] = {}
+        flags: list[Expr] = []
+
+        def flush() -> None:
+            """Projects what has gathered: updates that read nothing another of them writes."""
+            nonlocal frame
+            if changed or flags:
+                frame = frame.select(*[changed[n].alias(n) if n in changed else F.col(n) for n in names], *flags)
+                names.extend(f"__hit{i}" for i in range(len(hits) - len(flags), len(hits)))
+                changed.clear()
+                flags.clear()
+
         for u in updates:
             if not valid_for(store, u):
                 continue
-            name = f"__hit{len(hits)}"
+            kind = store.spec(u.target).kind
+            if u.noise or {u.target, u.operand, u.when and u.when.column, *(u.choices or ())} & changed.keys():
+                flush()
             if u.noise:
                 frame = u.noise.stage(frame, "_row", "__noise")
-            kind = store.spec(u.target).kind
             if u.choices is not None:
                 if kind != Kind.INT32:
                     raise ValueError("a choice is written to an INT32 column")
@@ -178,11 +191,13 @@ def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, p
                 same = u.op not in iter(Op) or u.noise and u.op in BITWISE
                 new = F.col(u.target) if same else operate(u.op, F.col(u.target), right, kind)
                 flag = applies(store, u, strict_compat)
+            changed[u.target] = F.when(flag, new).otherwise(F.col(u.target))
             if count:
-                frame = frame.withColumn(name, flag)
-                flag = F.col(name)
-                hits.append(name)
-            frame = frame.withColumn(u.target, F.when(flag, new).otherwise(F.col(u.target))).drop("__noise")
+                flags.append(flag.alias(f"__hit{len(hits)}"))
+                hits.append(f"__hit{len(hits)}")
+            if u.noise:
+                flush()
+        flush()
     return frame, hits
 
 
