@@ -16,13 +16,15 @@ items, or a larger rate than the plans hold for), every window goes to that chec
 
 Which windows are embedded: by the q-gram lemma a run within e edits shares at least
 n - q + 1 - q e q-grams with the item, all on diagonals at most e from its beginning. Windows at
-every start that meets this count are embedded; the others cannot match, so nothing is lost.
+every start that meets this count are embedded; the others cannot match, so nothing is lost. (All
+windows of all item lengths would take hundreds of times the CPU; the README has the figures.)
 
 Items are broadcast in blocks of at most BLOCK_BYTES of text; a larger benchmark takes several
 passes. Documents are never shuffled.
 
 Defined cases: null texts count as empty; an item without words matches nothing; an item longer
-than a document can match within its edits; repeated items or rows each give their matches; an
+than a document can match within its edits; of an item's runs in a document the one with the
+fewest edits is told, of equal ones the first; repeated items or rows each give their matches; an
 empty table gives an empty result; other columns are ignored or carried.
 """
 

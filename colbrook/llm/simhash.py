@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, map_batches, materialise, mix64, prepare, text_bytes, without, words_of
+from .common import WRITTEN, binaries, map_batches, materialise, mix64, prepare, release, text_bytes, without, words_of
 
 #: Most fingerprints in one tree; dealt rows that one task takes; pairs looked at in one step.
 SHARD, TASK_ROWS, ROOM = 20_000, 20_000, 2_000_000
@@ -329,7 +329,7 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     node with partial minima; a star with very many leaves is never collected in one task.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
+    state, path = None, WRITTEN[-1]
     for _ in range(limit):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -337,6 +337,8 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = materialise(small, "links")
+        release(edges.sparkSession, [path])
+        path = WRITTEN[-1]
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -379,7 +381,7 @@ def component_ids(table: DataFrame, settings: Settings, short: DataFrame | None
     links = links_of(nodes, settings)
     if short is not None:
         held = materialise(short.join(nodes, "fp").select("key", "rep").distinct(), "short")
-        lowest = held.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        lowest = materialise(held.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lowest")
         links = links.unionByName(held.join(lowest, "key").select(F.col("rep").alias("a"), "b"))
     found = components(links)
     joined = nodes.join(found, nodes["rep"] == found["node"], "left").withColumn("salt", F.pmod(F.col("rep"), F.lit(SALTS)))
@@ -453,7 +455,8 @@ def similar_rows(found: DataFrame, texts: DataFrame, settings: Settings) -> Data
     rows is cut, and each two of its pieces meet in a group of their own.
     """
     spark = found.sparkSession
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Written, so that the join's side with the rows of one large component can be split.
+    sizes = materialise(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     members = materialise(found.join(sizes, "component").select("rid", "component", "size"), "members")
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     rows = texts.join(members, "rid").withColumn("piece", F.pmod(F.xxhash64("rid"), pieces).cast("int"))

@@ -6,7 +6,8 @@ with the longest path; the last of two equal rules counts. Without a fitting rul
 action holds.
 
 Defined cases: a null url or one without "://" has empty host and path and gets the default
-action; other columns are ignored; an empty table gives an empty result. The rules are checked
+action; urls of any length take time in proportion to it; repeated rows are judged each; other
+columns are ignored; an empty table gives an empty result. The rules are checked
 to be at most MAX_RULE_BYTES long together before they are broadcast; longer lists are cut into
 blocks of that size, each its own pass, and the best match over the blocks wins.
 """

@@ -142,6 +142,12 @@ def test_url_rules_match_brute_force(spark):
             assert (got[i].rule, got[i].verdict) == ((best[2], best[1]) if best else (None, "allow")), u
 
 
+def test_long_urls_and_repeated_rows(spark):
+    long = "http://example.net/en/" + "a/" * 500_000
+    rows = spark.createDataFrame([(1, long), (1, long), (2, "http://" + "x." * 200_000 + "net/")], "page_id long, url string")
+    assert sorted((r.page_id, r.rule, len(r.path)) for r in url_trie.filter_urls(rows, queries.URL_RULES).collect()) == [(1, "example.net/en/", 1_000_004), (1, "example.net/en/", 1_000_004), (2, "net/", 1)]
+
+
 def test_chat_round_trip_and_sharing(spark):
     rows = []
     for c in range(40):
