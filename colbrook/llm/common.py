@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import os
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import WRITTEN, delete_tables, shared_folder, write_table
-
-PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+from ..sources.shared import WRITTEN, delete_tables, send_package, shared_folder, write_table
 
 #: White space of every text contract: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -26,26 +20,9 @@ WHITE = " \t\n\x0b\x0c\r"
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-#: Applications that the package was sent to.
-_SENT: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
-    """Send this package to the workers, through the shared folder, and bound Arrow batches."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SENT:
-        content = io.BytesIO()
-        with zipfile.ZipFile(content, "w") as z:
-            for at, _, names in os.walk(PACKAGE):
-                for name in sorted(n for n in names if n.endswith(".py")):
-                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(PACKAGE)))
-        path = f"{shared_folder(spark)}/{os.path.basename(PACKAGE)}-{uuid.uuid4().hex}.zip"
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
-        out.write(content.getvalue())
-        out.close()
-        sc.addPyFile(path)
-        _SENT.add(sc.applicationId)
+    """Send this package to the workers and bound Arrow batches."""
+    send_package(spark)
     limit = spark.conf.get(BATCH_SETTING, None)
     if limit is None or not limit.isdigit() or int(limit) > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
