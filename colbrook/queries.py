@@ -644,6 +644,16 @@ def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in said], "said string").groupBy("said").agg(F.count(F.lit(1)).alias("n"))
 
 
+_BITS: Columns = {"a": (Kind.FLOAT, "1 << (p_size % 8)"), "b": (Kind.INT32, "(127 + p_size % 8) * 8388608"), "c": (Kind.DOUBLE, "1 << (p_size % 8)")}
+
+
+@query("SELECT p_partkey AS row_id, p_partkey % 10 <> 3 AS valid, (127 + p_size % 8)::BIGINT * 8388608 AS a, (1 << (p_size % 8))::DOUBLE AS b, 0::BIGINT AS c FROM part")
+def convert_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of floating cells read as whole ones and back: sign, exponent and fraction of powers of two."""
+    store = store_of(spark, sf_dir, "part", "p_partkey", _BITS).convert([ColumnSpec("a", Kind.INT32), ColumnSpec("b", Kind.FLOAT), ColumnSpec("c", Kind.UINT32)])
+    return shown(store, "a", "b", "c")
+
+
 # -- more of views and write-back ------------------------------------------------------------
 
 

@@ -1,12 +1,18 @@
-"""Tables in the folder that driver and executors share: they cut lineage and outlive executors."""
+"""What driver and executors share: written tables, which cut lineage and outlive executors, and this package."""
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+#: Applications that the package was sent to.
+_SENT: set[str] = set()
 #: Tables that `write_table` has written and `delete_tables` has not deleted.
 WRITTEN: list[str] = []
 
@@ -39,3 +45,22 @@ def delete_tables(spark: SparkSession, paths) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         if path in WRITTEN:
             WRITTEN.remove(path)
+
+
+def send_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, through the shared folder; once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SENT:
+        return
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as z:
+        for at, _, names in os.walk(PACKAGE):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(PACKAGE)))
+    path = f"{shared_folder(spark)}/{os.path.basename(PACKAGE)}-{uuid.uuid4().hex}.zip"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(content.getvalue())
+    out.close()
+    sc.addPyFile(path)
+    _SENT.add(sc.applicationId)

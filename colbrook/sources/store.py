@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.kinds import NUMPY, SPARK, WIDTH, Kind, convert_cell, kind_of, literal, wrapping, zero
 from ..functions.ranks import ranked
-from .shared import write_table
+from .shared import send_package, write_table
 
 log = logging.getLogger("colbrook")
 _sink: logging.Handler | None = None
@@ -161,6 +162,7 @@ class Store:
                 flat = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1)
                 yield pa.RecordBatch.from_arrays([b.column(0), *decode_rows(flat, columns)], names=["_row", *[c.name for c in columns]])
 
+        send_package(rows.sparkSession)
         schema = T.StructType([T.StructField("_row", T.LongType()), *[T.StructField(c.name, SPARK[c.kind]) for c in columns]])
         read = rows.select(F.col(row).cast("bigint").alias("_row"), F.col(data)).mapInArrow(run, schema)
         return replace(self, capacity=-1, pins=())._next(read.select(*_meta(F.col("_row")), *[c.name for c in columns]))
@@ -186,6 +188,7 @@ class Store:
                 cells = zip(*[[encode_cell(v, c.kind) for v in b.column(i + 1).to_pylist()] for i, c in enumerate(columns)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(x) for x in cells], pa.binary())], names=["_row", "data"])
 
+        send_package(self.frame.sparkSession)
         return self.frame.select("_row", *[c.name for c in columns]).mapInArrow(run, "_row long, data binary")
 
     def _next(self, frame: DataFrame) -> Store:
@@ -327,15 +330,25 @@ class Store:
     # -- schema ------------------------------------------------------------------------------
 
     def convert(self, columns: Iterable[ColumnSpec]) -> Store:
-        """Columns matched by name keep their bytes in the new width; others begin at their default."""
+        """Columns matched by name keep their bytes in the new width; others begin at their default.
+
+        Whole kinds are converted by expressions, bytes of floating kinds and GUIDs by an Arrow function.
+        """
         columns = tuple(columns)
         cells = []
         for c in columns:
             old = self.spec(c.name)
-            cells.append((convert_cell(F.col(c.name), old.kind, c.kind) if old else literal(c.initial, c.kind)).alias(c.name))
+            cells.append((self._copied(old, c) if old else literal(c.initial, c.kind)).alias(c.name))
         with wrapping(self.frame.sparkSession):
             return replace(self, frame=self.frame.select(*META, *cells), columns=columns, version=self.version + 1)
 
+    def _copied(self, old: ColumnSpec, new: ColumnSpec) -> Expr:
+        bytewise = {old.kind, new.kind} & {Kind.FLOAT, Kind.DOUBLE, Kind.GUID}
+        if old.kind == new.kind or not bytewise:
+            return convert_cell(F.col(old.name), old.kind, new.kind)
+        send_package(self.frame.sparkSession)
+        return byte_copy(old.kind, new.kind)(F.col(old.name))
+
     def pinned(self, folder: str | None = None) -> Store:
         """The same version with its lineage cut: written to the shared folder and read back."""
         frame, path = write_table(self.frame, self.tag, folder)
@@ -360,6 +373,19 @@ def decode_rows(flat: np.ndarray, columns: tuple[ColumnSpec, ...]) -> list[pa.Ar
     return out
 
 
+def byte_copy(old: Kind, new: Kind):
+    """A function of columns that keeps a cell's low bytes and fills longer cells with zero bytes."""
+
+    def copy(cells: pd.Series) -> pd.Series:
+        flat = np.frombuffer(b"".join(encode_cell(v, old) for v in cells), np.uint8).reshape(-1, WIDTH[old])
+        out = np.zeros((len(flat), WIDTH[new]), np.uint8)
+        both = min(WIDTH[old], WIDTH[new])
+        out[:, :both] = flat[:, :both]
+        return decode_rows(out, (ColumnSpec("cell", new),))[0].to_pandas()
+
+    return F.pandas_udf(copy, SPARK[new])
+
+
 def encode_cell(value, kind: Kind) -> bytes:
     if kind == Kind.GUID:
         return bytes(value)

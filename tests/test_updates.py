@@ -2,6 +2,8 @@
 
 import math
 
+import struct
+
 import pytest
 
 from colbrook.functions.expressions import Cmp, Curve, Noise, Op, Shape, split_mix_number
@@ -209,7 +211,12 @@ def test_store_life(spark, tmp_path):
     assert Store.read(spark, str(tmp_path / "s"), three.columns).live_count() == 1
     moved = Store.from_rows(spark, [ColumnSpec("a", Kind.INT16), ColumnSpec("b", Kind.INT32)], [(-1, 70000)]).convert([ColumnSpec("a", Kind.INT32), ColumnSpec("b", Kind.UINT8), ColumnSpec("z", Kind.DOUBLE, 2.5)])
     assert values(moved, "a", "b", "z") == [(65535, 70000 % 256, 2.5)]
-    with pytest.raises(TypeError):
-        three.convert([ColumnSpec("f", Kind.INT32)])
+    bits = three.convert([ColumnSpec("f", Kind.INT32), ColumnSpec("d", Kind.GUID), ColumnSpec("i", Kind.DOUBLE)])
+    assert [r.f for r in bits.dump().collect()] == [0, 0x3F800000, 0x40000000, 0x40400000, 0, 0]
+    assert bits.get(1, "d") == struct.pack("<dq", 1.0, 0) and bits.get(2, "i") == struct.unpack("<d", struct.pack("<q", 2))[0]
+    with pytest.raises(ValueError):
+        Store.from_bytes(spark, [ColumnSpec("i", Kind.INT32)], b"12345")
+    with pytest.raises(ValueError):
+        Store.preallocated(spark, [], 2).load_bytes(b"1")
     c = Catalog().add(s).add(three)
     assert c.column_index("d") == (1, 2) and c.column_index("none") is None and c.store_index("store") == 1
