@@ -2,7 +2,7 @@
 
 Model: unigrams smoothed by adding DELTA, P(w) = (c(w) + DELTA) / (N + DELTA (V + 1)); longer
 histories by a Dirichlet prior, P(w | h) = (c(h w) + MU P(w | h')) / (c(h) + MU), h' the history
-without its oldest word. As an automaton: a state per seen history of up to ORDER - 1 words; an
+without its oldest word and MU by the history's length. As an automaton: a state per seen history of up to ORDER - 1 words; an
 arc per seen n-gram with weight log10 P(w | h), to the state of the longest seen history that
 then ends there; a failure arc to the state of h' with weight log10 MU / (c(h) + MU). A text is
 scored in one left-to-right traversal that carries the state and adds up what it passes.
@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import binaries, id_mod, mix64, prepare, text_bytes, words_of
 
-DELTA, MU, ORDER = 0.1, 100.0, 3
+DELTA, ORDER = 0.1, 3
+#: Strength of the prior for histories of one word, and of two or more; by held-out likelihood.
+MU = (400.0, 3.0)
 #: Tokens in a block, after which a task begins the next one.
 BLOCK_TOKENS = 2_000_000
 #: Bytes of messages, about, that one shard adds up.
@@ -52,6 +54,10 @@ LANE = 256
 END, START = 0x9D5C3F1B7A8E6042, 0x3C6EF372FE94F82B
 
 
+def prior(mu: tuple[float, ...], words: int) -> float:
+    return mu[min(words, len(mu)) - 1]
+
+
 class WordIds(dict):
     """word -> its number in the block, as met; `hashes` has XXH64 by number. 0: start, 1: end."""
 
@@ -92,7 +98,7 @@ class BackoffAutomaton:
     history there is an arc for every word.
     """
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], size: int, total: int, distinct: int, delta: float = DELTA, mu: float = MU):
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], size: int, total: int, distinct: int, delta: float = DELTA, mu: tuple[float, ...] = MU):
         """grams[k]: positions where a (k+1)-gram ends, and its number; counts[k]: by number."""
         self.order = len(grams)
         self.base = np.log10((counts[0] + delta) / (total + delta * (distinct + 1)))
@@ -112,12 +118,12 @@ class BackoffAutomaton:
                 weight = self.base
             else:
                 history = counts[k - 1][rank_before[some - 1]]
-                prob = (c + mu * prob_before[rank_before[some]]) / (history + mu)
+                prob = (c + prior(mu, k) * prob_before[rank_before[some]]) / (history + prior(mu, k))
                 weight = np.log10(prob)
             if k < self.order - 1:
                 number = np.where(seen, states + np.cumsum(seen) - 1, -1).astype(np.int32)
                 self.fail.append(state_at[some[seen]])
-                self.cost.append(np.log10(mu / (c[seen] + mu)))
+                self.cost.append(np.log10(prior(mu, k + 1) / (c[seen] + prior(mu, k + 1))))
                 level.append(np.full(int(seen.sum()), k + 1, np.int8))
                 states += int(seen.sum())
                 ends = seen[rank]
@@ -360,7 +366,7 @@ def _ten_digits(x: np.ndarray) -> list[float]:
     return [float(f"{v:.10g}") for v in x.tolist()]
 
 
-def _traverse(order: int, bits: int, shards: int, total: int, distinct: int, delta: float, mu: float, id_column: str) -> Callable:
+def _traverse(order: int, bits: int, shards: int, total: int, distinct: int, delta: float, mu: tuple[float, ...], id_column: str) -> Callable:
     def run(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if len(own) != 1 or not len(frame) or (frame["mark"] != own["mark"][0]).any():
             raise RuntimeError("the documents were not the same when read again")
@@ -436,7 +442,7 @@ def corpus_size(rows: DataFrame) -> tuple[int, int, int]:
     return tokens or 0, learned or 0, n + (1 if learned else 0)
 
 
-def score_documents(docs: DataFrame, train: Column, order: int = ORDER, delta: float = DELTA, mu: float = MU, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, order: int = ORDER, delta: float = DELTA, mu: tuple[float, ...] = MU, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Scores every row; rows where `train` holds are what the model learns from.
 
     A task holds one block of `block_tokens` (about 150 bytes each) or one shard of about

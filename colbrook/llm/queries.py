@@ -100,8 +100,8 @@ one AS (
   FROM size, tokens t LEFT JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.p = t.p AND c2.w = t.w LEFT JOIN c1 h1 ON h1.w = t.p
     LEFT JOIN c3 ON c3.q = t.q AND c3.p = t.p AND c3.w = t.w LEFT JOIN c2 h2 ON h2.p = t.q AND h2.w = t.p
   WHERE t.i > 1),
-two AS (SELECT *, (n2 + 100 * p1) / (d2 + 100) AS p2 FROM one),
-sums AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, fsum(log10(p1)) AS base, fsum(log10((n3 + 100 * p2) / (d3 + 100))) AS score FROM two GROUP BY r)
+two AS (SELECT *, (n2 + {lm_score.MU[0]}::DOUBLE * p1) / (d2 + {lm_score.MU[0]}) AS p2 FROM one),
+sums AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, fsum(log10(p1)) AS base, fsum(log10((n3 + {lm_score.MU[1]}::DOUBLE * p2) / (d3 + {lm_score.MU[1]}))) AS score FROM two GROUP BY r)
 SELECT doc_id, held_out, n_tokens, n_known, n::BIGINT AS train_tokens, printf('%.10g', base)::DOUBLE AS base_score, printf('%.10g', score)::DOUBLE AS score
 FROM sums JOIN marked USING (r), size"""
 

@@ -397,7 +397,7 @@ def test_lm_matches_brute_force(spark, documents, order):
             for k in range(1, order):
                 h = tuple(full[i - k : i]) if i - k >= 0 else None
                 if h:
-                    p = (count[(*h, full[i])] + 100 * p) / (count[h] + 100)
+                    p = (count[(*h, full[i])] + lm_score.prior(lm_score.MU, k) * p) / (count[h] + lm_score.prior(lm_score.MU, k))
             score += math.log10(p)
         r = got[d]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[(x,)] > 0 for x in w), total)
@@ -430,14 +430,16 @@ def test_lm_state_is_carried_through_lanes(order):
     def p(gram):
         if len(gram) == 1:
             return (by_gram[gram] + 0.1) / (500 + 0.1 * 8)
-        return (by_gram[gram] + 100 * p(gram[1:])) / (by_gram[gram[:-1]] + 100)
+        m = lm_score.prior(lm_score.MU, len(gram) - 1)
+        return (by_gram[gram] + m * p(gram[1:])) / (by_gram[gram[:-1]] + m)
 
     for a, n in zip(starts.tolist(), sizes.tolist()):
         history = (0,) if order > 1 else ()
         for i in range(a + 1, a + n):
             want, gram = 0.0, (*history, int(flat[i]))
             while len(gram) > 1 and not by_gram[gram]:
-                want += math.log10(100 / (by_gram[gram[:-1]] + 100)) if by_gram[gram[:-1]] else 0.0
+                m = lm_score.prior(lm_score.MU, len(gram) - 1)
+                want += math.log10(m / (by_gram[gram[:-1]] + m)) if by_gram[gram[:-1]] else 0.0
                 gram = gram[1:]
             assert math.isclose(whole[i], want + math.log10(p(gram)), rel_tol=1e-12)
             history = (*history, int(flat[i]))[-(order - 1) :] if order > 1 else ()
