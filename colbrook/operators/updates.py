@@ -203,7 +203,7 @@ def fold(store: Store, updates: Iterable[Update], strict_compat: bool = False, p
 
 def apply(store: Store, *updates: Update, strict_compat: bool = False, precision: str = "float") -> Store:
     """The next version, lazily."""
-    return store._next(fold(store, updates, strict_compat, precision)[0])
+    return store.updated(fold(store, updates, strict_compat, precision)[0])
 
 
 def affected(store: Store, *updates: Update, strict_compat: bool = False) -> int:

@@ -222,8 +222,11 @@ AGENT: Columns = {"bal": (Kind.FLOAT, "c_acctbal"), "s0": (Kind.FLOAT, "0"), "s1
 )
 def utility_ai_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score two abilities by curves, gate one by a bit, perturb both, choose, let commands override."""
-    store = store_of(spark, sf_dir, "customer", "c_custkey", AGENT)
-    program = [
+    return shown(apply(store_of(spark, sf_dir, "customer", "c_custkey", AGENT), *decision()), "choice")
+
+
+def decision() -> list[Update]:
+    return [
         curved("s0", Op.SET, "bal", Curve(Shape.LINEAR, -1000, 10000, invert=True)),
         curved("s1", Op.SET, "bal", Curve(Shape.POWER, -1000, 10000, 2)),
         scalar("s1", Op.SET, 0).where_typed("able", Cmp.LACKS, 4),
@@ -232,7 +235,6 @@ def utility_ai_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
         choose("choice", ("s0", "s1"), 0.1, -1),
         column("choice", Op.SET, "command").where("command", Cmp.GE, 0),
     ]
-    return shown(apply(store, *program), "choice")
 
 
 # -- kinds, stores ---------------------------------------------------------------------------
@@ -575,12 +577,12 @@ def nation_bytes(spark: SparkSession, sf_dir: str) -> bytes:
     return b"".join(struct.pack("<ihdQ", r.n_regionkey - 2, r.n_nationkey * 10, r.n_nationkey / 4, r.n_nationkey + (1 << 63)) for r in rows)
 
 
-@query("SELECT n_nationkey AS row_id, FALSE AS valid, n_regionkey::BIGINT - 2 AS region, n_nationkey::BIGINT * 10 AS code, round(n_nationkey / 4, 9) AS share, n_nationkey::DECIMAL(38, 0) + 9223372036854775808 AS id FROM nation")
+@query("SELECT n_nationkey AS row_id, FALSE AS valid, n_regionkey::BIGINT - 2 AS region, n_nationkey::BIGINT * 10 AS code, round(n_nationkey / 4, 9) AS share, (n_nationkey::HUGEINT + 9223372036854775808)::VARCHAR AS id FROM nation")
 def store_load_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made from whole rows, then replaced by bytes whose last row is partial."""
     data = nation_bytes(spark, sf_dir)
     store = Store.from_bytes(spark, NATION_BYTES, data[: 3 * 22]).load_bytes(data + b"\1\2\3")
-    return store.frame.select(F.col("_row").alias("row_id"), F.col("_valid").alias("valid"), F.col("region").cast("bigint"), F.col("code").cast("bigint"), F.round("share", 9).alias("share"), F.col("id").cast("decimal(38,0)").alias("id"))
+    return store.frame.select(F.col("_row").alias("row_id"), F.col("_valid").alias("valid"), F.col("region").cast("bigint"), F.col("code").cast("bigint"), F.round("share", 9).alias("share"), F.col("id").cast("string").alias("id"))
 
 
 @query("SELECT o_orderkey AS row_id, (o_custkey % 200 - 100)::BIGINT AS a, round(o_totalprice, 9) AS b FROM orders")

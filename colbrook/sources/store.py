@@ -11,6 +11,7 @@ import logging
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ def log_to(callback: Callable[[int, str], None] | None) -> None:
     if _sink:
         log.removeHandler(_sink)
     _sink, log.propagate = None, True
+    log.setLevel(logging.NOTSET)
     if callback:
         _sink = logging.Handler()
         _sink.emit = lambda r: callback(r.levelno, r.getMessage())
@@ -237,7 +239,7 @@ class Store:
         c = self.spec(name)
         if c is None:
             return self
-        return self._next(self.frame.withColumn(name, F.when(F.col("_row") == row, literal(value, c.kind)).otherwise(F.col(name))))
+        return self.updated(self.frame.withColumn(name, F.when(F.col("_row") == row, literal(value, c.kind)).otherwise(F.col(name))))
 
     def write_cells(self, name: str, edits: DataFrame) -> Store:
         """Writes one column from (row, value) edits with unique rows; others keep their cell."""
@@ -247,7 +249,7 @@ class Store:
         new = edits.select(edits[edits.columns[0]].cast("bigint").alias("__row"), edits[edits.columns[1]].cast(SPARK[c.kind]).alias("__value"))
         joined = self.frame.join(new, self.frame["_row"] == new["__row"], "left")
         cells = [F.coalesce("__value", name).alias(name) if o.name == name else F.col(o.name) for o in self.columns]
-        return self._next(joined.select(*META, *cells))
+        return self.updated(joined.select(*META, *cells))
 
     def try_set(self, row: int, name: str, value) -> tuple[bool, Store]:
         ok = self.spec(name) is not None and self.frame.where(F.col("_row") == row).head() is not None
@@ -280,8 +282,20 @@ class Store:
         return self._meta_of(row, "_level", 0)
 
     def live_count(self) -> int:
+        """Live rows; a job for the first call, kept by this version and those that updates make of it."""
+        return self._live
+
+    @cached_property
+    def _live(self) -> int:
         return self.frame.where("_valid").count()
 
+    def updated(self, frame: DataFrame) -> Store:
+        """The next version by a write to cells: the same rows are alive."""
+        out = self._next(frame)
+        if "_live" in self.__dict__:
+            out.__dict__["_live"] = self._live
+        return out
+
     def live(self) -> DataFrame:
         return self.frame.where("_valid")
 

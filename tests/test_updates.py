@@ -1,7 +1,6 @@
 """Updates, curves, noise, choices and programs on small fixtures with known results."""
 
 import math
-
 import struct
 
 import pytest
