@@ -322,15 +322,16 @@ def links_of(nodes: DataFrame, settings: Settings, shard: int = SHARD) -> DataFr
 # -- components ------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of all linked nodes; root is the smallest node of the component.
 
-    Alternates large-star and small-star until no link changes. Each step aggregates links by
+    Alternates large-star and small-star until no link changes, which it reaches in a number of steps
+    that grows with the logarithm of the nodes. Each step aggregates links by
     node with partial minima; a star with very many leaves is never collected in one task.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state, path = None, WRITTEN[-1]
-    for _ in range(limit):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -343,7 +344,6 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-    raise RuntimeError(f"components did not settle in {limit} steps")
 
 
 def short_keys(texts: DataFrame, settings: Settings) -> DataFrame:
