@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,13 @@ def id_mod(n: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def trim() -> None:
+    """Gives a worker's free memory back: workers are kept for later tasks, and idle ones count too."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow where ``make`` builds the batch function once a task."""
 
@@ -70,7 +79,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         for b in batches:
             if b.num_rows:
                 yield f(b)
-        pa.default_memory_pool().release_unused()
+        f = None
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -119,4 +129,4 @@ def binaries(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.to_pylist()]
 
 
-__all__ = ["F", "Memo", "StorageLevel", "WHITE", "WRITTEN", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "release", "shared_folder", "text_bytes", "without", "words_of"]
+__all__ = ["F", "Memo", "StorageLevel", "WHITE", "WRITTEN", "binaries", "id_mod", "map_batches", "materialise", "mix64", "prepare", "release", "shared_folder", "text_bytes", "trim", "without", "words_of"]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, id_mod, mix64, prepare, text_bytes, words_of
+from .common import binaries, id_mod, mix64, prepare, text_bytes, trim, words_of
 
 DELTA, ORDER = 0.1, 3
 #: Strength of the prior for histories of one word, and of two or more; by held-out likelihood.
@@ -332,7 +332,7 @@ def _blocks(limit: int, tell: Callable[[Block], list[tuple]], columns: str) -> C
         if flat:
             yield flush()
         words = ids = flat = None
-        pa.default_memory_pool().release_unused()
+        trim()
 
     return run
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WRITTEN, binaries, map_batches, materialise, mix64, prepare, release, text_bytes, without, words_of
+from .common import WRITTEN, binaries, map_batches, materialise, mix64, prepare, release, text_bytes, trim, without, words_of
 
 #: Most fingerprints in one tree; dealt rows that one task takes; pairs looked at in one step.
 SHARD, TASK_ROWS, ROOM = 20_000, 20_000, 2_000_000
@@ -227,6 +227,8 @@ def shard_links(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
     ask_rows = np.flatnonzero(piece == frame["o"].to_numpy())
     trees = BKForest(fp[tree_rows], shard[tree_rows])
     root = forest(n, ((ask_rows[q], tree_rows[v]) for q, v in trees.search(fp[ask_rows], shard[ask_rows], radius)))
+    del fp, trees
+    trim()
     linked = root != np.arange(n)
     return pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]}).drop_duplicates()
 
@@ -445,6 +447,7 @@ def similar_links(frame: pd.DataFrame, settings: Settings) -> pd.DataFrame:
         rid = group["rid"].to_numpy()
         linked = root != np.arange(len(group))
         out.append(pd.DataFrame({"a": rid[linked], "b": rid[root[linked]]}))
+    trim()
     return pd.concat(out)
 
 

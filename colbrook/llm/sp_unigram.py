@@ -36,7 +36,7 @@ from .common import Memo, map_batches, prepare
 
 MARK = "▁"
 #: Largest model that is broadcast; units that a worker remembers in each of two generations.
-MAX_PIECES, MEMO = 1_000_000, 200_000
+MAX_PIECES, MEMO = 1_000_000, 100_000
 #: Bytes of a unit from which its Viterbi rows are kept in arrays, at 16 bytes for each of its bytes.
 LONG_UNIT = 1 << 16
 #: Cost of an uncovered character below the lowest score, as SentencePiece sets it.
