@@ -19,7 +19,7 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 #: Bytes of text that go to a Python worker at once, whatever the length of the texts.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
