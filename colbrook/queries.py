@@ -675,8 +675,12 @@ NARROW: Columns = {"i8": (Kind.INT8, "o_custkey % 256 - 128"), "i16": (Kind.INT1
     "SELECT z.row_id, x.row_id AS a_row, round(coalesce(x.bal, 0), 4) AS a_bal, y.row_id AS b_row FROM z LEFT JOIN c x ON x.row_id = a AND a <> 255 AND x.valid LEFT JOIN c y ON y.row_id = b AND y.valid"
 )
 def view_join_narrow_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Negative INT8 and INT16 indices are rows of the upper half; 255 is the first join's absent value."""
-    stores = {"orders": store_of(spark, sf_dir, "orders", "o_orderkey", NARROW), "customer": shop(spark, sf_dir)["customer"]}
+    """Negative INT8 and INT16 indices are rows of the upper half; 255 is the first join's absent value.
+
+    Keys beyond INT16 keep their low bytes, as cells do; the SQL's CAST raises there.
+    """
+    wide = store_of(spark, sf_dir, "orders", "o_orderkey", {n: (Kind.INT64, e) for n, (_, e) in NARROW.items()})
+    stores = {"orders": wide.convert([ColumnSpec(n, kind) for n, (kind, _) in NARROW.items()]), "customer": shop(spark, sf_dir)["customer"]}
     v = View("orders", (Pick(1, "bal", "a_bal"), Pick(2, "bal", "b_bal")), (Join("customer", "i8", 255), Join("customer", "i16"))).refresh(stores)
     return v.rows.select(F.col("_base_row").alias("row_id"), F.col("_join1_row").alias("a_row"), F.round("a_bal", 4).alias("a_bal"), F.col("_join2_row").alias("b_row"))
 
